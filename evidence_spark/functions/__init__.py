@@ -12,6 +12,7 @@ from evidence_spark.functions.text import (
     format_score,
     is_blank,
     normalize_text,
+    normalize_variant,
     nz,
     parse_quotes,
     py_strip,
@@ -31,6 +32,7 @@ __all__ = [
     "format_score",
     "is_blank",
     "normalize_text",
+    "normalize_variant",
     "nz",
     "parse_quotes",
     "py_strip",

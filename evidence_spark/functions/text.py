@@ -100,26 +100,28 @@ def quote_block(c) -> Column:
     return F.concat(F.lit(BEGIN_MARKER + " "), _col(c), F.lit(" " + END_MARKER))
 
 
-def normalize_text(json_text) -> Column:
-    """Normalise a polymorphic JSON value to text.
-
-    NULL / JSON null -> NULL; JSON string -> the string; array -> concatenation of the
-    ``text`` field of its object items (missing field -> ''), or the array's JSON text
-    when it has no object item; anything else -> its JSON text.
+def normalize_variant(v) -> Column:
+    """P2 on a variant value: NULL / JSON null -> NULL; string -> the string; array ->
+    concatenation of the ``text`` field of its object items (missing field -> ''), or
+    the array's JSON text when it has no object item; anything else -> its JSON text.
     (The original used Python's ``str()`` for the last two cases; JSON text is the
     portable equivalent.)
     """
-    v = F.try_parse_json(_col(json_text))
+    v = _col(v)
     kind = F.schema_of_variant(v)
     items = F.try_variant_get(v, "$", "array<variant>")
     objects = F.filter(items, lambda it: F.schema_of_variant(it).startswith("OBJECT"))
     texts = F.transform(
         objects, lambda it: F.coalesce(F.try_variant_get(it, "$.text", "string"), F.lit(""))
     )
-    as_string = F.try_variant_get(v, "$", "string")
     return (
         F.when(v.isNull() | (kind == "VOID"), F.lit(None).cast("string"))
-        .when(kind == "STRING", as_string)
+        .when(kind == "STRING", F.try_variant_get(v, "$", "string"))
         .when(kind.startswith("ARRAY") & (F.size(objects) > 0), F.array_join(texts, ""))
         .otherwise(F.to_json(v))
     )
+
+
+def normalize_text(json_text) -> Column:
+    """P2 on JSON text (see :func:`normalize_variant`)."""
+    return normalize_variant(F.try_parse_json(_col(json_text)))

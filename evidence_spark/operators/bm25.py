@@ -38,7 +38,8 @@ IDX_TERMS = "_bm_terms"
 IDX_DF = "_bm_df"
 IDX_IDF = "_bm_idf"
 IDX_W = "_bm_w"
-INDEX_COLUMNS = [IDX_TOKENS, IDX_N, IDX_DL, IDX_AVGDL, IDX_TERMS, IDX_DF, IDX_IDF, IDX_W]
+IDX_PERFECT = "_bm_perfect"
+INDEX_COLUMNS = [IDX_TOKENS, IDX_N, IDX_DL, IDX_AVGDL, IDX_TERMS, IDX_DF, IDX_IDF, IDX_W, IDX_PERFECT]
 
 # |perfect| below this is treated as 0: the sum order of an independent engine may
 # leave a rounding residue where the exact value is 0.
@@ -96,15 +97,18 @@ def add_gold_index(df: DataFrame, gold_quotes: str) -> DataFrame:
             toks,
             lambda d, i: weight(
                 F.element_at(F.col(IDX_IDF), j + 1),
-                F.size(F.filter(d, lambda x: x == t)),
+                # term frequency with a native loop: size minus size without t
+                F.size(d) - F.size(F.array_remove(d, t)),
                 F.element_at(F.col(IDX_DL), i + 1),
             ),
         ),
     )
-    return out.withColumn(IDX_W, w)
+    out = out.withColumn(IDX_W, w)
+    # the gold side's own score depends only on the document: computed once here
+    return out.withColumn(IDX_PERFECT, _sum(F.transform(toks, lambda q: F.array_max(_score_tokens(q)))))
 
 
-def _score_vector(query_tokens: Column) -> Column:
+def _score_tokens(query_tokens: Column) -> Column:
     """Scores of one tokenised query against all N golden quotes of the row."""
     terms, w = F.col(IDX_TERMS), F.col(IDX_W)
 
@@ -119,14 +123,14 @@ def _score_vector(query_tokens: Column) -> Column:
 
 def best_match(quote: Column) -> Column:
     """Best BM25 score of one quote over the row's golden quotes."""
-    return F.array_max(_score_vector(tokenize(quote)))
+    return F.array_max(_score_tokens(tokenize(quote)))
 
 
 def bm25_column(gold_quotes: str, resp_quotes: str) -> Column:
     """T7 on a row that carries the gold index and the response quote array."""
     ng, nr = F.size(F.col(gold_quotes)), F.size(F.col(resp_quotes))
     system = _sum(F.transform(F.col(resp_quotes), best_match))
-    perfect = _sum(F.transform(F.col(gold_quotes), best_match))
+    perfect = F.col(IDX_PERFECT)
     safe = F.when(F.abs(perfect) < ZERO_TOLERANCE, F.lit(1.0)).otherwise(perfect)
     return (
         F.when((ng == 0) | (nr == 0), F.lit(0.0))

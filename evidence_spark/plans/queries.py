@@ -291,3 +291,7 @@ def a11_outcomes(spark, sf):
 )
 def l01_report_sorted(spark, sf):
     return rp.model_report(sc.stored_scores(_results(spark, sf))).orderBy("model")
+
+
+# part 2 registers itself on import (curation, chat, sources, jobs)
+from evidence_spark.plans import queries_more  # noqa: E402,F401
