@@ -29,88 +29,32 @@ K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
-# Index columns added by ``add_gold_index`` (prefixed to avoid clashes).
-IDX_TOKENS = "_bm_tokens"
-IDX_N = "_bm_n"
-IDX_DL = "_bm_dl"
-IDX_AVGDL = "_bm_avgdl"
-IDX_TERMS = "_bm_terms"
-IDX_DF = "_bm_df"
-IDX_IDF = "_bm_idf"
-IDX_W = "_bm_w"
-IDX_PERFECT = "_bm_perfect"
-INDEX_COLUMNS = [IDX_TOKENS, IDX_N, IDX_DL, IDX_AVGDL, IDX_TERMS, IDX_DF, IDX_IDF, IDX_W, IDX_PERFECT]
+# The per-row index is one struct column (fields: n, avgdl, terms, df, idf, w, perfect).
+IDX = "_bm"
+INDEX_COLUMNS = [IDX]
 
 # |perfect| below this is treated as 0: the sum order of an independent engine may
 # leave a rounding residue where the exact value is 0.
 ZERO_TOLERANCE = 1e-12
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once per row and use it in ``body`` (a lambda of one Column).
+
+    Catalyst inlines a projected column referenced once; a reference inside a lambda
+    would then be re-evaluated for every array element. Binding through a one-element
+    ``transform`` evaluates the value exactly once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def add_gold_index(df: DataFrame, gold_quotes: str) -> DataFrame:
-    """Add the per-row BM25 index of the array column ``gold_quotes`` (T5)."""
-    toks = F.col(IDX_TOKENS)
-    n = F.col(IDX_N)
-    terms = F.col(IDX_TERMS)
-    out = (
-        df.withColumn(IDX_TOKENS, F.transform(F.col(gold_quotes), tokenize))
-        .withColumn(IDX_N, F.size(F.col(gold_quotes)))
-        .withColumn(IDX_DL, F.transform(toks, lambda d: F.size(d)))
-        .withColumn(
-            IDX_AVGDL,
-            F.when(
-                n > 0,
-                F.aggregate(F.col(IDX_DL), F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double")
-                / F.when(n > 0, n).otherwise(F.lit(1)),
-            ),
-        )
-        # first-occurrence order, as the original dictionary
-        .withColumn(IDX_TERMS, F.array_distinct(F.flatten(toks)))
-        .withColumn(
-            IDX_DF,
-            F.transform(terms, lambda t: F.size(F.filter(toks, lambda d: F.array_contains(d, t)))),
-        )
-    )
-    raw = F.transform(
-        F.col(IDX_DF), lambda m: F.log(n - m + F.lit(0.5)) - F.log(m + F.lit(0.5))
-    )
-    out = out.withColumn("_bm_raw", raw)
-    mean = _sum(F.col("_bm_raw")) / F.greatest(F.size(F.col("_bm_raw")), F.lit(1))
-    out = out.withColumn(
-        IDX_IDF,
-        F.transform(
-            F.col("_bm_raw"), lambda r: F.when(r < 0, F.lit(EPSILON) * mean).otherwise(r)
-        ),
-    ).drop("_bm_raw")
-
-    def weight(idf: Column, tf: Column, dl: Column) -> Column:
-        tf = tf.cast("double")
-        norm = tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * dl / F.col(IDX_AVGDL))
-        return idf * (tf * F.lit(K1 + 1.0) / norm)
-
-    w = F.transform(
-        terms,
-        lambda t, j: F.transform(
-            toks,
-            lambda d, i: weight(
-                F.element_at(F.col(IDX_IDF), j + 1),
-                # term frequency with a native loop: size minus size without t
-                F.size(d) - F.size(F.array_remove(d, t)),
-                F.element_at(F.col(IDX_DL), i + 1),
-            ),
-        ),
-    )
-    out = out.withColumn(IDX_W, w)
-    # the gold side's own score depends only on the document: computed once here
-    return out.withColumn(IDX_PERFECT, _sum(F.transform(toks, lambda q: F.array_max(_score_tokens(q)))))
-
-
-def _score_tokens(query_tokens: Column) -> Column:
-    """Scores of one tokenised query against all N golden quotes of the row."""
-    terms, w = F.col(IDX_TERMS), F.col(IDX_W)
+def _score_tokens(query_tokens: Column, g: Column) -> Column:
+    """Scores of one tokenised query against all N golden quotes (index struct ``g``)."""
+    terms, w = g["terms"], g["w"]
 
     def step(acc: Column, q: Column) -> Column:
         pos = F.array_position(terms, q).cast("int")
@@ -118,30 +62,103 @@ def _score_tokens(query_tokens: Column) -> Column:
             F.zip_with(acc, F.element_at(w, F.greatest(pos, F.lit(1))), lambda a, c: a + c)
         )
 
-    return F.aggregate(query_tokens, F.array_repeat(F.lit(0.0), F.col(IDX_N)), step)
+    return F.aggregate(query_tokens, F.array_repeat(F.lit(0.0), g["n"]), step)
+
+
+def gold_index(gold_quotes: Column) -> Column:
+    """T5: the BM25 index of an array of golden quotes, as a struct (row-local)."""
+
+    def with_toks(toks):
+        n = F.size(toks)
+
+        def with_dl(dl):
+            avgdl = F.when(
+                n > 0,
+                F.aggregate(dl, F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double")
+                / F.when(n > 0, n).otherwise(F.lit(1)),
+            )
+
+            def with_avgdl(avg):
+                # distinct terms in first-occurrence order, as the original dictionary
+                def with_terms(terms):
+                    df = F.transform(terms, lambda t: F.size(F.filter(toks, lambda d: F.array_contains(d, t))))
+
+                    def with_df(dfs):
+                        raw = F.transform(dfs, lambda m: F.log(n - m + F.lit(0.5)) - F.log(m + F.lit(0.5)))
+
+                        def with_raw(raws):
+                            mean = _sum(raws) / F.greatest(F.size(raws), F.lit(1))
+
+                            def with_mean(mu):
+                                idf = F.transform(raws, lambda r: F.when(r < 0, F.lit(EPSILON) * mu).otherwise(r))
 
+                                def with_idf(idfs):
+                                    def weight(j, d, i):
+                                        # term frequency with a native loop: size minus size without t
+                                        tf = (F.size(d) - F.size(F.array_remove(d, F.element_at(terms, j + 1)))).cast("double")
+                                        norm = tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.element_at(dl, i + 1) / avg)
+                                        return F.element_at(idfs, j + 1) * (tf * F.lit(K1 + 1.0) / norm)
 
-def best_match(quote: Column) -> Column:
-    """Best BM25 score of one quote over the row's golden quotes."""
-    return F.array_max(_score_tokens(tokenize(quote)))
+                                    w = F.transform(terms, lambda t, j: F.transform(toks, lambda d, i: weight(j, d, i)))
+
+                                    def with_w(ws):
+                                        partial = F.struct(n.alias("n"), terms.alias("terms"), ws.alias("w"))
+                                        perfect = let(partial, lambda g: _sum(
+                                            F.transform(toks, lambda q: F.array_max(_score_tokens(q, g)))))
+                                        return F.struct(
+                                            n.alias("n"), avg.alias("avgdl"), terms.alias("terms"), dfs.alias("df"),
+                                            idfs.alias("idf"), ws.alias("w"), perfect.alias("perfect"),
+                                        )
+
+                                    return let(w, with_w)
+
+                                return let(idf, with_idf)
+
+                            return let(mean, with_mean)
+
+                        return let(raw, with_raw)
+
+                    return let(df, with_df)
+
+                return let(F.array_distinct(F.flatten(toks)), with_terms)
+
+            return let(avgdl, with_avgdl)
+
+        return let(F.transform(toks, lambda d: F.size(d)), with_dl)
+
+    return let(F.transform(gold_quotes, tokenize), with_toks)
+
+
+def add_gold_index(df: DataFrame, gold_quotes: str) -> DataFrame:
+    """Add the per-row BM25 index (struct column ``_bm``) of ``gold_quotes``."""
+    return df.withColumn(IDX, gold_index(F.col(gold_quotes)))
+
+
+def best_match_in(g: Column, quote: Column) -> Column:
+    """Best BM25 score of one quote over the golden quotes of index ``g``."""
+    return F.array_max(_score_tokens(tokenize(quote), g))
 
 
 def bm25_column(gold_quotes: str, resp_quotes: str) -> Column:
     """T7 on a row that carries the gold index and the response quote array."""
     ng, nr = F.size(F.col(gold_quotes)), F.size(F.col(resp_quotes))
-    system = _sum(F.transform(F.col(resp_quotes), best_match))
-    perfect = F.col(IDX_PERFECT)
-    safe = F.when(F.abs(perfect) < ZERO_TOLERANCE, F.lit(1.0)).otherwise(perfect)
-    return (
-        F.when((ng == 0) | (nr == 0), F.lit(0.0))
-        .when(F.abs(perfect) < ZERO_TOLERANCE, F.lit(0.0))
-        .otherwise(round_half_up(F.least(F.lit(1.0), system / safe), 4))
-    )
+
+    def score(g: Column) -> Column:
+        system = _sum(F.transform(F.col(resp_quotes), lambda q: best_match_in(g, q)))
+        perfect = g["perfect"]
+        safe = F.when(F.abs(perfect) < ZERO_TOLERANCE, F.lit(1.0)).otherwise(perfect)
+        return (
+            F.when((ng == 0) | (nr == 0), F.lit(0.0))
+            .when(F.abs(perfect) < ZERO_TOLERANCE, F.lit(0.0))
+            .otherwise(round_half_up(F.least(F.lit(1.0), system / safe), 4))
+        )
+
+    return let(F.col(IDX), score)
 
 
 def add_bm25(df: DataFrame, gold_quotes: str, resp_quotes: str, out: str = "bm25") -> DataFrame:
     """Add the BM25 score; builds the gold index first when it is not present."""
-    if IDX_W not in df.columns:
+    if IDX not in df.columns:
         df = add_gold_index(df, gold_quotes)
     return df.withColumn(out, bm25_column(gold_quotes, resp_quotes))
 
@@ -153,24 +170,20 @@ def drop_index(df: DataFrame) -> DataFrame:
 def term_statistics(gold: DataFrame, key: str, gold_quotes: str) -> DataFrame:
     """T5 as a long table: one row per (key, term) with N, avgdl, df and idf."""
     idx = add_gold_index(gold.select(key, gold_quotes), gold_quotes)
-    z = F.arrays_zip(
-        F.col(IDX_TERMS).alias("token"), F.col(IDX_DF).alias("df"), F.col(IDX_IDF).alias("idf")
-    )
+    g = F.col(IDX)
+    z = F.arrays_zip(g["terms"].alias("token"), g["df"].alias("df"), g["idf"].alias("idf"))
     return idx.select(
         key,
-        F.col(IDX_N).cast("bigint").alias("n_quotes"),
-        F.col(IDX_AVGDL).alias("avgdl"),
+        g["n"].cast("bigint").alias("n_quotes"),
+        g["avgdl"].alias("avgdl"),
         F.inline(z),
     ).withColumn("df", F.col("df").cast("bigint"))
 
 
 def best_matches(pairs: DataFrame, keys: list[str], gold_quotes: str, resp_quotes: str) -> DataFrame:
     """T6 as a long table: one row per response quote with its best score."""
-    idx = pairs if IDX_W in pairs.columns else add_gold_index(pairs, gold_quotes)
-    scored = idx.select(
-        *keys,
-        F.transform(
-            F.col(resp_quotes), lambda q, i: F.struct(i.alias("ridx"), best_match(q).alias("best"))
-        ).alias("_m"),
-    )
+    idx = pairs if IDX in pairs.columns else add_gold_index(pairs, gold_quotes)
+    per_quote = let(F.col(IDX), lambda g: F.transform(
+        F.col(resp_quotes), lambda q, i: F.struct(i.alias("ridx"), best_match_in(g, q).alias("best"))))
+    scored = idx.select(*keys, per_quote.alias("_m"))
     return scored.select(*keys, F.inline("_m")).withColumn("ridx", F.col("ridx").cast("bigint"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence_spark.functions.text import tokenize
+from evidence_spark.operators.bm25 import let
 from evidence_spark.session import reliable_checkpoint
 
 
@@ -46,33 +47,39 @@ def _matches(a: Column, b: Column, threshold: float) -> Column:
     return (inter == F.size(a)) | (inter == F.size(b)) | (jaccard >= F.lit(threshold))
 
 
-def lexical_judgment(gold_quotes: Column, resp_quotes: Column, threshold: float = 0.5) -> tuple[Column, Column]:
+def lexical_judgment(gold_quotes: Column, resp_quotes: Column, threshold: float = 0.5) -> Column:
     """(b) Row-local recall/precision over parsed quote arrays (no shuffle, no UDF).
 
-    Empty rules: no response quote -> precision 0, recall 1 if gold is empty too else 0;
-    no gold quote -> recall 1, precision 0.
+    Returns struct(recall, precision). Empty rules: no response quote -> precision 0,
+    recall 1 if gold is empty too else 0; no gold quote -> recall 1, precision 0.
+    Token sets are bound once per row (see ``bm25.let``).
     """
-    g, r = _token_sets(gold_quotes), _token_sets(resp_quotes)
-    ng, nr = F.size(g), F.size(r)
-    hit_g = F.size(F.filter(g, lambda a: F.exists(r, lambda b: _matches(a, b, threshold))))
-    hit_r = F.size(F.filter(r, lambda b: F.exists(g, lambda a: _matches(a, b, threshold))))
-    recall = (
-        F.when(nr == 0, F.when(ng == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-        .when(ng == 0, F.lit(1.0))
-        .otherwise(hit_g.cast("double") / F.greatest(ng, F.lit(1)))
-    )
-    precision = F.when((nr == 0) | (ng == 0), F.lit(0.0)).otherwise(
-        hit_r.cast("double") / F.greatest(nr, F.lit(1))
-    )
-    return recall, precision
+
+    def body(sets: Column) -> Column:
+        g, r = sets["g"], sets["r"]
+        ng, nr = F.size(g), F.size(r)
+        hit_g = F.size(F.filter(g, lambda a: F.exists(r, lambda b: _matches(a, b, threshold))))
+        hit_r = F.size(F.filter(r, lambda b: F.exists(g, lambda a: _matches(a, b, threshold))))
+        recall = (
+            F.when(nr == 0, F.when(ng == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+            .when(ng == 0, F.lit(1.0))
+            .otherwise(hit_g.cast("double") / F.greatest(ng, F.lit(1)))
+        )
+        precision = F.when((nr == 0) | (ng == 0), F.lit(0.0)).otherwise(
+            hit_r.cast("double") / F.greatest(nr, F.lit(1))
+        )
+        return F.struct(recall.alias("recall"), precision.alias("precision"))
+
+    return let(F.struct(_token_sets(gold_quotes).alias("g"), _token_sets(resp_quotes).alias("r")), body)
 
 
 def lexical_judge(samples: DataFrame, gold_quotes: str, resp_quotes: str, threshold: float = 0.5) -> DataFrame:
-    recall, precision = lexical_judgment(F.col(gold_quotes), F.col(resp_quotes), threshold)
+    out = samples.withColumn("_lex", lexical_judgment(F.col(gold_quotes), F.col(resp_quotes), threshold))
     return (
-        samples.withColumn("recall", recall)
-        .withColumn("precision", precision)
+        out.withColumn("recall", F.col("_lex.recall"))
+        .withColumn("precision", F.col("_lex.precision"))
         .withColumn("judged", F.lit(True))
+        .drop("_lex")
     )
 
 

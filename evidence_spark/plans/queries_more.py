@@ -504,3 +504,22 @@ def c06_report_after_resume(spark, sf):
     ev = jobs.evaluate(spark, ts, inf, judgments=j, prior_scores=_fx(spark, sf, "fx_prior_scores"), persist=False)
     return jobs.model_report(ev.scores)
 
+
+
+# --------------------------------------------------------------------------- streaming
+@register("x03_live_report", O.q(O.SCORING_FX, O.report_select("stored"), O.scored_ctes() + [("stored", "SELECT * FROM res WHERE status = 'scored'")]))
+def x03_live_report(spark, sf):
+    """Stored scores written as files, read back as a stream, live per-model means."""
+    import uuid as _uuid
+
+    from evidence_spark.streaming.ingest import live_model_averages
+
+    path = scratch_path(spark, "score-files")
+    stored = sc.stored_scores(_results(spark, sf))
+    stored.write.mode("overwrite").parquet(path)
+    stream = spark.readStream.schema(stored.schema).parquet(path)
+    name = "live_report_" + _uuid.uuid4().hex[:8]
+    q = (live_model_averages(stream).writeStream.outputMode("complete").format("memory").queryName(name)
+         .option("checkpointLocation", scratch_path(spark, "live-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name)
