@@ -24,6 +24,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Long tables keep one row per key; a map built from JSON keeps the last key.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Joins on (uuid, model) reuse the uuid partitioning of the pairs instead of
+    # re-shuffling the wide pair rows (which carry the gold index).
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
