@@ -44,7 +44,8 @@ def main() -> None:
     tables = {}
     for name in INPUTS:
         path = os.path.join(scratch, name)
-        fixture(spark, sf_dir, name).write.mode("overwrite").parquet(path)
+        # inputs are stored as several files, as real datasets are
+        fixture(spark, sf_dir, name).repartition(max(8, cpus * 2)).write.mode("overwrite").parquet(path)
         tables[name] = path
     prep = time.time() - t0
 

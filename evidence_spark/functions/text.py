@@ -60,8 +60,9 @@ def parse_quotes(c) -> Column:
     NULL and '' give an empty array, never NULL.
     """
     found = F.regexp_extract_all(_col(c), F.lit(QUOTE_PATTERN), F.lit(1))
-    stripped = F.transform(found, py_strip)
-    kept = F.filter(stripped, lambda q: q != "")
+    # The pattern puts the same whitespace class on both sides of the lazy group, so a
+    # group never starts or ends with whitespace: stripping it again would be a no-op.
+    kept = F.filter(found, lambda q: q != "")
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
@@ -86,8 +87,7 @@ def format_score(c) -> Column:
 
 def tokenize(c) -> Column:
     """Unicode lower case, split on whitespace runs, no empty tokens."""
-    s = py_strip(F.lower(_col(c)))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, _WS_RUN))
+    return F.array_remove(F.split(F.lower(_col(c)), _WS_RUN), "")
 
 
 def question_key(c) -> Column:

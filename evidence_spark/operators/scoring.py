@@ -50,8 +50,13 @@ def select_models(spark: SparkSession, available: DataFrame, models: list[str] |
 
 
 def gold_side(candidates: DataFrame) -> DataFrame:
-    """Per-document gold quotes and BM25 index, built once per uuid."""
-    g = candidates.select("uuid", F.col("quotes").alias("ground_truth")).withColumn(
+    """Per-document gold quotes and BM25 index, built once per uuid.
+
+    Hash-partitioned by uuid first: this is the distribution the join with the
+    inferences needs anyway (the exchange is reused, not added), and it spreads the
+    index work over all tasks even when the test set is a single file.
+    """
+    g = candidates.select("uuid", F.col("quotes").alias("ground_truth")).repartition("uuid").withColumn(
         "gold_quotes", parse_quotes("ground_truth")
     )
     return bm.add_gold_index(g, "gold_quotes")
