@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidence_spark.llm import op3_mixing, op8_urls, op9_warc
+from evidence_spark.llm import op1_fingerprints, op3_mixing, op4_quality, op8_urls, op9_warc
 from evidence_spark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +23,21 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_weighted_fingerprints")
+def op1_weighted_fingerprints(spark, sf_dir):
+    return op1_fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
 @register("op3_poisson_mixing", op3_mixing.oracle())
 def op3_poisson_mixing(spark, sf_dir):
     return op3_mixing.poisson_mix(read(spark, sf_dir, "documents"))
 
 
+@register("op4_quality_rules")
+def op4_quality_rules(spark, sf_dir):
+    return op4_quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @register("op8_url_filter")
 def op8_url_filter(spark, sf_dir):
     return op8_urls.filter_urls(read(spark, sf_dir, "pages"))
