@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidence_spark.llm import op1_fingerprints, op3_mixing, op4_quality, op8_urls, op9_warc
+from evidence_spark.llm import (op1_fingerprints, op3_mixing, op4_quality, op7_neighbours, op8_urls, op9_warc,
+                                op10_suffix_tree)
 from evidence_spark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +40,12 @@ def op4_quality_rules(spark, sf_dir):
     return op4_quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@register("op7_adaptive_scan")
+def op7_adaptive_scan(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    return op7_neighbours.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 @register("op8_url_filter")
 def op8_url_filter(spark, sf_dir):
     return op8_urls.filter_urls(read(spark, sf_dir, "pages"))
@@ -46,3 +54,8 @@ def op8_url_filter(spark, sf_dir):
 @register("op9_warc_revisits", op9_warc.ORACLE)
 def op9_warc_revisits(spark, sf_dir):
     return op9_warc.roundtrip(read(spark, sf_dir, "pages"))
+
+
+@register("op10_suffix_tree")
+def op10_suffix_tree_(spark, sf_dir):
+    return op10_suffix_tree.score_texts(read(spark, sf_dir, "documents"))
