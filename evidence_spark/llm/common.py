@@ -22,3 +22,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few numbers each that a broadcast may hold (tens of MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most ``rows`` rows (counted); else left to a shuffle join.
+
+    For stored tables of a few numbers a row; both ways give the same result.
+    """
+    return F.broadcast(df) if df.count() <= rows else df

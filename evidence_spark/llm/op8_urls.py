@@ -48,9 +48,12 @@ def char_grams(host: Column, path: Column, sizes=GRAMS) -> Column:
     """Character n-grams of ``^host$`` and ``^path$``, each marked with the part it comes from."""
     def of(part: Column, mark: str) -> Column:
         text = F.concat(F.lit("^"), part, F.lit("$"))
-        return F.flatten(F.array(*[
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))),
-                        lambda i, n=n: F.concat(F.lit(mark), F.substring(text, i, F.lit(n)))) for n in sizes]))
+
+        def grams(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+            return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
+
+        return F.flatten(F.array(*map(grams, sizes)))
     return F.concat(of(host, "h:"), of(path, "p:"))
 
 

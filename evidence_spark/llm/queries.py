@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.llm import (op1_fingerprints, op3_mixing, op4_quality, op7_neighbours, op8_urls, op9_warc,
-                                op10_suffix_tree)
+from evidence_spark.llm import (op1_fingerprints, op3_mixing, op4_quality, op6_jaccard, op7_neighbours, op8_urls,
+                                op9_warc, op10_suffix_tree)
 from evidence_spark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op4_quality_rules(spark, sf_dir):
     return op4_quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@register("op6_parity_join")
+def op6_parity_join(spark, sf_dir):
+    return op6_jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 @register("op7_adaptive_scan")
 def op7_adaptive_scan(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
