@@ -208,14 +208,9 @@ def cross_candidates(members: DataFrame, percent: int, block: int = BLOCK, unit_
     return found.distinct()
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                       percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) for every row, component_id being the smallest id reachable by links.
-
-    Null and empty texts, and texts of white space, have no shingles and are their own
-    component. Rows with equal ids are rows of their own with that id; null ids count as larger
-    than any other, and a component of null ids alone has a null id. Other columns are not carried.
-    """
+def link_roots(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, mark, n_shingles, root) of every row: mark is a hash of the text; rows linked with each
+    other, and no others, share a root; rows without shingles have none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
     feats = stored(shingle_sets(ids, width, percent), "shingle-sketches")
@@ -244,8 +239,39 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     cross = stored(cross_candidates(members, percent), "cross-candidates")
     more = verified(cross, near, feats, ids, width, percent)
     roots = stored(components(links.unionByName(more)), "roots")
-    out = feats.select("id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    out = feats.select("id", "mark", "n_shingles", "node").join(roots, "node", "left")
+    return out.withColumn("root", F.coalesce("root", "node")).drop("node")
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+                       percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id) for every row, component_id being the smallest id reachable by links.
+
+    Null and empty texts, and texts of white space, have no shingles and are their own
+    component. Rows with equal ids are rows of their own with that id; null ids count as larger
+    than any other, and a component of null ids alone has a null id. Other columns are not carried.
+    """
+    out = link_roots(docs, id_col, text_col, width, percent)
     lowest = out.where("root is not null").groupBy("root").agg(F.min("id").alias("low"))
     out = out.join(lowest, "root", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles",
                       F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"))
+
+
+def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+                      percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (then of the smallest text hash).
+
+    Rows without shingles all stay. Of repeated rows of the chosen id and text one stays.
+    """
+    rows = stored(link_roots(docs, id_col, text_col, width, percent), "link-roots")
+    none = rows.where("root is null").select("id", "mark").distinct().withColumn("n", F.lit(0).cast("long"))
+    counted = rows.where("root is not null").groupBy("root", "id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "mark", "n")).alias("r"))
+    stay = small_side(stored(none.unionByName(first.select("r.id", "r.mark", "r.n")), "stay"))
+    stay = stay.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("n").alias("__n"))
+    marked = docs.withColumn("__m", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = marked.join(stay, (F.col("__m") == F.col("__mark")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    once = kept.where("__n < 2")
+    many = kept.where("__n > 1").dropDuplicates(["__id", "__mark"])
+    return once.unionByName(many).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.llm import (op1_fingerprints, op3_mixing, op4_quality, op6_jaccard, op7_neighbours, op8_urls,
-                                op9_warc, op10_suffix_tree)
+from evidence_spark.llm import (op1_fingerprints, op2_html, op3_mixing, op4_quality, op5_pieces, op6_jaccard,
+                                op7_neighbours, op8_urls, op9_warc, op10_suffix_tree)
 from evidence_spark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op1_weighted_fingerprints(spark, sf_dir):
     return op1_fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+@register("op2_html_blocks")
+def op2_html_blocks(spark, sf_dir):
+    return op2_html.extract_text(read(spark, sf_dir, "pages"))
+
+
 @register("op3_poisson_mixing", op3_mixing.oracle())
 def op3_poisson_mixing(spark, sf_dir):
     return op3_mixing.poisson_mix(read(spark, sf_dir, "documents"))
@@ -40,6 +45,11 @@ def op4_quality_rules(spark, sf_dir):
     return op4_quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@register("op5_sampled_pieces")
+def op5_sampled_pieces(spark, sf_dir):
+    return op5_pieces.encode_decode(read(spark, sf_dir, "documents"))
+
+
 @register("op6_parity_join")
 def op6_parity_join(spark, sf_dir):
     return op6_jaccard.jaccard_components(read(spark, sf_dir, "documents"))
@@ -62,5 +72,5 @@ def op9_warc_revisits(spark, sf_dir):
 
 
 @register("op10_suffix_tree")
-def op10_suffix_tree_(spark, sf_dir):
+def op10_suffix_tree_scores(spark, sf_dir):
     return op10_suffix_tree.score_texts(read(spark, sf_dir, "documents"))
