@@ -41,7 +41,7 @@ def main() -> None:
         conf={"spark.checkpoint.dir": os.path.join(scratch, "ckpt"), "spark.driver.memory": "16g"},
     )
     t0 = time.time()
-    tables = {}
+    tables, stored = {}, {}
     for name in INPUTS:
         path = os.path.join(scratch, name)
         # inputs are stored as several files, as real datasets are
@@ -61,13 +61,12 @@ def main() -> None:
         run(ev.scores)
         run(ev.summary)
         run(ev.outcomes)
-        ev.results.unpersist()
+        stored["scores"] = ev.scores
 
     def q_evaluate_lexical():
         ev = jobs.evaluate(spark, t("fx_testset").drop("doc_id"), t("fx_inf"), judge="lexical")
         run(ev.scores)
         run(ev.summary)
-        ev.results.unpersist()
 
     def q_bm25_only():
         samples = sc.evaluation_samples(t("fx_testset"), t("fx_inf"))
@@ -78,14 +77,15 @@ def main() -> None:
         run(bm.add_bm25(s, "gold_quotes", "resp_quotes").select("uuid", "model", "bm25"))
 
     def q_report():
-        run(rp.model_report(t("fx_prior_scores")))
+        # over the whole score table that the evaluation left
+        run(rp.model_report(stored["scores"]))
 
     def q_manual():
         table, count = jobs.manual_override(t("fx_manual"), t("fx_testset"), t("fx_inf"), t("fx_prior_scores"))
         run(table)
 
     def q_export():
-        run(jobs.curated_export(t("fx_docs").drop("doc_id")))
+        jobs.curated_export(t("fx_docs").drop("doc_id"), os.path.join(scratch, "export"))
 
     def q_merge():
         out = jobs.merge_dataset(t("fx_existing").drop("doc_id"), t("fx_docs").drop("doc_id"), split="train")

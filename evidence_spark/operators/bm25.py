@@ -1,9 +1,12 @@
 """BM25 overlap between golden quotes and response quotes.
 
-The corpus of each pair is its own golden quotes (a handful of short "documents"),
-so every statistic is local to one document key. The index is therefore built
-row-locally with JVM higher-order functions: no token-level explode, no shuffle,
-and work per row is bounded by that row's text, so a hot key cannot overload a task.
+The corpus of each pair is its own golden quotes (a handful to some hundred short
+"documents"), so every statistic is local to one row. Best matches are computed row by row
+in Arrow batches: tokens become numbers, each golden term has a posting list of (quote,
+weight), and the scores of a block of response quotes are one weighted count over the
+postings of their tokens. Work is linear in the postings met, memory is bounded by the
+block, and nothing is shuffled. (Native higher-order functions have no hash lookup inside
+a row, so they search linearly for every token: quadratic in the text of a row.)
 
 Okapi BM25 with an epsilon floor (k1=1.5, b=0.75, epsilon=0.25):
   raw(t)  = ln(N - n(t) + 0.5) - ln(n(t) + 0.5)
@@ -18,8 +21,13 @@ or the gold sum is 0; rounded to 4 places. Sums run in token order, as the origi
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidence_spark.functions.metrics import round_half_up
 from evidence_spark.functions.text import tokenize
@@ -29,161 +37,103 @@ K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
-# The per-row index is one struct column (fields: n, avgdl, terms, df, idf, w, perfect).
-IDX = "_bm"
-INDEX_COLUMNS = [IDX]
-
 # |perfect| below this is treated as 0: the sum order of an independent engine may
 # leave a rounding residue where the exact value is 0.
 ZERO_TOLERANCE = 1e-12
-
-
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once per row and use it in ``body`` (a lambda of one Column).
-
-    Catalyst inlines a projected column referenced once; a reference inside a lambda
-    would then be re-evaluated for every array element. Binding through a one-element
-    ``transform`` evaluates the value exactly once.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _sum(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _score_tokens(query_tokens: Column, g: Column) -> Column:
-    """Scores of one tokenised query against all N golden quotes (index struct ``g``)."""
-    terms, w = g["terms"], g["w"]
-
-    def step(acc: Column, q: Column) -> Column:
-        pos = F.array_position(terms, q).cast("int")
-        return F.when(pos == 0, acc).otherwise(
-            F.zip_with(acc, F.element_at(w, F.greatest(pos, F.lit(1))), lambda a, c: a + c)
-        )
-
-    return F.aggregate(query_tokens, F.array_repeat(F.lit(0.0), g["n"]), step)
-
-
-def gold_index(gold_quotes: Column) -> Column:
-    """T5: the BM25 index of an array of golden quotes, as a struct (row-local)."""
-
-    def with_toks(toks):
-        n = F.size(toks)
-
-        def with_dl(dl):
-            avgdl = F.when(
-                n > 0,
-                F.aggregate(dl, F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double")
-                / F.when(n > 0, n).otherwise(F.lit(1)),
-            )
-
-            def with_avgdl(avg):
-                # distinct terms in first-occurrence order, as the original dictionary
-                def with_terms(terms):
-                    df = F.transform(terms, lambda t: F.size(F.filter(toks, lambda d: F.array_contains(d, t))))
-
-                    def with_df(dfs):
-                        raw = F.transform(dfs, lambda m: F.log(n - m + F.lit(0.5)) - F.log(m + F.lit(0.5)))
-
-                        def with_raw(raws):
-                            mean = _sum(raws) / F.greatest(F.size(raws), F.lit(1))
-
-                            def with_mean(mu):
-                                idf = F.transform(raws, lambda r: F.when(r < 0, F.lit(EPSILON) * mu).otherwise(r))
-
-                                def with_idf(idfs):
-                                    def weight(j, d, i):
-                                        # term frequency with a native loop: size minus size without t
-                                        tf = (F.size(d) - F.size(F.array_remove(d, F.element_at(terms, j + 1)))).cast("double")
-                                        norm = tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.element_at(dl, i + 1) / avg)
-                                        return F.element_at(idfs, j + 1) * (tf * F.lit(K1 + 1.0) / norm)
-
-                                    w = F.transform(terms, lambda t, j: F.transform(toks, lambda d, i: weight(j, d, i)))
-
-                                    def with_w(ws):
-                                        partial = F.struct(n.alias("n"), terms.alias("terms"), ws.alias("w"))
-                                        perfect = let(partial, lambda g: _sum(
-                                            F.transform(toks, lambda q: F.array_max(_score_tokens(q, g)))))
-                                        return F.struct(
-                                            n.alias("n"), avg.alias("avgdl"), terms.alias("terms"), dfs.alias("df"),
-                                            idfs.alias("idf"), ws.alias("w"), perfect.alias("perfect"),
-                                        )
-
-                                    return let(w, with_w)
-
-                                return let(idf, with_idf)
-
-                            return let(mean, with_mean)
-
-                        return let(raw, with_raw)
-
-                    return let(df, with_df)
-
-                return let(F.array_distinct(F.flatten(toks)), with_terms)
-
-            return let(avgdl, with_avgdl)
-
-        return let(F.transform(toks, lambda d: F.size(d)), with_dl)
-
-    return let(F.transform(gold_quotes, tokenize), with_toks)
-
-
-def add_gold_index(df: DataFrame, gold_quotes: str) -> DataFrame:
-    """Add the per-row BM25 index (struct column ``_bm``) of ``gold_quotes``."""
-    return df.withColumn(IDX, gold_index(F.col(gold_quotes)))
-
-
-def best_match_in(g: Column, quote: Column) -> Column:
-    """Best BM25 score of one quote over the golden quotes of index ``g``."""
-    return F.array_max(_score_tokens(tokenize(quote), g))
-
-
-def bm25_column(gold_quotes: str, resp_quotes: str) -> Column:
-    """T7 on a row that carries the gold index and the response quote array."""
-    ng, nr = F.size(F.col(gold_quotes)), F.size(F.col(resp_quotes))
-
-    def score(g: Column) -> Column:
-        system = _sum(F.transform(F.col(resp_quotes), lambda q: best_match_in(g, q)))
-        perfect = g["perfect"]
-        safe = F.when(F.abs(perfect) < ZERO_TOLERANCE, F.lit(1.0)).otherwise(perfect)
-        return (
-            F.when((ng == 0) | (nr == 0), F.lit(0.0))
-            .when(F.abs(perfect) < ZERO_TOLERANCE, F.lit(0.0))
-            .otherwise(round_half_up(F.least(F.lit(1.0), system / safe), 4))
-        )
-
-    return let(F.col(IDX), score)
+# Cells (response quotes x golden quotes) scored at once.
+BLOCK_CELLS = 1 << 20
+
+
+class GoldIndex:
+    """Posting lists of the golden quotes of one row."""
+
+    def __init__(self, quotes: list[list[str]]):
+        self.quotes, self.n = quotes, len(quotes)
+        counts = [Counter(q) for q in quotes]
+        self.term = {t: k for k, t in enumerate(dict.fromkeys(t for c in counts for t in c))}
+        term = np.array([self.term[t] for c in counts for t in c], dtype=np.int64)
+        tf = np.array([f for c in counts for f in c.values()], dtype=float)
+        doc = np.repeat(np.arange(self.n), [len(c) for c in counts])
+        df = np.bincount(term, minlength=len(self.term))
+        raw = np.log(self.n - df + 0.5) - np.log(df + 0.5)
+        mean = sum(raw.tolist()) / max(len(raw), 1)
+        idf = np.where(raw < 0, EPSILON * mean, raw)
+        length = np.array([len(q) for q in quotes], dtype=float)
+        average = length.sum() / max(self.n, 1)
+        weight = idf[term] * (tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * length[doc] / max(average, 1e-300))))
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.start = np.r_[0, np.cumsum(df)]
+
+    def best(self, queries: list[list[str]]) -> np.ndarray:
+        """Best score of each query over all golden quotes."""
+        out = np.zeros(len(queries))
+        step = max(1, BLOCK_CELLS // max(self.n, 1))
+        for lo in range(0, len(queries), step):
+            part = queries[lo: lo + step]
+            term = np.array([self.term.get(t, -1) for q in part for t in q], dtype=np.int64)
+            query = np.repeat(np.arange(len(part)), [len(q) for q in part])
+            known = term >= 0
+            term, query = term[known], query[known]
+            size = self.start[term + 1] - self.start[term]
+            ends = np.cumsum(size)
+            posting = np.repeat(self.start[term] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+            cells = np.bincount(np.repeat(query, size) * self.n + self.doc[posting], weights=self.weight[posting],
+                                minlength=len(part) * self.n)
+            out[lo: lo + step] = cells.reshape(len(part), self.n).max(axis=1)
+        return out
+
+
+_MATCHES = T.StructType([T.StructField("best", T.ArrayType(T.DoubleType())), T.StructField("perfect", T.DoubleType())])
+
+
+@F.pandas_udf(_MATCHES)
+def _match(gold: pd.Series, response: pd.Series) -> pd.DataFrame:
+    """Best score of every response quote, and the sum of the golden quotes' own best scores;
+    both are empty or 0 without golden quotes. Rows of one document stand together after the
+    join, so the index of the row before is used again where the golden quotes are equal."""
+    last, index, perfect, best, own = None, None, 0.0, [], []
+    for g, r in zip(gold, response, strict=True):
+        g, r = list(g) if g is not None else [], list(r) if r is not None else []
+        if not g:
+            best.append([])
+            own.append(0.0)
+            continue
+        if g != last:
+            last, index = g, GoldIndex([q.lower().split() for q in g])
+            perfect = float(sum(index.best(index.quotes).tolist()))
+        best.append(index.best([q.lower().split() for q in r]))
+        own.append(perfect)
+    return pd.DataFrame({"best": best, "perfect": own})
 
 
 def add_bm25(df: DataFrame, gold_quotes: str, resp_quotes: str, out: str = "bm25") -> DataFrame:
-    """Add the BM25 score; builds the gold index first when it is not present."""
-    if IDX not in df.columns:
-        df = add_gold_index(df, gold_quotes)
-    return df.withColumn(out, bm25_column(gold_quotes, resp_quotes))
+    """Add the BM25 score of two columns of quote arrays."""
+    df = df.withColumn("_bm", _match(F.col(gold_quotes), F.col(resp_quotes)))
+    perfect = F.col("_bm.perfect")
+    system = F.aggregate(F.col("_bm.best"), F.lit(0.0), lambda acc, x: acc + x)
+    none = (F.size(F.col(gold_quotes)) == 0) | (F.size(F.col(resp_quotes)) == 0) | (F.abs(perfect) < ZERO_TOLERANCE)
+    safe = F.when(F.abs(perfect) < ZERO_TOLERANCE, F.lit(1.0)).otherwise(perfect)
+    score = F.when(none, F.lit(0.0)).otherwise(round_half_up(F.least(F.lit(1.0), system / safe), 4))
+    return df.withColumn(out, score).drop("_bm")
 
 
-def drop_index(df: DataFrame) -> DataFrame:
-    return df.drop(*INDEX_COLUMNS)
+def best_matches(pairs: DataFrame, keys: list[str], gold_quotes: str, resp_quotes: str) -> DataFrame:
+    """T6 as a long table: one row per response quote with its best score."""
+    scored = pairs.select(*keys, _match(F.col(gold_quotes), F.col(resp_quotes)).alias("_bm"))
+    return scored.select(*keys, F.posexplode("_bm.best").alias("ridx", "best")).withColumn("ridx", F.col("ridx").cast("bigint"))
 
 
 def term_statistics(gold: DataFrame, key: str, gold_quotes: str) -> DataFrame:
-    """T5 as a long table: one row per (key, term) with N, avgdl, df and idf."""
-    idx = add_gold_index(gold.select(key, gold_quotes), gold_quotes)
-    g = F.col(IDX)
-    z = F.arrays_zip(g["terms"].alias("token"), g["df"].alias("df"), g["idf"].alias("idf"))
-    return idx.select(
-        key,
-        g["n"].cast("bigint").alias("n_quotes"),
-        g["avgdl"].alias("avgdl"),
-        F.inline(z),
-    ).withColumn("df", F.col("df").cast("bigint"))
-
+    """T5 as a long table: one row per (key, term) with N, avgdl, df and idf.
 
-def best_matches(pairs: DataFrame, keys: list[str], gold_quotes: str, resp_quotes: str) -> DataFrame:
-    """T6 as a long table: one row per response quote with its best score."""
-    idx = pairs if IDX in pairs.columns else add_gold_index(pairs, gold_quotes)
-    per_quote = let(F.col(IDX), lambda g: F.transform(
-        F.col(resp_quotes), lambda q, i: F.struct(i.alias("ridx"), best_match_in(g, q).alias("best"))))
-    scored = idx.select(*keys, per_quote.alias("_m"))
-    return scored.select(*keys, F.inline("_m")).withColumn("ridx", F.col("ridx").cast("bigint"))
+    Relational: tokens of each quote, distinct per quote, counted by (key, term).
+    """
+    quotes = gold.select(F.col(key), F.posexplode(gold_quotes).alias("gidx", "q")).withColumn("toks", tokenize("q"))
+    size = quotes.groupBy(key).agg(F.count(F.lit(1)).alias("n_quotes"), F.avg(F.size("toks")).alias("avgdl"))
+    df = quotes.select(key, F.explode(F.array_distinct("toks")).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("df"))
+    n, m = F.col("n_quotes"), F.col("df")
+    raw = df.join(size, key).withColumn("raw", F.log(n - m + F.lit(0.5)) - F.log(m + F.lit(0.5)))
+    mean = raw.groupBy(key).agg(F.avg("raw").alias("mean"))
+    idf: Column = F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw"))
+    return raw.join(mean, key).select(key, "n_quotes", "avgdl", "token", "df", idf.alias("idf"))

@@ -9,22 +9,19 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_spark.functions.text import is_blank, nz, question_key
+from evidence_spark.session import reliable_checkpoint
 
 SPLITS = ("train", "validation", "test")
 
-# Default wording of the quote-extraction instruction (our own text; pass the
-# template your models were trained with to reproduce their prompts exactly).
+# Our own wording; pass the template your models were trained with to reproduce their prompts.
 DEFAULT_CONVERSATION_TEMPLATE = (
-    "Task: read the context and copy the passages that support the answer to the question.\n"
-    "Reply with the passages only, each written as ##begin_quote## passage ##end_quote##.\n"
-    "-------------------------------------------------------\n"
-    "Question: {question}\n"
-    "Context: {context}\n"
-    "Quotes:\n"
+    "Evidence wanted for: {question}\n\n"
+    "[context]\n{context}\n[/context]\n\n"
+    "Which sentences of the context carry the answer? Write each one as ##begin_quote## ... ##end_quote##."
 )
 
 
@@ -107,36 +104,58 @@ def usable_questions(df: DataFrame, question: str = "question") -> DataFrame:
     return df.where(~is_blank(question))
 
 
+def question_keys(existing: DataFrame, question: str = "question") -> DataFrame:
+    """Normalised questions of every split (non-empty questions only; a whitespace-only
+    question yields the key ''), one row per row: what an anti join needs."""
+    return existing.where(nz(question).isNotNull()).select(question_key(question).alias("qkey"))
+
+
 def existing_question_keys(existing: DataFrame, question: str = "question") -> DataFrame:
-    """Distinct normalised questions of every split (non-empty questions only;
-    a whitespace-only question yields the key '')."""
-    return existing.where(nz(question).isNotNull()).select(question_key(question).alias("qkey")).distinct()
+    """The distinct question keys."""
+    return question_keys(existing, question).distinct()
 
 
-def novel_samples(corpus: DataFrame, existing_keys: DataFrame, split: str | None = None) -> DataFrame:
+def novel_samples(corpus: DataFrame, keys: DataFrame, split: str | None = None) -> DataFrame:
     """Corpus rows (of one split, if given) with a usable question whose key is in
     no split of the existing dataset. Candidates are not deduplicated among themselves.
-    Anti join on the key: AQE broadcasts the key set only when its measured size is
-    under the threshold, otherwise shuffles (and splits skewed partitions)."""
+
+    Anti join on plain keys (``question_keys``): nothing stands between the exchanges and
+    the join, so adaptive execution can broadcast the keys by their measured size, and
+    else split the partition of a question that holds much of the corpus."""
     src = corpus.where(F.col("split") == split) if split else corpus
     src = usable_questions(src).withColumn("qkey", question_key("question"))
-    return src.join(existing_keys, "qkey", "left_anti").drop("qkey")
+    return src.join(keys, "qkey", "left_anti").drop("qkey")
+
+
+SAMPLE_BUCKETS = 4096
 
 
 def sample_exact(df: DataFrame, n: int | None, seed: int = 0, key_cols: list[str] | None = None) -> DataFrame:
     """L3: n rows without replacement, repeatable for a seed; n falsy = all rows.
 
-    Orders by a seeded hash of the key columns (ties broken by the keys) and takes
-    the first n, so the result has exactly min(n, rows) rows and is stable under task
-    retries (unlike ``rand``).
+    Rows are ordered by an md5 of seed and key columns, then by the keys. Counts per bucket
+    of the hash (``SAMPLE_BUCKETS`` numbers, on the driver) give the bucket in which the n-th
+    row lies: smaller buckets are taken whole, and only that bucket's keys are ranked. Rows
+    with equal keys are interchangeable copies; the rank also counts them.
     """
     if n is not None and n < 0:
         raise ValueError("sample size must not be negative")
     if not n:
         return df
     keys = key_cols or df.columns
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-    return df.orderBy(h, *keys).limit(n)
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    marked = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    counts = {r[0]: r[1] for r in marked.groupBy("_b").count().collect()}
+    taken, cut = 0, SAMPLE_BUCKETS
+    for b in range(SAMPLE_BUCKETS):
+        if taken + counts.get(b, 0) >= n:
+            cut = b
+            break
+        taken += counts.get(b, 0)
+    whole = marked.where(F.col("_b") < cut)
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys))
+    last = marked.where(F.col("_b") == cut).withColumn("_r", rank).where(F.col("_r") <= n - taken).drop("_r")
+    return whole.unionByName(last).drop("_h", "_b")
 
 
 def add_samples(existing: DataFrame, new_rows: DataFrame, columns: str = "existing",
@@ -159,35 +178,51 @@ def add_samples(existing: DataFrame, new_rows: DataFrame, columns: str = "existi
     raise ValueError("columns must be 'existing' or 'union'")
 
 
-def stable_id(cols: list[str]) -> Column:
-    """Deterministic id from content: md5 of the columns joined by U+001F (NULL as '')."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+ID_SALTS = 32
+
+
+def content_key(cols: list[str]) -> Column:
+    """md5 of the columns; NULL differs from ''."""
+    parts = [F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(c).cast("string"))) for c in cols]
     return F.md5(F.concat_ws("\x1f", *parts))
 
 
+def with_content_ids(df: DataFrame, cols: list[str], out: str) -> DataFrame:
+    """Add an id of its own to every row: md5 of the content and the row's number among rows
+    of equal content (1, 2, ...). Equal rows are interchangeable, so the ids of a table
+    depend on its rows alone.
+
+    Rows are checkpointed once with a salt, numbered within (content, salt), and the salts'
+    counts added up: content that much of the table shares is split over ``ID_SALTS`` tasks.
+    """
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(ID_SALTS))
+    rows = reliable_checkpoint(df.withColumn("_key", content_key(cols)).withColumn("_salt", salt))
+    here = Window.partitionBy("_key", "_salt")
+    sizes = rows.groupBy("_key", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    numbered = rows.withColumn("_i", F.row_number().over(here.orderBy(F.lit(0)))).join(sizes, ["_key", "_salt"])
+    new = F.md5(F.concat_ws("#", F.col("_key"), (F.col("_before") + F.col("_i")).cast("string")))
+    return numbered.withColumn(out, new).drop("_key", "_salt", "_i", "_before")
+
+
 def assign_ids(df: DataFrame, splits, mode: str = "stable", key_cols: list[str] | None = None,
                split_col: str = "split", id_col: str = "uuid") -> DataFrame:
     """P10: fresh id for every row of the chosen splits (overwrites); others untouched.
 
-    ``stable``: md5 of ``key_cols`` (default: every column but split and id) -- the same
-    on task retry or re-run; identical rows get the same id. ``random``: ``uuid()``,
+    ``stable``: from ``key_cols`` (default: every column but split and id) and the number of
+    the row among equal ones -- the same set of ids on retry or re-run. ``random``: ``uuid()``,
     materialised in the shared checkpoint folder so every later action sees one value.
     """
-    splits = list(splits)
-    if mode == "stable":
-        keys = key_cols or [c for c in sorted(df.columns) if c not in (split_col, id_col)]
-        new = stable_id(keys)
-    elif mode == "random":
-        new = F.expr("uuid()")
-    else:
-        raise ValueError("mode must be 'stable' or 'random'")
+    chosen = F.col(split_col).isin(*list(splits))
     old = F.col(id_col) if id_col in df.columns else F.lit(None).cast("string")
-    out = df.withColumn(id_col, F.when(F.col(split_col).isin(*splits), new).otherwise(old))
     if mode == "random":
-        from evidence_spark.session import reliable_checkpoint
-
-        out = reliable_checkpoint(out)
-    return out
+        return reliable_checkpoint(df.withColumn(id_col, F.when(chosen, F.expr("uuid()")).otherwise(old)))
+    if mode != "stable":
+        raise ValueError("mode must be 'stable' or 'random'")
+    keys = key_cols or [c for c in sorted(df.columns) if c not in (split_col, id_col)]
+    out = with_content_ids(df, [split_col, *keys], "_new")
+    return out.withColumn(id_col, F.when(chosen, F.col("_new")).otherwise(old)).drop("_new")
 
 
 TEST_RECORD_COLUMNS = ["question", "answer", "context", "quotes"]
@@ -196,16 +231,14 @@ TEST_RECORD_COLUMNS = ["question", "answer", "context", "quotes"]
 def test_records(published: DataFrame, splits, key_cols: list[str] | None = None,
                  keep: list[str] | None = None) -> DataFrame:
     """Records of the chosen splits (unknown splits skipped) with defaults: a missing
-    column becomes ''; the uuid is kept when non-empty, else a stable id is generated.
+    column becomes ''; the uuid is kept when non-empty, else every record gets a stable id
+    of its own (see ``with_content_ids``).
     ``keep`` carries extra columns (e.g. a row order for last-wins)."""
     src = published.where(F.col("split").isin(*list(splits)))
     cols = [F.col(c) if c in src.columns else F.lit("").alias(c) for c in TEST_RECORD_COLUMNS]
     rec = src.select(*cols, *(["uuid"] if "uuid" in src.columns else []), "split", *(keep or []))
-    gen = stable_id(key_cols or TEST_RECORD_COLUMNS + ["split"])
-    given = nz("uuid") if "uuid" in rec.columns else F.lit(None).cast("string")
-    return rec.withColumn("uuid", F.coalesce(given, gen))
-
-
-def normalise_question_column(df: DataFrame, question: str = "question") -> DataFrame:
-    return df.withColumn("qkey", question_key(question))
-
+    if "uuid" not in rec.columns:
+        return with_content_ids(rec, key_cols or TEST_RECORD_COLUMNS + ["split"], "uuid")
+    given = rec.where(nz("uuid").isNotNull())
+    new = rec.where(nz("uuid").isNull()).drop("uuid")
+    return given.unionByName(with_content_ids(new, key_cols or TEST_RECORD_COLUMNS + ["split"], "uuid"))

@@ -7,21 +7,20 @@
                             the other. This is a different measurement from a language
                             model judge; results are labelled ``judge='lexical'``.
 (c) ``callable_judge``    - a user function called from Arrow batches (``mapInPandas``),
-                            the client built once per partition.
+                            the client built once per partition; answers are saved in
+                            chunks, and a restart judges only pairs without an answer.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.functions.text import tokenize
-from evidence_spark.operators.bm25 import let
-from evidence_spark.session import reliable_checkpoint
-
 
 def judge_from_table(samples: DataFrame, judgments: DataFrame, keys=("uuid", "model")) -> DataFrame:
     """(a) Left join of judgments (unique on ``keys``); missing row = judge failure."""
@@ -36,45 +35,23 @@ def judge_from_table(samples: DataFrame, judgments: DataFrame, keys=("uuid", "mo
     return out.withColumn("judged", F.coalesce(F.col("judged"), F.lit(False)))
 
 
-def _token_sets(quotes: Column) -> Column:
-    return F.transform(quotes, lambda q: F.array_distinct(tokenize(q)))
-
-
-def _matches(a: Column, b: Column, threshold: float) -> Column:
-    inter = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - inter
-    jaccard = inter.cast("double") / F.greatest(union, F.lit(1))
-    return (inter == F.size(a)) | (inter == F.size(b)) | (jaccard >= F.lit(threshold))
-
-
-def lexical_judgment(gold_quotes: Column, resp_quotes: Column, threshold: float = 0.5) -> Column:
-    """(b) Row-local recall/precision over parsed quote arrays (no shuffle, no UDF).
+def lexical_judge(samples: DataFrame, gold_quotes: str, resp_quotes: str, threshold: float = 0.5) -> DataFrame:
+    """(b) Recall and precision by token overlap of the two quote arrays of each row.
 
-    Returns struct(recall, precision). Empty rules: no response quote -> precision 0,
-    recall 1 if gold is empty too else 0; no gold quote -> recall 1, precision 0.
-    Token sets are bound once per row (see ``bm25.let``).
+    Two quotes match when their distinct-token sets have Jaccard >= ``threshold`` or one
+    contains the other. Candidates are pairs of quotes that share a token: a posting list of
+    the row's golden tokens counts the common tokens of each pair, so quotes without one are
+    never compared. Empty rules: no response quote -> precision 0, recall 1 if gold is empty
+    too else 0; no gold quote -> recall 1, precision 0.
     """
-
-    def body(sets: Column) -> Column:
-        g, r = sets["g"], sets["r"]
-        ng, nr = F.size(g), F.size(r)
-        hit_g = F.size(F.filter(g, lambda a: F.exists(r, lambda b: _matches(a, b, threshold))))
-        hit_r = F.size(F.filter(r, lambda b: F.exists(g, lambda a: _matches(a, b, threshold))))
-        recall = (
-            F.when(nr == 0, F.when(ng == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-            .when(ng == 0, F.lit(1.0))
-            .otherwise(hit_g.cast("double") / F.greatest(ng, F.lit(1)))
-        )
-        precision = F.when((nr == 0) | (ng == 0), F.lit(0.0)).otherwise(
-            hit_r.cast("double") / F.greatest(nr, F.lit(1))
-        )
-        return F.struct(recall.alias("recall"), precision.alias("precision"))
-
-    return let(F.struct(_token_sets(gold_quotes).alias("g"), _token_sets(resp_quotes).alias("r")), body)
-
-
-def lexical_judge(samples: DataFrame, gold_quotes: str, resp_quotes: str, threshold: float = 0.5) -> DataFrame:
-    out = samples.withColumn("_lex", lexical_judgment(F.col(gold_quotes), F.col(resp_quotes), threshold))
+    @F.pandas_udf("struct<recall:double,precision:double>")
+    def judge(gold: pd.Series, response: pd.Series) -> pd.DataFrame:
+        rows = [_overlap([set(q.lower().split()) for q in (() if g is None else g)],
+                         [set(q.lower().split()) for q in (() if r is None else r)], threshold)
+                for g, r in zip(gold, response, strict=True)]
+        return pd.DataFrame(rows, columns=["recall", "precision"])
+
+    out = samples.withColumn("_lex", judge(F.col(gold_quotes), F.col(resp_quotes)))
     return (
         out.withColumn("recall", F.col("_lex.recall"))
         .withColumn("precision", F.col("_lex.precision"))
@@ -83,48 +60,81 @@ def lexical_judge(samples: DataFrame, gold_quotes: str, resp_quotes: str, thresh
     )
 
 
+def _overlap(gold: list[set], response: list[set], threshold: float) -> tuple[float, float]:
+    if not response:
+        return (0.0 if gold else 1.0), 0.0
+    if not gold:
+        return 1.0, 0.0
+    postings: dict[str, list[int]] = {}
+    for k, q in enumerate(gold):
+        for token in q:
+            postings.setdefault(token, []).append(k)
+    hit_gold, hit_response = set(), 0
+    for r in response:
+        common = Counter(k for token in r for k in postings.get(token, ()))
+        matched = [k for k, i in common.items()
+                   if i == len(gold[k]) or i == len(r) or i / (len(gold[k]) + len(r) - i) >= threshold]
+        hit_gold.update(matched)
+        hit_response += bool(matched)
+    return len(hit_gold) / len(gold), hit_response / len(response)
+
+
 JUDGE_SCHEMA = "uuid string, model string, recall double, precision double, judged boolean"
 
 
+def saved_judgments(spark: SparkSession, path: str) -> DataFrame:
+    """Answers stored so far under ``path`` (none: empty), one per (uuid, model).
+
+    A pair answered in two attempts counts as judged if one of them succeeded.
+    """
+    try:
+        rows = spark.read.schema(JUDGE_SCHEMA).parquet(f"{path.rstrip('/')}/chunk=*")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], JUDGE_SCHEMA)
+    best = rows.groupBy("uuid", "model").agg(F.max(F.struct("judged", "recall", "precision")).alias("b"))
+    return best.select("uuid", "model", "b.recall", "b.precision", "b.judged")
+
+
 def callable_judge(
     samples: DataFrame,
     make_judge: Callable[[], Callable[[str, str], tuple[float, float]]],
+    path: str,
     parallelism: int | None = None,
-    checkpoint: bool = True,
+    chunks: int = 16,
 ) -> DataFrame:
     """(c) Call ``make_judge()(ground_truth, system_response) -> (recall, precision)``.
 
     The judge is built once per partition. An exception for a row marks that row
-    ``judged = false`` (the run goes on). ``parallelism`` sets the number of concurrent
-    tasks (the analogue of a worker pool). Results are checkpointed to the shared folder
-    because a remote judge is neither free nor deterministic: a retry must not call it
-    again for rows already judged.
+    ``judged = false`` (the run goes on; a later run asks again). ``parallelism`` sets the
+    number of concurrent tasks (the analogue of a worker pool).
+
+    Pairs are dealt into ``chunks`` by a hash of their key; each chunk's answers are committed
+    to ``path/chunk=<n>`` before the next chunk starts, and a run leaves out the pairs that
+    are already answered there. A failed job therefore loses the answers of one chunk at
+    most; a task that is retried inside a chunk asks again for the rows of its partition.
     """
+    spark = samples.sparkSession
     src = samples.select("uuid", "model", "ground_truth", "system_response")
-    if parallelism:
-        src = src.repartition(parallelism, "uuid", "model")
 
     def run(batches):
         judge = make_judge()
         for pdf in batches:
-            rec, prec, ok = [], [], []
-            for gt, resp in zip(pdf["ground_truth"], pdf["system_response"]):
+            rows = []
+            for u, m, gt, resp in zip(pdf["uuid"], pdf["model"], pdf["ground_truth"], pdf["system_response"], strict=True):
                 try:
                     r, p = judge(gt, resp)
-                    rec.append(None if r is None else float(r))
-                    prec.append(None if p is None else float(p))
-                    ok.append(True)
+                    rows.append((u, m, None if r is None else float(r), None if p is None else float(p), True))
                 except Exception:  # judge failure is a row status, not a job failure
-                    rec.append(None)
-                    prec.append(None)
-                    ok.append(False)
-            yield pd.DataFrame(
-                {"uuid": pdf["uuid"], "model": pdf["model"], "recall": rec, "precision": prec, "judged": ok}
-            )
-
-    judged = src.mapInPandas(run, JUDGE_SCHEMA)
-    if checkpoint:
-        judged = reliable_checkpoint(judged)
-    return samples.join(judged, ["uuid", "model"], "left").withColumn(
-        "judged", F.coalesce(F.col("judged"), F.lit(False))
-    )
+                    rows.append((u, m, None, None, False))
+            yield pd.DataFrame(rows, columns=["uuid", "model", "recall", "precision", "judged"]).astype(
+                {"recall": "float64", "precision": "float64"})
+
+    for chunk in range(chunks):
+        done = saved_judgments(spark, path).where("judged").select("uuid", "model")
+        part = src.where(F.pmod(F.xxhash64("uuid", "model"), F.lit(chunks)) == chunk).join(done, ["uuid", "model"], "left_anti")
+        part = part.repartition(parallelism, "uuid", "model") if parallelism else part
+        part.mapInPandas(run, JUDGE_SCHEMA).write.mode("append").parquet(f"{path.rstrip('/')}/chunk={chunk}")
+    answers = saved_judgments(spark, path)
+    return samples.join(answers, ["uuid", "model"], "left").withColumn("judged", F.coalesce(F.col("judged"), F.lit(False)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evidence_spark.functions.metrics import clamp0_report, round_half_up
 
 METRICS = ["recall", "precision", "f1", "bm25", "format_score"]
+OUTCOMES = ["scored", "judge_error", "crash", "skipped"]
 
 
 def model_report(scores: DataFrame, model: str | None = None) -> DataFrame:
@@ -69,11 +70,22 @@ def format_summary(results: DataFrame) -> DataFrame:
 
 
 def evaluation_summary(results: DataFrame) -> DataFrame:
-    """A3 + A4 + A5 for one run, one row per model."""
-    a3 = run_summary(results).withColumnRenamed("count", "n_f1")
-    a4 = bm25_summary(results).withColumnRenamed("count", "n_bm25")
-    a5 = format_summary(results).withColumnRenamed("count", "n_format")
-    return a3.join(a4, "model").join(a5, "model")
+    """A3 + A4 + A5 and the A11 counts of one run in one aggregate, one row per model."""
+    has = F.col("f1").isNotNull()
+    v = F.when(F.col("bm25") != 0, F.col("bm25"))
+
+    def mean(c):
+        return F.coalesce(round_half_up(F.avg(c), 4), F.lit(0.0))
+
+    return results.groupBy("model").agg(
+        *[mean(F.when(has, F.col(x))).alias(f"avg_{x}") for x in ("recall", "precision", "f1")],
+        F.count("f1").alias("n_f1"),
+        mean(v).alias("avg_bm25"),
+        F.count(v).alias("n_bm25"),
+        mean("format_score").alias("avg_format_score"),
+        F.count("format_score").alias("n_format"),
+        *[F.count(F.when(F.col("status") == s, F.lit(1))).alias(f"n_{s}") for s in OUTCOMES],
+    )
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:

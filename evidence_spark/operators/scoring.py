@@ -2,25 +2,24 @@
 P14, J3, T11, T12, J4).
 
 One plan scores every model at once (model is a column, not a loop). Every join is
-keyed by ``uuid`` or ``(uuid, model)``; the gold-side BM25 index is built once per
-document before the pairs are formed and shared by all models.
+keyed by ``uuid``; the wide texts are shuffled once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_spark.functions.metrics import f1, repair_precision, round_half_up
 from evidence_spark.functions.text import format_score, nz, parse_quotes
 from evidence_spark.operators import bm25 as bm
 from evidence_spark.operators.judge import judge_from_table, lexical_judge
-from evidence_spark.operators.keyed import last_wins
 
 SCORE_COLUMNS = ["recall", "precision", "f1", "bm25", "format_score"]
 STATUS_SCORED = "scored"
 STATUS_JUDGE_ERROR = "judge_error"
 STATUS_CRASH = "crash"
+STATUS_SKIPPED = "skipped"
 
 
 def candidate_documents(testset: DataFrame, inferences: DataFrame, uuid: str | None = None) -> DataFrame:
@@ -50,16 +49,24 @@ def select_models(spark: SparkSession, available: DataFrame, models: list[str] |
 
 
 def gold_side(candidates: DataFrame) -> DataFrame:
-    """Per-document gold quotes and BM25 index, built once per uuid.
+    """Per-document gold text and quotes, one row per uuid."""
+    g = candidates.select("uuid", F.col("quotes").alias("ground_truth"))
+    return g.withColumn("gold_quotes", parse_quotes("ground_truth"))
 
-    Hash-partitioned by uuid first: this is the distribution the join with the
-    inferences needs anyway (the exchange is reused, not added), and it spreads the
-    index work over all tasks even when the test set is a single file.
+
+def _by_uuid(rows: DataFrame, name: str, *cols: str) -> DataFrame:
+    """(uuid, name): the rows of each uuid as a sorted array of (model, cols...).
+
+    One entry per (uuid, model): bounded by the number of models. Of repeated entries the
+    greatest is kept (deterministic; tables are meant to be unique on the pair).
     """
-    g = candidates.select("uuid", F.col("quotes").alias("ground_truth")).repartition("uuid").withColumn(
-        "gold_quotes", parse_quotes("ground_truth")
-    )
-    return bm.add_gold_index(g, "gold_quotes")
+    entry = rows.select("uuid", "model", *cols).groupBy("uuid", "model").agg(F.max(F.struct(F.lit(1).alias("one"), *cols)).alias("e"))
+    return entry.groupBy("uuid").agg(F.sort_array(F.collect_list(F.struct("model", *[F.col(f"e.{c}").alias(c) for c in cols]))).alias(name))
+
+
+def _entry(name: str) -> Column:
+    """The entry of the row's model in an array made by ``_by_uuid`` (NULL when absent)."""
+    return F.get(F.filter(F.col(name), lambda e: e["model"] == F.col("model")), F.lit(0))
 
 
 def evaluation_samples(
@@ -69,33 +76,56 @@ def evaluation_samples(
     models: DataFrame | None = None,
     uuid: str | None = None,
     force: bool = False,
-    with_index: bool = True,
+    judgments: DataFrame | None = None,
+    keep_skipped: bool = False,
 ) -> DataFrame:
-    """P14 + J3: (uuid, model, ground_truth, system_response) still to score.
+    """P14 + J3: (uuid, model, ground_truth, gold_quotes, system_response) still to score.
 
     uuid, inference and gold must be non-empty; pairs with any stored score are skipped
-    unless ``force`` (unlike the original, ``force`` really re-scores).
+    unless ``force`` (unlike the original, ``force`` really re-scores). With ``keep_skipped``
+    they stay as rows with ``skipped`` = true and no response text, for the outcome counts.
+    With ``judgments`` the columns recall, precision and judged are attached (T10 a).
+
+    Every table is keyed by uuid alone: judgments and stored scores are first gathered to one
+    narrow row per uuid, so inferences are scanned once and their text is shuffled once, with
+    any session settings, and each side can be broadcast or skew-split by the planner.
     """
-    cands = candidate_documents(testset, inferences, uuid)
-    gold = gold_side(cands) if with_index else cands.select(
-        "uuid", F.col("quotes").alias("ground_truth")
-    )
+    ts = testset.where(nz("uuid").isNotNull() & nz("quotes").isNotNull())
+    if uuid:
+        ts = ts.where(F.col("uuid") == uuid)
+        inferences = inferences.where(F.col("uuid") == uuid)
     inf = inferences.select("uuid", "model", F.col("quotes").alias("system_response")).where(
         nz("system_response").isNotNull() & nz("uuid").isNotNull()
     )
     if models is not None:
-        inf = inf.join(F.broadcast(models.select("model").distinct()), "model", "left_semi")
+        inf = inf.join(models.select("model").distinct(), "model", "left_semi")
+    pairs = inf.join(gold_side(ts), "uuid")
+    skipped = F.lit(False)
     if prior_scores is not None and not force:
-        inf = inf.join(prior_scores.select("uuid", "model"), ["uuid", "model"], "left_anti")
-    pairs = gold.where(nz("ground_truth").isNotNull()).join(inf, "uuid")
-    return pairs
+        pairs = pairs.join(_by_uuid(prior_scores, "_prior"), "uuid", "left")
+        skipped = _entry("_prior").isNotNull()
+    if judgments is not None:
+        j = judgments.select("uuid", "model", F.col("recall").cast("double").alias("recall"),
+                             F.col("precision").cast("double").alias("precision"))
+        pairs = pairs.join(_by_uuid(j, "_judged", "recall", "precision"), "uuid", "left")
+    pairs = pairs.withColumn("skipped", skipped)
+    if not keep_skipped:
+        pairs = pairs.where(~F.col("skipped"))
+    cols = [F.when(~F.col("skipped"), F.col(c)).alias(c) for c in ("ground_truth", "gold_quotes", "system_response")]
+    if judgments is not None:
+        e = _entry("_judged")
+        cols += [e["recall"].alias("recall"), e["precision"].alias("precision"), e.isNotNull().alias("judged")]
+    return pairs.select("uuid", "model", *cols, *(["skipped"] if keep_skipped else []))
 
 
 def score_samples(samples: DataFrame, judgments: DataFrame | None = None, judge: str = "table",
                   threshold: float = 0.5) -> DataFrame:
     """T11 + T12: judge, repair, F1, BM25 and format for every sample.
 
-    status: ``scored``; ``judge_error`` (no judgment: recall/precision/F1 NULL, BM25 and
+    A sample that carries ``judged`` (with recall and precision) keeps its judgment: from
+    :func:`evaluation_samples`, ``callable_judge`` or a judgments table joined before.
+
+    status: ``skipped`` (rows marked so: no metric); ``scored``; ``judge_error`` (no judgment: recall/precision/F1 NULL, BM25 and
     format kept); ``crash`` (a NULL recall or precision survives the repair, so F1
     cannot be computed: every metric NULL). Only ``scored`` rows are stored (S13).
     """
@@ -103,14 +133,14 @@ def score_samples(samples: DataFrame, judgments: DataFrame | None = None, judge:
     if "gold_quotes" not in s.columns:
         s = s.withColumn("gold_quotes", parse_quotes("ground_truth"))
     s = s.withColumn("resp_quotes", parse_quotes("system_response"))
-    if judge == "table":
+    if "judged" in s.columns:
+        pass
+    elif judge == "table":
         if judgments is None:
             raise ValueError("judge='table' needs a judgments DataFrame")
         s = judge_from_table(s, judgments)
     elif judge == "lexical":
         s = lexical_judge(s, "gold_quotes", "resp_quotes", threshold)
-    elif judge == "given":
-        pass  # recall/precision/judged already attached (e.g. callable_judge)
     else:
         raise ValueError(f"unknown judge {judge!r}")
     s = bm.add_bm25(s, "gold_quotes", "resp_quotes", out="_bm25")
@@ -118,12 +148,15 @@ def score_samples(samples: DataFrame, judgments: DataFrame | None = None, judge:
     s = s.withColumn("precision", repair_precision("recall", "precision", ng, nr))
     judged = F.col("judged")
     crash = judged & (F.col("recall").isNull() | F.col("precision").isNull())
+    skipped = F.col("skipped") if "skipped" in s.columns else F.lit(False)
     status = (
-        F.when(~judged, F.lit(STATUS_JUDGE_ERROR))
+        F.when(skipped, F.lit(STATUS_SKIPPED))
+        .when(~judged, F.lit(STATUS_JUDGE_ERROR))
         .when(crash, F.lit(STATUS_CRASH))
         .otherwise(F.lit(STATUS_SCORED))
     )
     ok = status == STATUS_SCORED
+    kept = ~status.isin(STATUS_CRASH, STATUS_SKIPPED)
     null = F.lit(None).cast("double")
     return s.select(
         "uuid",
@@ -132,8 +165,8 @@ def score_samples(samples: DataFrame, judgments: DataFrame | None = None, judge:
         F.when(ok, F.col("recall")).otherwise(null).alias("recall"),
         F.when(ok, F.col("precision")).otherwise(null).alias("precision"),
         F.when(ok, f1("precision", "recall")).otherwise(null).alias("f1"),
-        F.when(status != STATUS_CRASH, F.col("_bm25")).otherwise(null).alias("bm25"),
-        F.when(status != STATUS_CRASH, format_score("system_response")).otherwise(null).alias("format_score"),
+        F.when(kept, F.col("_bm25")).otherwise(null).alias("bm25"),
+        F.when(kept, format_score("system_response")).otherwise(null).alias("format_score"),
     )
 
 
@@ -158,10 +191,15 @@ def manual_scores(manual: DataFrame, testset: DataFrame, inferences: DataFrame)
     inf = inferences.select("uuid", "model", F.col("quotes").alias("system_response")).where(
         nz("system_response").isNotNull()
     )
-    applied = items.join(docs, "uuid").join(inf, ["uuid", "model"])
-    count = applied.agg(F.count(F.lit(1)).alias("updated"))
-    latest = last_wins(applied.select("uuid", "model", "ord", "recall", "precision",
-                                      "ground_truth", "system_response"), ["uuid", "model"], ["ord"])
+    # winners are chosen among the narrow items; texts are joined to them afterwards
+    narrow = items.select("uuid", "model", "ord", "recall", "precision")
+    winner = narrow.groupBy("uuid", "model").agg(
+        F.max(F.struct("ord", "recall", "precision")).alias("w"), F.count(F.lit(1)).alias("n")
+    ).select("uuid", "model", "n", "w.ord", "w.recall", "w.precision")
+    count = winner.join(docs.select("uuid"), "uuid", "left_semi").join(
+        inf.select("uuid", "model"), ["uuid", "model"], "left_semi"
+    ).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("updated"))
+    latest = winner.drop("n").join(docs, "uuid").join(inf, ["uuid", "model"])
     latest = latest.withColumn("gold_quotes", parse_quotes("ground_truth")).withColumn(
         "resp_quotes", parse_quotes("system_response")
     )

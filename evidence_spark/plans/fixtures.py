@@ -30,8 +30,17 @@ def _block(expr: str) -> str:
     )
 
 
+def _all_lines(expr: str) -> str:
+    """Every line of x as a block of its own ('' when x is blank)."""
+    return (
+        f"CASE WHEN trim({expr}) = '' THEN '' ELSE '##begin_quote## ' || "
+        f"replace({expr}, chr(10), ' ##end_quote## ##begin_quote## ') || ' ##end_quote## ' END"
+    )
+
+
 FIXTURES: dict[str, str] = {
-    # corpus rows (S1 shape) with golden quotes; doc_id kept for derived fixtures
+    # corpus rows (S1 shape); golden quotes are all lines of the text, or (original_quotes)
+    # its first line; doc_id kept for derived fixtures
     "fx_docs": f"""
 SELECT doc_id,
        'd' || CAST(doc_id AS STRING) AS hf_id,
@@ -47,8 +56,7 @@ SELECT doc_id,
        {_block(_line(1))} AS original_quotes,
        CASE WHEN doc_id % 7 = 0 THEN CAST(NULL AS STRING)
             WHEN doc_id % 11 = 0 THEN ''
-            ELSE ({_block(_line(1))}) || ({_block(_line(2))}) || ({_block(_line(3))})
-       END AS quotes
+            ELSE {_all_lines("text")} END AS quotes
 FROM {{documents}}""",
     # long inference table: one response per (uuid, model)
     "fx_inf": f"""
@@ -57,10 +65,11 @@ UNION ALL
 SELECT doc_id, hf_id AS uuid, 'm_first' AS model, original_quotes AS quotes FROM fx_docs
 UNION ALL
 SELECT d.doc_id, d.hf_id AS uuid, 'm.noise-1' AS model,
-       ({_block("split_part(d.context, chr(10), 2)")}) || ({_block("b.text")}) AS quotes
-FROM fx_docs d JOIN {{benchmark}} b ON b.item_id = d.doc_id % 40
+       ({_all_lines("d.context")}) || ({_block("b.text")}) AS quotes
+FROM (SELECT *, doc_id % (SELECT count(*) FROM {{benchmark}}) AS slot FROM fx_docs) d
+JOIN {{benchmark}} b ON b.item_id = d.slot
 UNION ALL
-SELECT d.doc_id, d.hf_id AS uuid, 'm_other' AS model, n.original_quotes AS quotes
+SELECT d.doc_id, d.hf_id AS uuid, 'm_other' AS model, n.quotes AS quotes
 FROM fx_docs d JOIN fx_docs n ON n.doc_id = d.doc_id + 1
 UNION ALL
 SELECT doc_id, hf_id AS uuid, 'm_badfmt' AS model, 'Answer: ' || quotes AS quotes
@@ -70,21 +79,25 @@ SELECT doc_id, hf_id AS uuid, 'm_open' AS model, replace(quotes, '##end_quote##'
 FROM fx_docs WHERE quotes IS NOT NULL
 UNION ALL
 SELECT doc_id, hf_id AS uuid, 'm_empty' AS model, '' AS quotes FROM fx_docs""",
-    # judge output stand-in; pairs with doc_id % 23 = 0 are missing (judge failure)
-    "fx_judgments": """
+    # judge output stand-in for every pair
+    "fx_all_judgments": """
 SELECT doc_id, uuid, model,
        CAST(doc_id % 5 AS DOUBLE) / 4 AS recall,
        CASE WHEN doc_id % 13 = 0 THEN CAST(NULL AS DOUBLE)
             WHEN doc_id % 6 = 0 THEN CAST(0 AS DOUBLE)
             ELSE CAST(doc_id % 4 AS DOUBLE) / 4 END AS precision
-FROM fx_inf WHERE doc_id % 23 <> 0""",
-    # an already published dataset (S8 shape) with padded/lower-cased questions
-    "fx_existing": """
+FROM fx_inf""",
+    # the same without pairs whose judge failed
+    "fx_judgments": "SELECT * FROM fx_all_judgments WHERE doc_id % 23 <> 0",
+    # a published dataset (S8 shape) with padded/lower-cased questions
+    "fx_pool": """
 SELECT doc_id, 's' || CAST(doc_id AS STRING) AS id, 'pool' AS source,
        '  ' || lower(question) || ' ' AS question, answer, context,
        original_quotes AS quotes,
        CASE WHEN doc_id % 8 = 0 THEN 'test' ELSE 'train' END AS split
-FROM fx_docs WHERE doc_id % 4 = 0""",
+FROM fx_docs""",
+    # the part of it that is published already, so that the rest of the corpus is new
+    "fx_existing": "SELECT * FROM fx_pool WHERE doc_id % 4 = 0",
     # manual score list; later ``ord`` wins, recall 2 is deliberately out of range
     "fx_manual": """
 SELECT CAST(doc_id AS BIGINT) AS ord, 'd' || CAST(doc_id AS STRING) AS uuid,
@@ -107,12 +120,17 @@ SELECT uuid, model,
        CASE WHEN doc_id % 6 = 0 THEN CAST(0.25 AS DOUBLE) END AS bm25,
        CASE WHEN doc_id % 6 = 0 THEN CAST(1 AS DOUBLE) END AS format_score
 FROM fx_judgments WHERE doc_id % 3 = 0 AND model IN ('m_first', 'm_exact')""",
-    # a published dataset with an optional uuid column (S9 input)
+    # a published dataset with an optional uuid column (S9 input); some records stand twice
     "fx_published": """
 SELECT doc_id, question, answer, context, quotes, split,
        CASE WHEN doc_id % 3 = 0 THEN 'd' || CAST(doc_id AS STRING)
             WHEN doc_id % 3 = 1 THEN '' END AS uuid
-FROM fx_existing""",
+FROM fx_pool
+UNION ALL
+SELECT doc_id + 1000000 AS doc_id, question, answer, context, quotes, split,
+       CASE WHEN doc_id % 3 = 0 THEN 'd' || CAST(doc_id AS STRING)
+            WHEN doc_id % 3 = 1 THEN '' END AS uuid
+FROM fx_pool WHERE doc_id % 5 = 0""",
     # inference files as a long table: file order, position in file; later wins.
     # File 2 overrides some m_first answers and names unknown uuids.
     "fx_inf_files": f"""
@@ -131,7 +149,9 @@ FROM fx_docs WHERE doc_id % 10 = 0""",
 ORDER = [
     "fx_docs",
     "fx_inf",
+    "fx_all_judgments",
     "fx_judgments",
+    "fx_pool",
     "fx_existing",
     "fx_manual",
     "fx_testset",
@@ -142,12 +162,14 @@ ORDER = [
 DEPS = {
     "fx_docs": [],
     "fx_inf": ["fx_docs"],
-    "fx_judgments": ["fx_inf"],
-    "fx_existing": ["fx_docs"],
+    "fx_all_judgments": ["fx_inf"],
+    "fx_judgments": ["fx_all_judgments"],
+    "fx_pool": ["fx_docs"],
+    "fx_existing": ["fx_pool"],
     "fx_manual": [],
     "fx_testset": ["fx_docs"],
     "fx_prior_scores": ["fx_judgments"],
-    "fx_published": ["fx_existing"],
+    "fx_published": ["fx_pool"],
     "fx_inf_files": ["fx_inf", "fx_docs"],
 }
 
@@ -190,3 +212,15 @@ def oracle_sql(names, final: str, extra: list[tuple[str, str]] | None = None) ->
     for t in DRIVER_TABLES:
         text = text.replace("{" + t + "}", t)
     return text
+
+
+def write_lines(df: DataFrame, folder: str, name: str) -> None:
+    """Write a one-column table of lines as the single file ``folder/name``."""
+    spark = df.sparkSession
+    staged = f"{folder.rstrip('/')}-{name}-staged"
+    df.coalesce(1).write.text(staged)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    part = next(f.getPath() for f in fs.listStatus(path(staged)) if f.getPath().getName().startswith("part-"))
+    fs.rename(part, path(f"{folder.rstrip('/')}/{name}"))

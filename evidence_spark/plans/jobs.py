@@ -6,6 +6,7 @@ a path it reads.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from evidence_spark.operators import curate as cu
 from evidence_spark.operators import report as rp
 from evidence_spark.operators import scoring as sc
+from evidence_spark.operators.judge import callable_judge
+from evidence_spark.session import scratch_path
 from evidence_spark.sources import corpus as src
 from evidence_spark.sources import inferences as inf_src
 from evidence_spark.sources import scores as score_src
@@ -62,8 +65,8 @@ class TestsetResult:
 
 
 def build_testset(published: DataFrame, splits, current: DataFrame | None = None,
-                  inferences: DataFrame | None = None, scores: DataFrame | None = None,
-                  order: list[str] | None = None) -> TestsetResult:
+                  inferences: DataFrame | None = None, scores: DataFrame | None = None, *,
+                  order: list[str]) -> TestsetResult:
     """S8 -> P9 -> S7 -> S9 (whole-record replace; replaced uuids lose children)."""
     records = cu.test_records(published, splits, keep=order)
     t, i, s, n = score_src.upsert_testset(current, records, inferences, scores, order=order)
@@ -78,34 +81,44 @@ def update_inferences(spark: SparkSession, data_dir: str, testset: DataFrame,
 
 @dataclass
 class EvaluationResult:
-    results: DataFrame          # one row per evaluated pair, with status
+    results: DataFrame          # one row per pair, with status (skipped pairs too)
     scores: DataFrame           # score table after the upsert (S13)
-    summary: DataFrame          # A3 + A4 + A5 per model
-    outcomes: DataFrame         # A11
+    summary: DataFrame          # A3 + A4 + A5 + A11 counts per model
+    outcomes: DataFrame         # A11 (model, status, n)
     models: DataFrame           # J5 (ord, model)
     candidates: DataFrame       # A7 (one row: count)
 
 
 def evaluate(spark: SparkSession, testset: DataFrame, inferences: DataFrame, judgments: DataFrame | None = None,
-             judge: str = "table", prior_scores: DataFrame | None = None, models: list[str] | None = None,
-             uuid: str | None = None, force: bool = False, persist: bool = True) -> EvaluationResult:
-    """S12 -> A6/J5 -> P14/J3 -> T11 -> T12 -> S13, then A3-A5, A7, A11.
+             judge: str | Callable = "table", prior_scores: DataFrame | None = None, models: list[str] | None = None,
+             uuid: str | None = None, force: bool = False, results_path: str | None = None,
+             judgments_path: str | None = None, parallelism: int | None = None) -> EvaluationResult:
+    """S12 -> A6/J5 -> P14/J3 -> T10 -> T11 -> T12 -> S13, then A3-A5, A7, A11.
 
-    All models in one plan. The per-pair results are persisted once (they feed the
-    score table and every summary); with a remote judge use ``callable_judge``, which
-    checkpoints its answers.
+    All models in one plan. ``judge`` is ``table`` (``judgments``), ``lexical``, or a function
+    that makes a judge (see ``callable_judge``): its answers are saved under
+    ``judgments_path`` as they come, so a run that is started again asks only for the rest.
+
+    The per-pair results are written once, to ``results_path`` or a fresh folder under the
+    shared checkpoint folder, and read back: they feed the score table and every summary.
     """
     cands = sc.candidate_documents(testset, inferences, uuid)
     chosen = sc.select_models(spark, sc.available_models(cands, inferences), models)
-    samples = sc.evaluation_samples(testset, inferences, prior_scores, models=chosen if models else None,
-                                    uuid=uuid, force=force)
-    results = sc.score_samples(samples, judgments=judgments, judge=judge)
-    if persist:
-        results = results.persist()
-    table = score_src.write_scores(prior_scores, sc.stored_scores(results))
+    samples = sc.evaluation_samples(testset, inferences, prior_scores, models=chosen if models else None, uuid=uuid,
+                                    force=force, judgments=judgments if judge == "table" else None, keep_skipped=True)
+    if callable(judge):
+        path = judgments_path or scratch_path(spark, "judgments")
+        asked = callable_judge(samples.where(~F.col("skipped")), judge, path, parallelism)
+        samples = asked.unionByName(samples.where(F.col("skipped")), allowMissingColumns=True)
+    elif judge == "table" and judgments is None:
+        raise ValueError("judge='table' needs a judgments DataFrame")
+    results = sc.score_samples(samples, judge=judge if isinstance(judge, str) else "table")
+    path = results_path or scratch_path(spark, "results")
+    results.write.mode("overwrite").parquet(path)
+    results = spark.read.schema(results.schema).parquet(path)
     return EvaluationResult(
         results=results,
-        scores=table,
+        scores=score_src.write_scores(prior_scores, sc.stored_scores(results)),
         summary=rp.evaluation_summary(results),
         outcomes=rp.outcome_counts(results),
         models=chosen,
@@ -124,9 +137,12 @@ def merge_dataset(existing: DataFrame, corpus: DataFrame, split: str | None = "t
 
     Returns None (and writes nothing) when there is no novel sample.
     """
-    keys = cu.existing_question_keys(existing)
-    novel = cu.novel_samples(corpus, keys, split)
+    novel = cu.novel_samples(corpus, cu.question_keys(existing), split)
     novel = cu.sample_exact(novel, n, seed, key_cols=["hf_id"] if "hf_id" in novel.columns else None)
+    # the novel rows are computed once; the test and the merged table read what was written
+    path = scratch_path(corpus.sparkSession, "novel")
+    novel.write.parquet(path)
+    novel = corpus.sparkSession.read.schema(novel.schema).parquet(path)
     if novel.isEmpty():
         return None
     merged = cu.add_samples(existing, cu.training_rows(novel), columns=columns)

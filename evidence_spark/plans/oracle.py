@@ -1,8 +1,8 @@
 """DuckDB SQL for the correctness check of every registered query.
 
-Written independently of the Spark code: BM25 here is the token-level relational
-plan (explode, group, join on (uuid, token)), while the library computes it
-row-locally. Doubles are rounded with ``floor(x * 10^d + 0.5) / 10^d`` in both.
+Written independently of the Spark code: BM25 and the lexical judge here are token-level
+relational plans (unnest, group, join on (uuid, token)); the library uses posting lists
+inside a row. Doubles are rounded with ``floor(x * 10^d + 0.5) / 10^d`` in both.
 """
 
 from __future__ import annotations
@@ -124,6 +124,14 @@ def scored_ctes(judge: str = "table", samples=SAMPLES) -> list[tuple[str, str]]:
             "j.recall, j.precision, j.uuid IS NOT NULL AS ok "
             "FROM samples s LEFT JOIN fx_judgments j ON j.uuid = s.uuid AND j.model = s.model",
         )
+    elif judge == "stub":
+        judged = (
+            "judged",
+            f"SELECT s.uuid, s.model, s.resp, len({parse('s.gt')}) AS ng, len({parse('s.resp')}) AS nr, "
+            "CASE WHEN length(resp) % 7 > 0 THEN CAST(length(resp) % 5 AS DOUBLE) / 4 END AS recall, "
+            "CASE WHEN length(resp) % 7 > 0 THEN CAST(length(gt) % 5 AS DOUBLE) / 4 END AS precision, "
+            "length(resp) % 7 > 0 AS ok FROM samples s",
+        )
     else:
         ctes += lexical_ctes()
         judged = (

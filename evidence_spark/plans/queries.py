@@ -47,8 +47,9 @@ def _samples(spark, sf, **kw):
 
 
 def _results(spark, sf, judge="table"):
-    samples, j = _samples(spark, sf)
-    return sc.score_samples(samples, judgments=j, judge=judge)
+    ts, inf, j = _scoring(spark, sf)
+    samples = sc.evaluation_samples(ts, inf, judgments=j if judge == "table" else None)
+    return sc.score_samples(samples, judge=judge)
 
 
 # --------------------------------------------------------------------------- text
@@ -133,7 +134,7 @@ _PAIRS_ALL = ("pairs", "SELECT uuid, model, quotes AS resp FROM fx_inf")
 )
 def t07_bm25(spark, sf):
     ts = _fx(spark, sf, "fx_testset").select("uuid", F.col("quotes").alias("gt"))
-    gold = bm.add_gold_index(ts.withColumn("gold_quotes", parse_quotes("gt")), "gold_quotes")
+    gold = ts.withColumn("gold_quotes", parse_quotes("gt"))
     inf = _fx(spark, sf, "fx_inf").select("uuid", "model", F.col("quotes").alias("resp"))
     pairs = inf.join(gold, "uuid", "left").withColumn(
         "gold_quotes", F.coalesce("gold_quotes", F.array().cast("array<string>"))
@@ -144,10 +145,10 @@ def t07_bm25(spark, sf):
 # --------------------------------------------------------------------------- metrics
 @register(
     "t08_f1",
-    O.q(["fx_judgments"], f"SELECT uuid, model, CAST({O.f1('precision', 'recall')} AS DOUBLE) AS f1 FROM fx_judgments"),
+    O.q(["fx_all_judgments"], f"SELECT uuid, model, CAST({O.f1('precision', 'recall')} AS DOUBLE) AS f1 FROM fx_all_judgments"),
 )
 def t08_f1(spark, sf):
-    j = _fx(spark, sf, "fx_judgments")
+    j = _fx(spark, sf, "fx_all_judgments")
     return j.select("uuid", "model", f1("precision", "recall").alias("f1"))
 
 
@@ -255,6 +256,37 @@ def a05_format_summary(spark, sf):
     return rp.format_summary(_results(spark, sf))
 
 
+_NESTED = ("nst", "SELECT model, CASE WHEN recall IS NOT NULL AND recall < 1 THEN f1 END AS f1, recall, precision FROM res")
+
+
+@register(
+    "a03b_run_summary_nested",
+    O.q(O.SCORING_FX,
+        "SELECT model, "
+        + ", ".join(f"coalesce({O.r4(f'avg(CASE WHEN f1 IS NOT NULL THEN {m} END)')}, 0.0) AS avg_{m}"
+                    for m in ("recall", "precision", "f1"))
+        + ", count(f1) AS count FROM nst GROUP BY model",
+        O.scored_ctes() + [_NESTED]),
+)
+def a03b_run_summary_nested(spark, sf):
+    """A3 with the metrics under a key that some rows lack."""
+    r = _results(spark, sf)
+    m = F.when(F.col("recall") < 1, F.struct("recall", "precision", "f1"))
+    return rp.run_summary(r.select("model", m.alias("scores")), key="scores")
+
+
+@register(
+    "a04b_bm25_fallback",
+    O.q(O.SCORING_FX,
+        f"SELECT model, coalesce({O.r4('avg(coalesce(nullif(bm25, 0), format_score))')}, 0.0) AS avg_bm25, "
+        "count(coalesce(nullif(bm25, 0), format_score)) AS count FROM res GROUP BY model",
+        O.scored_ctes()),
+)
+def a04b_bm25_fallback(spark, sf):
+    """A4 with another column where BM25 is missing or 0."""
+    return rp.bm25_summary(_results(spark, sf), fallback="format_score")
+
+
 _CANDS = (
     "cands",
     "SELECT * FROM fx_testset t WHERE (t.quotes IS NULL OR t.quotes <> '') "
@@ -287,10 +319,13 @@ def a11_outcomes(spark, sf):
 
 @register(
     "l01_report_sorted",
-    O.q(O.SCORING_FX, O.report_select("stored") + " ORDER BY model", O.scored_ctes() + [_STORED]),
+    O.q(O.SCORING_FX, "SELECT row_number() OVER (ORDER BY model) AS place, model FROM (SELECT DISTINCT model FROM stored)",
+        O.scored_ctes() + [_STORED]),
 )
 def l01_report_sorted(spark, sf):
-    return rp.model_report(sc.stored_scores(_results(spark, sf))).orderBy("model")
+    """L1: the place of each model in the report's own order (one row per model)."""
+    rows = [(i + 1, r["model"]) for i, r in enumerate(rp.model_report(sc.stored_scores(_results(spark, sf))).collect())]
+    return spark.createDataFrame(rows, "place bigint, model string")
 
 
 # part 2 registers itself on import (curation, chat, sources, jobs)

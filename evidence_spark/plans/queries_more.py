@@ -14,7 +14,7 @@ from evidence_spark.operators import report as rp
 from evidence_spark.operators import scoring as sc
 from evidence_spark.plans import jobs
 from evidence_spark.plans import oracle as O
-from evidence_spark.plans.fixtures import fixture
+from evidence_spark.plans.fixtures import fixture, write_lines
 from evidence_spark.plans.queries import _results, _samples, _scoring, register
 from evidence_spark.session import scratch_path
 from evidence_spark.sources import corpus as src
@@ -54,11 +54,31 @@ def p01_distilled_quotes(spark, sf):
 
 
 @register("p02_normalize_text", O.q(["fx_docs"],
-    f"SELECT hf_id, CASE WHEN doc_id % 2 = 0 THEN question || answer ELSE question END AS answer_text FROM fx_docs"))
+    "SELECT hf_id, CASE doc_id % 9 WHEN 0 THEN question || answer WHEN 1 THEN question WHEN 2 THEN NULL "
+    "WHEN 3 THEN '[' || CAST(doc_id AS STRING) || ',1]' WHEN 4 THEN CAST(doc_id AS STRING) WHEN 5 THEN 'true' "
+    "WHEN 6 THEN question WHEN 7 THEN '{\"n\":' || CAST(doc_id AS STRING) || '}' ELSE '[]' END AS answer_text FROM fx_docs"))
 def p02_normalize_text(spark, sf):
+    """All shapes of the field: objects, string, null, list without objects, number, bool, missing text, object, empty list."""
     d = _fx(spark, sf, "fx_docs")
-    objs = F.to_variant_object(F.array(F.struct(F.col("question").alias("text")), F.struct(F.col("answer").alias("text"))))
-    raw = F.when(F.col("doc_id") % 2 == 0, objs).otherwise(F.col("question").cast("variant"))
+    i = F.col("doc_id")
+
+    def text(c):
+        return F.struct(F.col(c).alias("text"))
+
+    shapes = [
+        F.to_variant_object(F.array(text("question"), text("answer"))),
+        F.col("question").cast("variant"),
+        F.lit(None).cast("variant"),
+        F.array(i, F.lit(1).cast("bigint")).cast("variant"),
+        i.cast("variant"),
+        F.lit(True).cast("variant"),
+        F.parse_json(F.concat(F.lit('[{"text":'), F.to_json(F.col("question").cast("variant")), F.lit('},{"other":1},2]'))),
+        F.to_variant_object(F.struct(i.alias("n"))),
+        F.parse_json(F.lit("[]")),
+    ]
+    raw = F.lit(None).cast("variant")
+    for k, shape in enumerate(shapes):
+        raw = F.when(i % 9 == k, shape).otherwise(raw)
     return d.select("hf_id", normalize_variant(raw).alias("answer_text"))
 
 
@@ -106,30 +126,50 @@ def p07_training_rows(spark, sf):
                     F.col("conversations")[1]["content"].alias("assistant_content"))
 
 
-@register("p08_drop_columns", O.q(["fx_existing"], "SELECT question, answer, context, quotes, split FROM fx_existing"))
+@register("p08_drop_columns", O.q(["fx_pool"], "SELECT question, answer, context, quotes, split FROM fx_pool"))
 def p08_drop_columns(spark, sf):
-    return cu.drop_columns(_fx(spark, sf, "fx_existing"), ["id", "source", "doc_id", "not_there"])
+    return cu.drop_columns(_fx(spark, sf, "fx_pool"), ["id", "source", "doc_id", "not_there"])
 
 
-_REC = ("rec", f"SELECT question, answer, context, quotes, split, doc_id, coalesce(nullif(uuid, ''), {MD5_REC}) AS uuid "
+# The oracle knows nothing of how ids are made: every content has as many ids as records,
+# and no id stands for two contents.
+_IDS_SQL = ("SELECT {cols}, count(*) AS n, CASE WHEN bool_and({made}) THEN count(*) ELSE 1 END AS n_ids, CAST(0 AS BIGINT) AS n_shared "
+            "FROM {src} GROUP BY ALL")
+
+
+def _id_counts(df, cols):
+    """Rows and distinct ids of each content, and how many of its ids other contents have too."""
+    owners = df.select("uuid", F.md5(F.to_json(F.struct(*cols))).alias("content")).groupBy("uuid").agg(
+        F.count_distinct("content").alias("owners"))
+    out = df.join(owners, "uuid").groupBy(*cols).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("uuid").alias("n_ids"),
+        F.count_distinct(F.when(F.col("owners") > 1, F.col("uuid"))).alias("n_shared"))
+    return out
+
+
+_REC = ("rec", "SELECT question, answer, context, quotes, split, doc_id, nullif(uuid, '') AS uuid "
                "FROM fx_published WHERE split IN ('test', 'nosuch')")
 
 
-@register("p09_test_records", O.q(["fx_published"], "SELECT uuid, question, answer, context, quotes, split FROM rec", [_REC]))
+@register("p09_test_records", O.q(["fx_published"], _IDS_SQL.format(
+    cols="question, answer, context, quotes, split, uuid IS NULL AS made", made="uuid IS NULL", src="rec"), [_REC]))
 def p09_test_records(spark, sf):
-    return cu.test_records(_fx(spark, sf, "fx_published"), ["test", "nosuch"]).select(
-        "uuid", "question", "answer", "context", "quotes", "split")
+    pub = _fx(spark, sf, "fx_published").withColumn("made", F.coalesce(F.col("uuid"), F.lit("")) == "")
+    rec = cu.test_records(pub, ["test", "nosuch"], keep=["made"])
+    given = rec.where(~F.col("made")).groupBy("question", "answer", "context", "quotes", "split", "made").agg(
+        F.count(F.lit(1)).alias("n"), F.lit(1).cast("bigint").alias("n_ids"), F.lit(0).cast("bigint").alias("n_shared"))
+    return given.unionByName(_id_counts(rec.where("made"), ["question", "answer", "context", "quotes", "split", "made"]))
 
 
-_MD5_SORTED = ("md5(concat_ws(chr(31), coalesce(answer, ''), coalesce(context, ''), coalesce(question, ''), "
-               "coalesce(quotes, '')))")
+_P10_COLS = "question, answer, context, quotes, split"
 
 
-@register("p10_assign_ids", O.q(["fx_existing"],
-    f"SELECT question, split, CASE WHEN split IN ('test') THEN {_MD5_SORTED} END AS uuid FROM fx_existing"))
+@register("p10_assign_ids", O.q(["fx_published"], _IDS_SQL.format(
+    cols=_P10_COLS, made="TRUE", src="fx_published WHERE split = 'test'")))
 def p10_assign_ids(spark, sf):
-    ds = _fx(spark, sf, "fx_existing").select("question", "answer", "context", "quotes", "split")
-    return cu.assign_ids(ds, ["test"]).select("question", "split", "uuid")
+    ds = _fx(spark, sf, "fx_published").select("question", "answer", "context", "quotes", "split")
+    out = cu.assign_ids(ds, ["test"])
+    return _id_counts(out.where("uuid is not null"), ["question", "answer", "context", "quotes", "split"])
 
 
 @register("p11_inference_prompts", O.q(["fx_testset"],
@@ -143,7 +183,7 @@ def p11_inference_prompts(spark, sf):
     f"SELECT uuid, model, {sql_template(ch.DEFAULT_JUDGE_TEMPLATE, ground_truth='gt', system_response='resp')} AS prompt "
     "FROM samples", [O.SAMPLES]))
 def p12_judge_prompts(spark, sf):
-    samples, _ = _samples(spark, sf, with_index=False)
+    samples, _ = _samples(spark, sf)
     return ch.judge_prompts(samples)
 
 
@@ -188,7 +228,7 @@ _SAMPLES_RESUMED = (
 
 def _resumed(spark, sf, force=False):
     ts, inf, _ = _scoring(spark, sf)
-    return sc.evaluation_samples(ts, inf, prior_scores=_fx(spark, sf, "fx_prior_scores"), force=force, with_index=False)
+    return sc.evaluation_samples(ts, inf, prior_scores=_fx(spark, sf, "fx_prior_scores"), force=force)
 
 
 @register("p14_eval_samples", O.q(O.SCORING_FX + ["fx_prior_scores"],
@@ -216,7 +256,7 @@ def a08_question_keys(spark, sf):
 
 @register("j01_novelty", O.q(["fx_docs", "fx_existing"], "SELECT hf_id FROM novel", [_KEYS, _NOVEL]))
 def j01_novelty(spark, sf):
-    keys = cu.existing_question_keys(_fx(spark, sf, "fx_existing"))
+    keys = cu.question_keys(_fx(spark, sf, "fx_existing"))
     return cu.novel_samples(_docs(spark, sf), keys, "train").select("hf_id")
 
 
@@ -227,7 +267,7 @@ _MERGED_SQL = (f"SELECT question, answer, context, quotes, split FROM fx_existin
 @register("u01_add_samples", O.q(["fx_docs", "fx_existing"], _MERGED_SQL, [_KEYS, _NOVEL]))
 def u01_add_samples(spark, sf):
     existing = _fx(spark, sf, "fx_existing").drop("doc_id")
-    novel = cu.novel_samples(_docs(spark, sf), cu.existing_question_keys(existing), "train")
+    novel = cu.novel_samples(_docs(spark, sf), cu.question_keys(existing), "train")
     return cu.add_samples(existing, cu.training_rows(novel))
 
 
@@ -238,11 +278,11 @@ def u02_merge_job(spark, sf):
     return out if out is not None else spark.createDataFrame([], "question string, answer string, context string, quotes string, split string")
 
 
-@register("l03_sample_novel")
+@register("l03_sample_novel", O.q(["fx_docs", "fx_existing"],
+    "SELECT hf_id FROM novel ORDER BY md5('7|' || hf_id), hf_id LIMIT 25", [_KEYS, _NOVEL]))
 def l03_sample_novel(spark, sf):
-    """Seeded exact sample of 25 novel rows (no SQL twin: DuckDB lacks xxhash64)."""
-    keys = cu.existing_question_keys(_fx(spark, sf, "fx_existing"))
-    novel = cu.novel_samples(_docs(spark, sf), keys, "train")
+    """Seeded exact sample of 25 novel rows."""
+    novel = cu.novel_samples(_docs(spark, sf), cu.question_keys(_fx(spark, sf, "fx_existing")), "train")
     return cu.sample_exact(novel, 25, seed=7, key_cols=["hf_id"]).select("hf_id")
 
 
@@ -334,21 +374,54 @@ def a10_split_counts(spark, sf):
 # --------------------------------------------------------------------------- sources / sinks
 @register("s02_validate_records", O.q(["fx_docs"],
     "SELECT hf_id, 'invalid: ' || concat_ws(',', CASE WHEN doc_id % 9 = 0 THEN 'question' END, "
-    "CASE WHEN doc_id % 14 = 0 THEN 'level' END) AS reason FROM fx_docs WHERE doc_id % 9 = 0 OR doc_id % 14 = 0"))
+    "CASE WHEN doc_id % 14 = 0 THEN 'level' END, CASE WHEN doc_id % 11 = 0 THEN 'quotes' END) AS reason FROM fx_docs "
+    "WHERE doc_id % 9 = 0 OR doc_id % 14 = 0 OR doc_id % 11 = 0"))
 def s02_validate_records(spark, sf):
+    """Missing fields, and quotes that are a list (rejected) or null (kept)."""
     d = _fx(spark, sf, "fx_docs")
-    rec = F.to_variant_object(F.struct(
-        F.col("hf_id").alias("id"),
-        F.when(F.col("doc_id") % 9 != 0, F.col("question")).alias("question"),
-        "context", "answer",
-        F.when(F.col("doc_id") % 14 != 0, F.col("level")).alias("level"),
-        F.col("original_quotes").alias("quotes"),
-    ))
-    raw = d.select(F.col("split"), F.col("doc_id").cast("int").alias("pos"), rec.alias("record"))
+    i = F.col("doc_id")
+    quotes = F.when(i % 11 == 0, F.parse_json(F.lit('[{"text": "x"}]'))).when(i % 11 != 1, F.col("original_quotes").cast("variant"))
+    raw = d.select(
+        "split", i.alias("pos"), F.col("hf_id").cast("variant").alias("id"),
+        F.when(i % 9 != 0, F.col("question").cast("variant")).alias("question"),
+        F.col("context").cast("variant").alias("context"), F.col("answer").cast("variant").alias("answer"),
+        F.when(i % 14 != 0, F.col("level").cast("variant")).alias("level"), quotes.alias("quotes"),
+        F.lit(None).cast("string").alias("_corrupt_record"))
     _valid, quarantine = src.validate_corpus(raw)
     return quarantine.select("hf_id", "reason")
 
 
+_S01_SPLITS = "split IN ('train', 'validation', 'test')"
+
+
+@register("s01_read_corpus", O.q(["fx_docs"],
+    f"SELECT split, hf_id, question, context, answer, original_quotes, CAST(NULL AS VARCHAR) AS reason FROM fx_docs "
+    f"WHERE {_S01_SPLITS} AND doc_id % 50 <> 1 "
+    f"UNION ALL SELECT split, NULL, NULL, NULL, NULL, NULL, 'invalid: record' FROM fx_docs WHERE {_S01_SPLITS} AND doc_id % 50 = 1"))
+def s01_read_corpus(spark, sf):
+    """Corpus files with one record a line, some lines cut off, written, read back and validated."""
+    folder = scratch_path(spark, "corpus-files")
+    d = _fx(spark, sf, "fx_docs")
+    line = F.to_json(F.struct(F.col("hf_id").alias("id"), "question", "context", "answer", "level", F.col("original_quotes").alias("quotes")))
+    line = F.when(F.col("doc_id") % 50 == 1, F.substring(line, 1, 30)).otherwise(line)
+    for split in src.CORPUS_FILES:
+        d.where(F.col("split") == split).select(line.alias("value")).write.text(f"{folder}/{split}.jsonl")
+    valid, bad = src.validate_corpus(src.read_corpus_files(spark, folder))
+    cols = ["split", "hf_id", "question", "context", "answer", "original_quotes"]
+    return valid.select(*cols, F.lit(None).cast("string").alias("reason")).unionByName(bad.select("split", "reason"), allowMissingColumns=True)
+
+
+@register("s03_append_batch", O.q(["fx_docs"],
+    "SELECT hf_id, question, (SELECT count(*) FROM fx_docs WHERE doc_id % 3 <> 0) AS written FROM fx_docs"))
+def s03_append_batch(spark, sf):
+    """A table written in two appends, the second checked against the first, and the count it returns."""
+    path = scratch_path(spark, "appended")
+    d = _fx(spark, sf, "fx_docs").select("doc_id", "hf_id", "question")
+    src.append_batch(d.where("doc_id % 3 = 0").drop("doc_id"), None, ["hf_id"], path)
+    n = src.append_batch(d.where("doc_id % 3 <> 0").drop("doc_id"), spark.read.parquet(path), ["hf_id"], path)
+    return spark.read.parquet(path).withColumn("written", F.lit(n).cast("bigint"))
+
+
 @register("s04_read_split", O.q(["fx_docs"], "SELECT hf_id, split FROM fx_docs WHERE split = 'validation'"))
 def s04_read_split(spark, sf):
     path = scratch_path(spark, "corpus")
@@ -382,17 +455,21 @@ def s07_key_violations(spark, sf):
     return kd.key_violations(_fx(spark, sf, "fx_inf_files"), _fx(spark, sf, "fx_inf"), ["uuid", "model"])
 
 
-@register("s08_read_dataset", O.q(["fx_existing"], "SELECT id, question, split FROM fx_existing"))
+@register("s08_read_dataset", O.q(["fx_pool"], "SELECT id, question, split FROM fx_pool"))
 def s08_read_dataset(spark, sf):
     path = scratch_path(spark, "published")
-    ex = _fx(spark, sf, "fx_existing")
+    ex = _fx(spark, sf, "fx_pool")
     ex.withColumn("target_split", F.col("split")).write.mode("overwrite").partitionBy("target_split").parquet(path)
     missing = src.read_table(spark, path + "-absent", ex.select("id", "question", "split").schema)
     return src.read_table(spark, path).select("id", "question", "split").unionByName(missing)
 
 
 _LATEST = ("latest", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY doc_id DESC) AS rn "
-                     "FROM rec) WHERE rn = 1")
+                     "FROM rec WHERE uuid IS NOT NULL) WHERE rn = 1")
+# records that came with an id keep it; those that did not are all new, each with an id of its own
+_UPSERTED = ("SELECT uuid, question, answer, context, quotes FROM fx_testset WHERE uuid NOT IN (SELECT uuid FROM latest) "
+             "UNION ALL SELECT uuid, question, answer, context, quotes FROM latest "
+             "UNION ALL SELECT 'new' AS uuid, question, answer, context, quotes FROM rec WHERE uuid IS NULL")
 
 
 def _testset_job(spark, sf):
@@ -401,11 +478,14 @@ def _testset_job(spark, sf):
                               current=ts.drop("doc_id"), inferences=inf, order=["doc_id"])
 
 
-@register("s09_upsert_testset", O.q(["fx_published", "fx_testset"],
-    "SELECT uuid, question, answer, context, quotes FROM fx_testset WHERE uuid NOT IN (SELECT uuid FROM latest) "
-    "UNION ALL SELECT uuid, question, answer, context, quotes FROM latest", [_REC, _LATEST]))
+def _new_ids_marked(df):
+    """Generated ids (32 hex digits) as 'new'."""
+    return df.withColumn("uuid", F.when(F.col("uuid").rlike("^[0-9a-f]{32}$"), F.lit("new")).otherwise(F.col("uuid")))
+
+
+@register("s09_upsert_testset", O.q(["fx_published", "fx_testset"], _UPSERTED, [_REC, _LATEST]))
 def s09_upsert_testset(spark, sf):
-    return _testset_job(spark, sf).testset
+    return _new_ids_marked(_testset_job(spark, sf).testset)
 
 
 @register("s09b_upsert_children", O.q(["fx_published", "fx_inf"],
@@ -442,7 +522,7 @@ def s12_candidates(spark, sf):
     O.scored_ctes(samples=_SAMPLES_RESUMED)))
 def s13_write_scores(spark, sf):
     ts, inf, j = _scoring(spark, sf)
-    ev = jobs.evaluate(spark, ts, inf, judgments=j, prior_scores=_fx(spark, sf, "fx_prior_scores"), persist=False)
+    ev = jobs.evaluate(spark, ts, inf, judgments=j, prior_scores=_fx(spark, sf, "fx_prior_scores"))
     return ev.scores
 
 
@@ -460,39 +540,72 @@ def c01_curated_export(spark, sf):
     return _flat_export(jobs.curated_export(_docs(spark, sf)))
 
 
-@register("c02_add_ids", O.q(["fx_existing"],
-    f"SELECT question, split, CASE WHEN split IN ('test') THEN {_MD5_SORTED} END AS uuid FROM fx_existing"))
+@register("c02_add_ids", O.q(["fx_published"], _IDS_SQL.format(
+    cols=_P10_COLS, made="split = 'test'", src="fx_published").replace("ELSE 1 END", "ELSE 0 END")))
 def c02_add_ids(spark, sf):
     path = scratch_path(spark, "with-ids")
-    ds = _fx(spark, sf, "fx_existing").select("question", "answer", "context", "quotes", "split")
-    jobs.add_ids(ds, ["test"], out_path=path)
-    return spark.read.parquet(path).select("question", "split", "uuid")
+    cols = ["question", "answer", "context", "quotes", "split"]
+    jobs.add_ids(_fx(spark, sf, "fx_published").select(*cols), ["test"], out_path=path)
+    out = spark.read.parquet(path)
+    plain = out.where("uuid is null").groupBy(*cols).agg(
+        F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("n_ids"), F.lit(0).cast("bigint").alias("n_shared"))
+    return _id_counts(out.where("uuid is not null"), cols).unionByName(plain)
 
 
-@register("c03_build_testset", O.q(["fx_published", "fx_testset"],
-    "SELECT uuid, question, answer, context, quotes FROM fx_testset WHERE uuid NOT IN (SELECT uuid FROM latest) "
-    "UNION ALL SELECT uuid, question, answer, context, quotes FROM latest", [_REC, _LATEST]))
+@register("c03_build_testset", O.q(["fx_published"], _IDS_SQL.format(
+    cols="question, answer, context, quotes", made="TRUE", src="rec WHERE uuid IS NULL"), [_REC]))
 def c03_build_testset(spark, sf):
-    return _testset_job(spark, sf).testset
+    """The records that the job gave an id, as they stand in the new table."""
+    t = _testset_job(spark, sf).testset
+    return _id_counts(t.where(F.col("uuid").rlike("^[0-9a-f]{32}$")), ["question", "answer", "context", "quotes"])
 
 
+_ALL_ROWS = ("allrows", "SELECT * FROM res UNION ALL SELECT t.uuid, i.model, 'skipped', NULL, NULL, NULL, NULL, NULL "
+             "FROM fx_testset t JOIN fx_inf i ON i.uuid = t.uuid JOIN fx_prior_scores p ON p.uuid = t.uuid AND p.model = i.model "
+             "WHERE t.quotes IS NOT NULL AND t.quotes <> '' AND i.quotes IS NOT NULL AND i.quotes <> ''")
 _SUMMARY = (
-    "SELECT a.model, a.avg_recall, a.avg_precision, a.avg_f1, a.n_f1, b.avg_bm25, b.n_bm25, c.avg_format_score, c.n_format "
-    "FROM (SELECT model, "
+    "SELECT model, "
     + ", ".join(f"coalesce({O.r4(f'avg(CASE WHEN f1 IS NOT NULL THEN {m} END)')}, 0.0) AS avg_{m}"
                 for m in ("recall", "precision", "f1"))
-    + ", count(f1) AS n_f1 FROM res GROUP BY model) a "
-    f"JOIN (SELECT model, coalesce({O.r4('avg(CASE WHEN bm25 <> 0 THEN bm25 END)')}, 0.0) AS avg_bm25, "
-    "count(CASE WHEN bm25 <> 0 THEN bm25 END) AS n_bm25 FROM res GROUP BY model) b ON b.model = a.model "
-    f"JOIN (SELECT model, coalesce({O.r4('avg(format_score)')}, 0.0) AS avg_format_score, count(format_score) AS n_format "
-    "FROM res GROUP BY model) c ON c.model = a.model"
+    + f", count(f1) AS n_f1, coalesce({O.r4('avg(CASE WHEN bm25 <> 0 THEN bm25 END)')}, 0.0) AS avg_bm25, "
+    "count(CASE WHEN bm25 <> 0 THEN bm25 END) AS n_bm25, "
+    f"coalesce({O.r4('avg(format_score)')}, 0.0) AS avg_format_score, count(format_score) AS n_format, "
+    + ", ".join(f"count(CASE WHEN status = '{s}' THEN 1 END) AS n_{s}" for s in rp.OUTCOMES)
+    + " FROM allrows GROUP BY model"
 )
+_EVAL_CTES = O.scored_ctes(samples=_SAMPLES_RESUMED) + [_ALL_ROWS]
 
 
-@register("c05_evaluate", O.q(O.SCORING_FX + ["fx_prior_scores"], _SUMMARY, O.scored_ctes(samples=_SAMPLES_RESUMED)))
-def c05_evaluate(spark, sf):
+def _evaluated(spark, sf, **kw):
     ts, inf, j = _scoring(spark, sf)
-    return jobs.evaluate(spark, ts, inf, judgments=j, prior_scores=_fx(spark, sf, "fx_prior_scores"), persist=False).summary
+    return jobs.evaluate(spark, ts, inf, judgments=j, prior_scores=_fx(spark, sf, "fx_prior_scores"), **kw)
+
+
+@register("c05_evaluate", O.q(O.SCORING_FX + ["fx_prior_scores"], _SUMMARY, _EVAL_CTES))
+def c05_evaluate(spark, sf):
+    return _evaluated(spark, sf).summary
+
+
+@register("a11b_outcomes_resumed", O.q(O.SCORING_FX + ["fx_prior_scores"],
+    "SELECT model, status, count(*) AS n FROM allrows GROUP BY ALL", _EVAL_CTES))
+def a11b_outcomes_resumed(spark, sf):
+    return _evaluated(spark, sf).outcomes
+
+
+class StubJudge:
+    """A deterministic stand-in for a remote judge; fails on some responses."""
+
+    def __call__(self, ground_truth, system_response):
+        if len(system_response) % 7 == 0:
+            raise ValueError("no answer")
+        return len(system_response) % 5 / 4, len(ground_truth) % 5 / 4
+
+
+@register("x04_callable_judge", O.q(O.SCORING_FX + ["fx_prior_scores"], _SUMMARY,
+                                    O.scored_ctes("stub", samples=_SAMPLES_RESUMED) + [_ALL_ROWS]))
+def x04_callable_judge(spark, sf):
+    """The evaluation with a judge that is called, some calls failing."""
+    return _evaluated(spark, sf, judge=StubJudge, parallelism=8).summary
 
 
 @register("c06_report_after_resume", O.q(O.SCORING_FX + ["fx_prior_scores"],
@@ -501,11 +614,120 @@ def c05_evaluate(spark, sf):
     + [("allscores", _STORED_COLS + "FROM fx_prior_scores UNION ALL " + _STORED_COLS + "FROM res WHERE status = 'scored'")]))
 def c06_report_after_resume(spark, sf):
     ts, inf, j = _scoring(spark, sf)
-    ev = jobs.evaluate(spark, ts, inf, judgments=j, prior_scores=_fx(spark, sf, "fx_prior_scores"), persist=False)
+    ev = jobs.evaluate(spark, ts, inf, judgments=j, prior_scores=_fx(spark, sf, "fx_prior_scores"))
     return jobs.model_report(ev.scores)
 
 
 
+# --------------------------------------------------------------------------- files and streams
+def _inference_files(spark, sf):
+    """Inference files in a fresh folder: one object a file (short answers), one record a line
+    (full answers), a name with a space and one with a plus sign."""
+    folder = scratch_path(spark, "inference-files")
+    inf = _fx(spark, sf, "fx_inf")
+    line = F.to_json(F.struct("uuid", "quotes"), {"ignoreNullFields": "false"})
+    for model, name in (("m_exact", "m_exact"), ("m_other", "m other"), ("m.noise-1", "m.noise+1")):
+        write_lines(inf.where(F.col("model") == model).select(line.alias("value")), folder, f"{name}.jsonl")
+    entry = F.concat(F.to_json(F.col("uuid").cast("variant")), F.lit(": "), F.to_json(F.col("quotes").cast("variant")))
+    short = inf.where("model = 'm_first'").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ",\n"), F.lit("}")).alias("value"))
+    write_lines(short, folder, "m_first.json")
+    return folder
+
+
+_FILES_SQL = ("SELECT uuid, CASE model WHEN 'm_other' THEN 'm other' WHEN 'm.noise-1' THEN 'm.noise+1' ELSE model END AS model, "
+              "quotes FROM fx_inf WHERE model IN ('m_exact', 'm_other', 'm.noise-1', 'm_first')")
+
+
+@register("s10_read_inferences", O.q(["fx_inf"], _FILES_SQL))
+def s10_read_inferences(spark, sf):
+    from evidence_spark.sources.inferences import read_inference_files
+
+    return read_inference_files(spark, _inference_files(spark, sf)).select("uuid", "model", "quotes")
+
+
+@register("c04_update_inferences", O.q(["fx_inf", "fx_testset"],
+    f"SELECT * FROM ({_FILES_SQL}) WHERE uuid IN (SELECT uuid FROM fx_testset) "
+    "UNION ALL SELECT uuid, model, quotes FROM fx_inf WHERE model IN ('m_open', 'm_other', 'm.noise-1')"))
+def c04_update_inferences(spark, sf):
+    """Files applied to a table that holds some of their pairs with other answers, and other models."""
+    inf = _fx(spark, sf, "fx_inf").select("uuid", "model", "quotes")
+    old = inf.where("model IN ('m_open', 'm_other', 'm.noise-1')").unionByName(
+        inf.where("model = 'm_first'").withColumn("quotes", F.lit("old")))
+    return jobs.update_inferences(spark, _inference_files(spark, sf), _fx(spark, sf, "fx_testset"), old)
+
+
+def _object_files(spark, sf):
+    """Three files of one object each: two models, and a second file for the first one."""
+    folder = scratch_path(spark, "dropped-files")
+    inf = _fx(spark, sf, "fx_inf").where("model = 'm_first'")
+    entry = F.concat(F.to_json(F.col("uuid").cast("variant")), F.lit(": "), F.to_json(F.col("quotes").cast("variant")))
+    value = F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ",\n"), F.lit("}")).alias("value")
+    for name, part in (("m_first", "doc_id % 2 = 0"), ("m two", "doc_id % 3 = 0"), ("m three", "doc_id % 5 > 1")):
+        write_lines(inf.where(part).agg(value), folder, f"{name}.json")
+    return folder
+
+
+_DROPPED = ("dropped", "SELECT doc_id, uuid, 'm_first' AS model, quotes FROM fx_inf WHERE model = 'm_first' AND doc_id % 2 = 0 UNION ALL "
+                       "SELECT doc_id, uuid, 'm two', quotes FROM fx_inf WHERE model = 'm_first' AND doc_id % 3 = 0 UNION ALL "
+                       "SELECT doc_id, uuid, 'm three', quotes FROM fx_inf WHERE model = 'm_first' AND doc_id % 5 > 1")
+
+
+def _ingested(spark, sf, score):
+    """Run the stream over the dropped files, one file a batch; judgments come late: the first
+    batch has none. A last start without new files, after compaction, must change nothing."""
+    from evidence_spark.streaming import ingest as ig
+
+    folder, log, scores, ckpt = (scratch_path(spark, n) for n in ("unused", "inference-log", "score-log", "stream-ckpt"))
+    folder = _object_files(spark, sf)
+    ts = _fx(spark, sf, "fx_testset").drop("doc_id")
+    j = _fx(spark, sf, "fx_all_judgments").where("model = 'm_first'").drop("doc_id")
+    judged = j
+    for name in ("m two", "m three"):
+        judged = judged.unionByName(j.withColumn("model", F.lit(name)))
+    calls = []
+
+    def judgments():
+        calls.append(1)
+        return judged if len(calls) > 1 else judged.limit(0)
+
+    kw = {"score_log": scores, "judgments": judgments} if score else {}
+    ig.start_ingest(spark, folder, ts, log, ckpt, max_files_per_trigger=1, **kw).awaitTermination()
+    ig.compact_logs(spark, log, scores if score else None, 1)
+    ig.start_ingest(spark, folder, ts, log, ckpt, max_files_per_trigger=1, **kw).awaitTermination()
+    return ig, log, scores
+
+
+@register("x01_stream_ingest", O.q(["fx_inf"], "SELECT uuid, model, quotes FROM dropped", [_DROPPED]))
+def x01_stream_ingest(spark, sf):
+    ig, log, _ = _ingested(spark, sf, score=False)
+    return ig.current_inferences(spark, log)
+
+
+_STREAM_SAMPLES = ("samples", "SELECT t.uuid, d.model, t.quotes AS gt, d.quotes AS resp FROM fx_testset t JOIN dropped d ON d.uuid = t.uuid "
+                              "WHERE t.quotes IS NOT NULL AND t.quotes <> '' AND d.quotes IS NOT NULL AND d.quotes <> ''")
+_STREAM_JUDGED = ("fx_judgments", "SELECT uuid, m.model, recall, precision FROM fx_all_judgments j, "
+                                  "(VALUES ('m_first'), ('m two'), ('m three')) m(model) WHERE j.model = 'm_first'")
+
+
+@register("x02_stream_scoring", O.q(["fx_testset", "fx_all_judgments"],
+    _STORED_COLS + "FROM res WHERE status = 'scored'", [_DROPPED, _STREAM_JUDGED] + O.scored_ctes(samples=_STREAM_SAMPLES)))
+def x02_stream_scoring(spark, sf):
+    ig, _, scores = _ingested(spark, sf, score=True)
+    return ig.current_scores(spark, scores)
+
+
+@register("p13c_chat_tools", O.q([],
+    "SELECT p.conv_id, '<|im_start|>system' || chr(10) || CASE WHEN s.system IS NOT NULL AND s.system <> '' THEN chr(10) || s.system ELSE '' END || "
+    f"'{ch.TOOLS_HEAD}' || chr(10) || '{{\"type\": \"function\", \"function\": {{\"name\": \"f' || CAST(p.conv_id AS VARCHAR) || '\"}}}}' || "
+    f"'{ch.TOOLS_TAIL}' || '<|im_end|>' || chr(10) || "
+    "string_agg(p.piece, '' ORDER BY p.turn) AS rendered FROM pc p JOIN st s ON s.conv_id = p.conv_id "
+    "GROUP BY p.conv_id, s.system", [_CONV_STATS, _PIECES]))
+def p13c_chat_tools(spark, sf):
+    """Every conversation with one tool defined."""
+    tool = F.concat(F.lit('{"name": "f'), F.col("conv_id").cast("string"), F.lit('"}'))
+    return ch.render_conversations(spark.read.parquet(f"{sf}/conversations.parquet").withColumn("tools", F.array(tool)))
+
+
 # --------------------------------------------------------------------------- streaming
 @register("x03_live_report", O.q(O.SCORING_FX, O.report_select("stored"), O.scored_ctes() + [("stored", "SELECT * FROM res WHERE status = 'scored'")]))
 def x03_live_report(spark, sf):

@@ -8,7 +8,6 @@ private temporary folder is created only when it is unset *and* the master is lo
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid as _uuid
 
@@ -24,9 +23,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Long tables keep one row per key; a map built from JSON keeps the last key.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    # Joins on (uuid, model) reuse the uuid partitioning of the pairs instead of
-    # re-shuffling the wide pair rows (which carry the gold index).
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -98,6 +94,3 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def table_path(base: str, *parts: str) -> str:
-    return os.path.join(base, *parts)

@@ -1,4 +1,4 @@
-"""Corpus and dataset sources/sinks.
+"""Corpus and dataset sources/sinks.
 
 Tables are Parquet directories. A dataset with splits is one table partitioned by
 ``target_split`` (a copy of the routed split: partition values turn '' into NULL on
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from evidence_spark.functions.text import normalize_variant
 from evidence_spark.operators.keyed import key_violations
+from evidence_spark.session import scratch_path
 
 CORPUS_SCHEMA = T.StructType(
     [
@@ -37,54 +38,62 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+RECORD_FIELDS = ("id", "question", "context", "answer", "level", "quotes")
+RAW_SCHEMA = ", ".join(f"{f} variant" for f in RECORD_FIELDS) + ", _corrupt_record string"
+
+
 def read_corpus_files(spark: SparkSession, data_dir: str) -> DataFrame:
-    """JSON-array files train/validation/test (missing ones skipped) as raw records.
+    """Files train/validation/test (missing ones skipped) as raw records.
 
-    Each record is kept as a variant so polymorphic fields survive; ``split`` comes
-    from the file name. One task reads one file (the format is one array per file).
-    Use :func:`validate_corpus` to get typed corpus rows.
+    ``<split>.json`` holds one JSON array (one task streams one file, of any size);
+    ``<split>.jsonl`` holds one record a line and is read in splits: the form for large
+    corpora. Each field is a variant, so polymorphic fields survive, and a record that is no
+    JSON object is kept as ``_corrupt_record``. ``split`` comes from the file name; ``pos``
+    increases in file order within a read partition. Use :func:`validate_corpus` for typed rows.
     """
-    paths = [f"{data_dir.rstrip('/')}/{s}.json" for s in CORPUS_FILES]
-    paths = [p for p in paths if _exists(spark, p)]
-    if not paths:
-        return spark.createDataFrame([], "split string, pos int, record variant")
-    raw = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(paths)
-    return raw.select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("split"),
-        F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("pos", "record"),
-    )
+    out = spark.createDataFrame([], f"split string, pos bigint, {RAW_SCHEMA}")
+    for split in CORPUS_FILES:
+        for suffix in ("json", "jsonl"):
+            path = f"{data_dir.rstrip('/')}/{split}.{suffix}"
+            if _exists(spark, path):
+                rows = spark.read.schema(RAW_SCHEMA).option("multiLine", suffix == "json").option(
+                    "columnNameOfCorruptRecord", "_corrupt_record").json(path)
+                out = out.unionByName(rows.withColumn("split", F.lit(split)).withColumn("pos", F.monotonically_increasing_id()))
+    return out
 
 
 def validate_corpus(raw: DataFrame, fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:
     """S2 (+P2 on ``answer``): split raw records into (corpus rows, quarantine).
 
     Renames source ``id`` to ``hf_id`` and ``quotes`` to ``original_quotes``; ``quotes``
-    starts NULL. A record is rejected when a required field is missing, NULL or not a
-    string (``answer`` may be any shape and is normalised). The original aborts the load
-    on the first bad record; at scale we quarantine with a ``reason`` and offer
-    ``fail_fast`` (raises if any record is rejected: one cheap ``isEmpty`` action).
+    starts NULL. A record is rejected when it is no JSON object, when a required field is
+    missing, NULL or not a string (``answer`` may be any shape and is normalised), or when
+    ``quotes`` is present and neither NULL nor a string. The original aborts the load on the
+    first bad record; at scale we quarantine with a ``reason`` and offer ``fail_fast``
+    (raises if any record is rejected: one cheap ``isEmpty`` action).
     """
-    r = F.col("record")
-
-    def field(name):
-        return F.variant_get(r, f"$.{name}", "variant")
-
     def text_field(name):
-        return F.when(F.schema_of_variant(field(name)) == "STRING", F.try_variant_get(r, f"$.{name}", "string"))
+        return F.when(F.schema_of_variant(F.col(name)) == "STRING", F.try_variant_get(F.col(name), "$", "string"))
 
+    corrupt = F.col("_corrupt_record").isNotNull()
+    kind = F.schema_of_variant(F.col("quotes"))
+    odd_quotes = F.col("quotes").isNotNull() & ~kind.isin("STRING", "VOID")
     df = raw.select(
         text_field("id").alias("hf_id"),
         text_field("question").alias("question"),
         text_field("context").alias("context"),
-        normalize_variant(field("answer")).alias("answer"),
+        normalize_variant(F.col("answer")).alias("answer"),
         text_field("level").alias("level"),
         F.col("split"),
         text_field("quotes").alias("original_quotes"),
         F.lit(None).cast("string").alias("quotes"),
         F.col("pos"),
+        corrupt.alias("_corrupt"),
+        odd_quotes.alias("_odd"),
     )
-    missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED]
-    df = df.withColumn("_missing", F.array_compact(F.array(*missing)))
+    missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED] + [F.when(F.col("_odd"), F.lit("quotes"))]
+    faults = F.when(F.col("_corrupt"), F.array(F.lit("record"))).otherwise(F.array_compact(F.array(*missing)))
+    df = df.withColumn("_missing", faults)
     bad = F.size("_missing") > 0
     quarantine = df.where(bad).select(
         "split", "pos", "hf_id", F.concat(F.lit("invalid: "), F.array_join("_missing", ",")).alias("reason")
@@ -104,19 +113,9 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None
     return spark.read.parquet(path)
 
 
-def read_split(df: DataFrame, split: str = "") -> DataFrame:
-    """All rows, or one split ('' = all). On a table partitioned by split the
-    filter prunes partitions at the scan."""
-    return df.where(F.col("split") == split) if split else df
-
-
-def find_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
-    """S5 single lookup (predicate pushed to the Parquet scan)."""
-    return df.where(F.col(key) == value)
-
-
 def find_by_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """S5 batch lookup: semi join with a key table (AQE picks broadcast by its size)."""
+    """S5 batch lookup: semi join with a key table (AQE picks broadcast by its size). A single
+    key is a filter (``df.where(col(key) == value)``), pushed to the scan."""
     return df.join(keys.select(key), key, "left_semi")
 
 
@@ -124,14 +123,19 @@ def append_batch(batch: DataFrame, target: DataFrame | None, keys: list[str], pa
     """S3 + S7: append ``batch`` to the table at ``path`` after the key checks.
 
     Raises on a duplicate key in the batch or against the target (as a unique index
-    would). Returns the number of rows written; an empty batch writes nothing.
+    would). Returns the number of rows written; an empty batch writes nothing. The batch is
+    evaluated once, into the shared scratch folder; checks, count and append read that.
     """
-    bad = key_violations(batch, target, keys)
-    if not bad.isEmpty():
-        raise ValueError("duplicate key(s): " + ", ".join(str(r.asDict()) for r in bad.limit(5).collect()))
-    n = batch.count()
+    spark = batch.sparkSession
+    staged_path = scratch_path(spark, "batch")
+    batch.write.parquet(staged_path)
+    staged = spark.read.schema(batch.schema).parquet(staged_path)
+    bad = key_violations(staged, target, keys).limit(5).collect()
+    if bad:
+        raise ValueError("duplicate key(s): " + ", ".join(str(r.asDict()) for r in bad))
+    n = staged.count()
     if n:
-        batch.write.mode("append").parquet(path)
+        staged.write.mode("append").parquet(path)
     return n
 
 

