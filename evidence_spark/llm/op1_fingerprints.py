@@ -165,9 +165,12 @@ def neighbour_order(docs: DataFrame, id_col: str, text_col: str, buckets: int) -
     cuts = rows.select(F.percentile_approx(F.col("id").cast("double"), [i / buckets for i in range(1, buckets)],
                                            buckets * 20)).first()[0] or []
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    rows = Bucketizer(splits=splits, inputCol="__d", outputCol="bucket", handleInvalid="keep").transform(
-        rows.withColumn("__d", F.col("id").cast("double"))).withColumn(
-        "bucket", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.col("bucket").cast("int"))).drop("__d")
+    rows = rows.withColumn("__d", F.col("id").cast("double"))
+    if len(splits) > 2:
+        rows = Bucketizer(splits=splits, inputCol="__d", outputCol="bucket", handleInvalid="keep").transform(rows)
+    else:
+        rows = rows.withColumn("bucket", F.lit(0))
+    rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.col("bucket").cast("int"))).drop("__d")
     heads = sorted(((r[0], r[1]) for r in rows.groupBy("bucket").agg(F.max("id")).collect()), key=lambda r: -r[0])
     before = [(b, head, heads[i - 1][0]) for i, (b, head) in enumerate(heads)]
     spark = docs.sparkSession
