@@ -12,6 +12,7 @@ Reading parses each file by ``Content-Length``, so payloads may hold anything.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -86,15 +87,16 @@ def warc_records(pages: DataFrame, decisions: DataFrame, *, id_col: str = "page_
     return page.select(F.concat(*head).alias("value"))
 
 
-def write_warc(records: DataFrame, path: str, *, records_per_file: int = RECORDS_PER_FILE, compression: str | None = None) -> str:
-    """Write record texts as WARC files under ``path``."""
-    writer = records.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file)
-    (writer.option("compression", compression) if compression else writer).text(path)
+def write_warc(records: DataFrame, path: str, *, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> str:
+    """Write record texts as WARC files under ``path``; compression: ``gzip`` or ``none``."""
+    records.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
     return path
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(headers with lower-cased names, block) of every record of one archive file."""
+    """(headers with lower-cased names, block) of every record of one archive file, gzipped or not."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
