@@ -21,6 +21,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidence_spark.session import scratch_path
+
 
 def judge_from_table(samples: DataFrame, judgments: DataFrame, keys=("uuid", "model")) -> DataFrame:
     """(a) Left join of judgments (unique on ``keys``); missing row = judge failure."""
@@ -116,7 +118,12 @@ def callable_judge(
     most; a task that is retried inside a chunk asks again for the rows of its partition.
     """
     spark = samples.sparkSession
-    src = samples.select("uuid", "model", "ground_truth", "system_response")
+    # the pairs are computed once, not again for each chunk
+    staged = scratch_path(spark, "judge-pairs")
+    chunk_of = F.pmod(F.xxhash64("uuid", "model"), F.lit(chunks)).alias("chunk")
+    pairs = samples.select("uuid", "model", "ground_truth", "system_response", chunk_of)
+    pairs.write.partitionBy("chunk").parquet(staged)
+    src = spark.read.schema(pairs.schema).parquet(staged)
 
     def run(batches):
         judge = make_judge()
@@ -133,7 +140,7 @@ def callable_judge(
 
     for chunk in range(chunks):
         done = saved_judgments(spark, path).where("judged").select("uuid", "model")
-        part = src.where(F.pmod(F.xxhash64("uuid", "model"), F.lit(chunks)) == chunk).join(done, ["uuid", "model"], "left_anti")
+        part = src.where(F.col("chunk") == chunk).drop("chunk").join(done, ["uuid", "model"], "left_anti")
         part = part.repartition(parallelism, "uuid", "model") if parallelism else part
         part.mapInPandas(run, JUDGE_SCHEMA).write.mode("append").parquet(f"{path.rstrip('/')}/chunk={chunk}")
     answers = saved_judgments(spark, path)

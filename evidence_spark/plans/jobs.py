@@ -92,7 +92,7 @@ class EvaluationResult:
 def evaluate(spark: SparkSession, testset: DataFrame, inferences: DataFrame, judgments: DataFrame | None = None,
              judge: str | Callable = "table", prior_scores: DataFrame | None = None, models: list[str] | None = None,
              uuid: str | None = None, force: bool = False, results_path: str | None = None,
-             judgments_path: str | None = None, parallelism: int | None = None) -> EvaluationResult:
+             judgments_path: str | None = None, parallelism: int | None = None, judge_chunks: int = 16) -> EvaluationResult:
     """S12 -> A6/J5 -> P14/J3 -> T10 -> T11 -> T12 -> S13, then A3-A5, A7, A11.
 
     All models in one plan. ``judge`` is ``table`` (``judgments``), ``lexical``, or a function
@@ -108,7 +108,10 @@ def evaluate(spark: SparkSession, testset: DataFrame, inferences: DataFrame, jud
                                     force=force, judgments=judgments if judge == "table" else None, keep_skipped=True)
     if callable(judge):
         path = judgments_path or scratch_path(spark, "judgments")
-        asked = callable_judge(samples.where(~F.col("skipped")), judge, path, parallelism)
+        staged = scratch_path(spark, "samples")
+        samples.write.parquet(staged)
+        samples = spark.read.schema(samples.schema).parquet(staged)
+        asked = callable_judge(samples.where(~F.col("skipped")), judge, path, parallelism, judge_chunks)
         samples = asked.unionByName(samples.where(F.col("skipped")), allowMissingColumns=True)
     elif judge == "table" and judgments is None:
         raise ValueError("judge='table' needs a judgments DataFrame")

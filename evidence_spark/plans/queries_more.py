@@ -605,7 +605,7 @@ class StubJudge:
                                     O.scored_ctes("stub", samples=_SAMPLES_RESUMED) + [_ALL_ROWS]))
 def x04_callable_judge(spark, sf):
     """The evaluation with a judge that is called, some calls failing."""
-    return _evaluated(spark, sf, judge=StubJudge, parallelism=8).summary
+    return _evaluated(spark, sf, judge=StubJudge, parallelism=8, judge_chunks=3).summary
 
 
 @register("c06_report_after_resume", O.q(O.SCORING_FX + ["fx_prior_scores"],
