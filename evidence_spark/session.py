@@ -8,6 +8,7 @@ private temporary folder is created only when it is unset *and* the master is lo
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid as _uuid
 
@@ -48,6 +49,20 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return share_package(spark)
+
+
+def share_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package from where the driver did.
+
+    On a cluster the package is installed or sent with ``--py-files``; the extra path then
+    names nothing there and does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
 
 
