@@ -24,8 +24,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few numbers each that a broadcast may hold (tens of MB).
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers each that a broadcast may hold (a few MB).
+BROADCAST_ROWS = 200_000
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

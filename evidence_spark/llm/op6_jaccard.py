@@ -34,6 +34,11 @@ from evidence_spark.llm.words import mix64, shingles, texts_words
 WIDTH = 3
 PERCENT = 90
 BLOCK = 512
+#: Bits of the map of shared words that workers get (4 MB).
+BITMAP_BITS = 25
+#: Words of the short sketch that bucket members carry.
+SHORT_WORDS = 16
+SHORT = [f"f{k}" for k in range(SHORT_WORDS)]
 
 
 def max_difference(total: int, percent: int = PERCENT) -> int:
@@ -104,6 +109,54 @@ def shingle_sets(ids: DataFrame, width: int, percent: int) -> DataFrame:
         run, f"id {kind}, mark long, n_shingles long, node long, sketches array<struct<band:int,words:array<long>>>")
 
 
+def bucket_rows(feats: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
+    """(key, node, band): one row for each sketch word, its key naming (band, place, word).
+
+    With a bitmap only rows whose key may be in it.
+    """
+    sent = None if bitmap is None else feats.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                lists = part.column(1)
+                per_row = np.diff(lists.offsets.to_numpy())
+                sketches = lists.flatten()
+                band, words = sketches.field("band").to_numpy(), sketches.field("words")
+                size = np.diff(words.offsets.to_numpy())
+                flat = words.flatten().to_numpy().view(np.uint64)
+                band = np.repeat(band, size)
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+                node = np.repeat(np.repeat(part.column(0).to_numpy(zero_copy_only=False), per_row), size)
+                # 48 bits name a word well enough: a clash is only one more candidate
+                key = mix64(flat ^ mix64((band.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))) >> np.uint64(16)
+                if sent is not None:
+                    keep = in_bitmap(sent.value, key)
+                    key, node, band = key[keep], node[keep], band[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(band.astype(np.int32))], ["key", "node", "band"])
+
+    return feats.where("node is not null").select("node", "sketches").mapInArrow(run, "key long, node long, band int")
+
+
+def key_bitmap(keys: DataFrame) -> np.ndarray:
+    """Bitmap of 2**BITMAP_BITS bits with the lowest bits of every key set: of one size whatever the
+    number of keys (the driver gets at most one number for each 64 bits). Full of keys it lets
+    all pass, and the join that follows does the work."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    rows = keys.select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("bit"))
+    table = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
+    out[table["at"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    slot = key & np.uint64((1 << BITMAP_BITS) - 1)
+    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _bits_differ(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
@@ -158,11 +211,11 @@ def verified(pairs: DataFrame, near: DataFrame, feats: DataFrame, ids: DataFrame
 
 def bucket_pairs(table: pa.Table, percent: int) -> pa.Table:
     """Distinct (band, a, b) of the rows of each (key, i, j) that have different roots, and whose
-    short sketches allow a link. Rows: key, i, j, own, band, node, n, root, f0..f3."""
+    short sketches allow a link. Rows: key, i, j, own, band, node, n, root, f0, f1, ..."""
     get = {c: table[c].to_numpy() for c in ("key", "i", "j", "own", "band", "node", "n", "root")}
     order = np.lexsort((get["j"], get["i"], get["key"]))
     get = {c: v[order] for c, v in get.items()}
-    short = np.stack([table[f"f{k}"].to_numpy().view(np.uint64)[order] for k in range(4)], axis=1)
+    short = np.stack([table[f"f{k}"].to_numpy().view(np.uint64)[order] for k in range(SHORT_WORDS)], axis=1)
     new = np.r_[True, (np.diff(get["key"]) != 0) | (np.diff(get["i"]) != 0) | (np.diff(get["j"]) != 0)]
     end = np.r_[np.flatnonzero(new)[1:], len(order)][np.cumsum(new) - 1]
     found = []
@@ -188,8 +241,8 @@ def bucket_pairs(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"band": pairs[:, 0].astype(np.int32), "a": pairs[:, 1], "b": pairs[:, 2]})
 
 
-def cross_candidates(members: DataFrame, percent: int, block: int = BLOCK, unit_rows: int = 50_000) -> DataFrame:
-    """Distinct (band, a, b) of members (key, band, node, n, root, f0..f3) that share a key, have
+def cross_candidates(members: DataFrame, percent: int, block: int = BLOCK, unit_rows: int = 10_000) -> DataFrame:
+    """Distinct (band, a, b) of members (key, band, node, n, root, f0, f1, ...) that share a key, have
     different roots, and whose short sketches allow a link.
 
     The members of a key are dealt into blocks by hash of the node, and each pair of blocks
@@ -202,7 +255,7 @@ def cross_candidates(members: DataFrame, percent: int, block: int = BLOCK, unit_
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     unit = F.when(F.col("nb") == 1, F.pmod(F.col("key"), F.lit(units))).otherwise(F.xxhash64("key", "i", "j"))
-    cols = ["key", "i", "j", "own", "band", "node", "n", "root", "f0", "f1", "f2", "f3"]
+    cols = ["key", "i", "j", "own", "band", "node", "n", "root", *SHORT]
     found = rows.select(unit.alias("unit"), *cols).groupBy("unit").applyInArrow(
         lambda t: bucket_pairs(t, percent), "band int, a long, b long")
     return found.distinct()
@@ -215,12 +268,11 @@ def link_roots(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
     feats = stored(shingle_sets(ids, width, percent), "shingle-sketches")
     sketches = feats.select("node", F.col("n_shingles").alias("n"), F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.words")
-    words = sketches.select("node", "band", F.posexplode("words").alias("at", "word")).select(
-        "node", "band", F.xxhash64("band", "at", "word").alias("key"))
     # buckets that hold two different nodes, and their smallest node
-    hubs = words.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
+    hubs = bucket_rows(feats).groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
     hubs = stored(hubs, "shared-words")
-    shared = stored(words.join(small_side(hubs), "key").groupBy("key", "node", "band").agg(F.min("hub").alias("hub")), "bucket-members")
+    members = bucket_rows(feats, key_bitmap(hubs)).join(hubs, "key")
+    shared = stored(members.groupBy("key", "node", "band").agg(F.min("hub").alias("hub")), "bucket-members")
     some = small_side(stored(shared.select("node").distinct(), "near-nodes"))
     near = sketches.join(some, "node").groupBy("node", "band").agg(F.min("n").alias("n"), F.min("words").alias("words"))
     near = stored(near, "near-sketches")
@@ -231,11 +283,11 @@ def link_roots(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     # the short sketch folds the whole one: its differing bits are no more
     def fold(k: int) -> Column:
-        part = F.filter("words", lambda w, i: i % 4 == k)
+        part = F.filter("words", lambda w, i: i % SHORT_WORDS == k)
         return F.aggregate(part, F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(w)).alias(f"f{k}")
 
-    members = rooted.join(mixed, "key").join(near.select("node", "band", "n", *map(fold, range(4))), ["node", "band"])
-    members = stored(members.select("key", "band", "node", "n", "root", "f0", "f1", "f2", "f3"), "mixed-members")
+    members = rooted.join(mixed, "key").join(near.select("node", "band", "n", *map(fold, range(SHORT_WORDS))), ["node", "band"])
+    members = stored(members.select("key", "band", "node", "n", "root", *SHORT), "mixed-members")
     cross = stored(cross_candidates(members, percent), "cross-candidates")
     more = verified(cross, near, feats, ids, width, percent)
     roots = stored(components(links.unionByName(more)), "roots")
