@@ -102,18 +102,21 @@ def scan_cell(q: np.ndarray, x: np.ndarray, qid: np.ndarray, xid: np.ndarray, to
     for i in range(0, len(xr), step):
         part = xr[i: i + step]
         bound = _kth(best, k) + slack
-        a, b = np.nonzero(qid[:, None] != xid[None, i: i + step])
-        dist = np.zeros(len(a))
+        other = qid[:, None] != xid[None, i: i + step]
+        full, a, b, dist = np.zeros(other.shape), None, None, None
         for lo in range(0, dim, block):
             hi = min(lo + block, dim)
-            if lo == 0:  # all pairs of the unit's step at once
-                full = (qr[:, :hi] ** 2).sum(1)[:, None] + (part[:, :hi] ** 2).sum(1)[None, :] - 2 * qr[:, :hi] @ part[:, :hi].T
-                dist = np.maximum(full[a, b], 0.0)
+            scale = dim / hi / (1 + eps / math.sqrt(hi)) ** 2 if hi < dim else 1.0
+            if a is None:  # all pairs at once, until few are left
+                full += (qr[:, lo:hi] ** 2).sum(1)[:, None] + (part[:, lo:hi] ** 2).sum(1)[None, :] - 2 * qr[:, lo:hi] @ part[:, lo:hi].T
+                other &= full * scale <= bound[:, None]
+                if hi == dim or other.sum() < other.size * 0.1:
+                    a, b = np.nonzero(other)
+                    dist = np.maximum(full[a, b], 0.0)
             else:
                 dist = dist + ((qr[a, lo:hi] - part[b, lo:hi]) ** 2).sum(axis=1)
-            scale = dim / hi / (1 + eps / math.sqrt(hi)) ** 2 if hi < dim else 1.0
-            alive = dist * scale <= bound[a]
-            a, b, dist = a[alive], b[alive], dist[alive]
+                alive = dist * scale <= bound[a]
+                a, b, dist = a[alive], b[alive], dist[alive]
         keep_q.append(a)
         keep_x.append(b + i)
         keep_d.append(dist)
