@@ -1,6 +1,6 @@
 """Quality classifier: a sparse rule ensemble over statistics of the text.
 
-Statistics of every whole text are computed once, over Arrow batches. A random forest of
+Statistics of whole texts are computed over Arrow batches. A random forest of
 shallow trees, fitted on a bounded sample of labelled rows, gives candidate rules: every
 path from a root to a node is a conjunction of comparisons. A lasso logistic regression on
 the rules' truth values keeps few of them; those become one Spark column expression that
@@ -158,7 +158,7 @@ def fit_rules(train: DataFrame, *, trees: int = TREES, depth: int = DEPTH, lasso
         return float(np.log((seen[1.0] + 1) / (seen[0.0] + 1))), []
     truth = train.select("label", array_to_vector(F.array(*[rule_column(r).cast("double") for r in rules])).alias("x"))
     model = LogisticRegression(featuresCol="x", labelCol="label", elasticNetParam=1.0, regParam=lasso, standardization=False,
-                               maxIter=200).fit(truth)
+                               maxIter=50).fit(truth)
     weights = model.coefficients.toArray()
     return float(model.intercept), [(r, float(w)) for r, w in zip(rules, weights, strict=True) if w]
 
@@ -185,14 +185,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     held = (F.pmod(id_crc(id_col), F.lit(split[0])) == split[1])
     # statistics under another name could clash with kept columns: the kept ones travel in a struct
     packed = docs.select(F.struct(*keep).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    stats = stored(document_stats(packed, "__id", "__t", ["__row", "__id"]), "quality-stats")
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held).groupBy(F.col(id_col).alias("__id")).agg(
         F.when(F.avg(label_col) >= 0.5, 1.0).otherwise(0.0).alias("label"))
     n = marked.count()
     share = min(1.0, train_rows / n) if n else 1.0
-    marked = marked.where(F.pmod(F.xxhash64("__id", F.lit("quality")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    train = stored(stats.select("__id", *STATS).join(marked, "__id").select("label", *STATS).coalesce(8), "quality-train")
+    # the sample's ids and labels are a few hundred KB: train_rows bounds them
+    sample = marked.where(F.pmod(F.xxhash64("__id", F.lit("quality")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    chosen = packed.join(F.broadcast(sample), "__id").select("__id", "label", "__t")
+    train = stored(document_stats(chosen, "__id", "__t", ["label"]), "quality-train").coalesce(2)
     intercept, rules = fit_rules(train)
+    stats = document_stats(packed, "__id", "__t", ["__row", "__id"])
     out = stats.withColumn("score", score_column(intercept, rules)).withColumn(
         "held_out", F.pmod(id_crc("__id"), F.lit(split[0])) == split[1])
     return out.select("__row.*", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
