@@ -8,7 +8,9 @@ Sizes fall into bands such that linked sets lie in one band or in two neighbouri
 set takes part in its own band and the next. In a band whose sets differ in at most D
 shingles, each shingle flips one bit of one of D + 1 words (the parity sketch). A shingle in
 one set alone changes at most one word, so two linked sets have an equal word (pigeonhole),
-and the number of differing bits is at most d. The join is on (band, place, word).
+and the number of differing bits is at most d. Words meet by the XOR of their shingles' whole
+hashes, which tells different shingles apart where one bit would not; a few spare words
+make up for empty ones. The join is on (band, place, word).
 
 Sets that are equal are one node from the start. Buckets of equal words do not emit their
 pairs: first every member is held against the bucket's smallest node only; links found so
@@ -20,6 +22,7 @@ a group of near copies costs about one comparison a member.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,15 +58,67 @@ def band_table(percent: int, top: int) -> list[int]:
     return lows
 
 
+def sketch_size(lows: list[int], band: int, percent: int) -> tuple[int, int]:
+    """(words, spare) of a band's sketches: sets of the band differ in at most words - spare - 1
+    elements, so linked sets have at least spare + 1 equal words. The spare covers the empty
+    words that the band's smallest sets are likely to have; (0, 0) where sets cannot differ."""
+    most = max_difference(2 * (lows[band + 1] - 1), percent)
+    if most == 0:
+        return 0, 0
+    smallest, spare = lows[max(band - 1, 0)], 0
+    for _ in range(4):
+        empty = (most + 1 + spare) * math.exp(-smallest / (most + 1 + spare))
+        spare = math.ceil(empty + 4 * math.sqrt(empty))
+    return most + 1 + spare, spare
+
+
+def _words_of(h: np.ndarray, words: int) -> np.ndarray:
+    return (((h >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)).astype(np.int64)
+
+
+def xor_words(terms: np.ndarray, words: int) -> np.ndarray:
+    """XOR of the whole hashes of each word's terms: equal where the word's terms are the same."""
+    h = mix64(terms ^ np.uint64(words))
+    out = np.zeros(words, dtype=np.uint64)
+    np.bitwise_xor.at(out, _words_of(h, words), mix64(h))
+    return out
+
+
 def sketch(terms: np.ndarray, words: int) -> np.ndarray:
-    """Parity sketch: every term flips one bit of one of ``words`` 64-bit words."""
+    """Parity sketch: every term flips one bit of its 64-bit word."""
     h = mix64(terms ^ np.uint64(words))
-    at = ((h >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)
     out = np.zeros(words, dtype=np.uint64)
-    np.bitwise_xor.at(out, at.astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    np.bitwise_xor.at(out, _words_of(h, words), np.uint64(1) << (h & np.uint64(63)))
     return out
 
 
+def set_sketches(col: pa.Array, width: int, percent: int, make) -> tuple[list, list, pa.Array]:
+    """Of each text: set size, set name (None: empty), and (band, make(terms, words)) for its own
+    band and the next, where sets of the band may differ at all."""
+    lows = band_table(percent, 1 << 20)
+    shape = [sketch_size(lows, b, percent)[0] for b in range(len(lows) - 1)]
+    sizes, nodes, bands, words, cuts, rows = [], [], [], [], [0], [0]
+    for _, w in texts_words(col):
+        s = np.unique(shingles(w, width))
+        n = len(s)
+        if n >= lows[-2]:
+            lows = band_table(percent, 4 * n)
+            shape = [sketch_size(lows, b, percent)[0] for b in range(len(lows) - 1)]
+        sizes.append(n)
+        nodes.append(set_hash(s) if n else None)
+        own = int(np.searchsorted(lows, n, side="right")) - 1
+        for band in (own, own + 1) if n else ():
+            if shape[band]:
+                bands.append(band)
+                words.append(make(s, shape[band]))
+                cuts.append(cuts[-1] + shape[band])
+        rows.append(len(bands))
+    flat = pa.array(np.concatenate(words).view(np.int64) if words else np.zeros(0, np.int64))
+    both = pa.StructArray.from_arrays(
+        [pa.array(bands, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], ["band", "words"])
+    return sizes, nodes, pa.ListArray.from_arrays(pa.array(rows, pa.int32()), both)
+
+
 def set_hash(terms: np.ndarray) -> int:
     """Signed 64-bit hash of a set of distinct terms."""
     h = mix64(np.array([mix64(terms ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64) + np.uint64(len(terms))], dtype=np.uint64))
@@ -72,47 +127,40 @@ def set_hash(terms: np.ndarray) -> int:
 
 def shingle_sets(ids: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, mark, n_shingles, node, sketches) of (id, mark, t) rows: node names the set (null:
-    empty); sketches has one (band, words) for each of the two bands, where sets of the band
-    may differ at all."""
+    empty); sketches has (band, XOR words) for each of its two bands."""
     kind = ids.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows = band_table(percent, 1 << 20)
-        pieces = [max_difference(2 * (hi - 1), percent) + 1 for hi in lows[1:]]
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                sizes, nodes, bands, words, cuts, rows = [], [], [], [], [0], [0]
-                for _, w in texts_words(part.column(2)):
-                    s = np.unique(shingles(w, width))
-                    n = len(s)
-                    if n >= lows[-1]:
-                        lows = band_table(percent, 2 * n)
-                        pieces = [max_difference(2 * (hi - 1), percent) + 1 for hi in lows[1:]]
-                    sizes.append(n)
-                    nodes.append(set_hash(s) if n else None)
-                    own = int(np.searchsorted(lows, n, side="right")) - 1
-                    for band in (own, own + 1) if n else ():
-                        if band < len(pieces) and pieces[band] > 1:
-                            bands.append(band)
-                            words.append(sketch(s, pieces[band]))
-                            cuts.append(cuts[-1] + pieces[band])
-                    rows.append(len(bands))
-                flat = pa.array(np.concatenate(words).view(np.int64) if words else np.zeros(0, np.int64))
-                sketches = pa.StructArray.from_arrays(
-                    [pa.array(bands, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], ["band", "words"])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(rows, pa.int32()), sketches)], ["id", "mark", "n_shingles", "node", "sketches"])
+                sizes, nodes, sketches = set_sketches(part.column(2), width, percent, xor_words)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), sketches],
+                                                 ["id", "mark", "n_shingles", "node", "sketches"])
 
     return ids.mapInArrow(
         run, f"id {kind}, mark long, n_shingles long, node long, sketches array<struct<band:int,words:array<long>>>")
 
 
-def bucket_rows(feats: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
+def parity_sketches(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, band, n, words) of (node, t) rows: the parity sketches of both bands."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                sizes, _, sketches = set_sketches(part.column(1), width, percent, sketch)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), sketches], ["node", "n", "sketches"])
+
+    rows = texts.select("node", "t").mapInArrow(run, "node long, n long, sketches array<struct<band:int,words:array<long>>>")
+    return rows.select("node", "n", F.explode("sketches").alias("s")).select("node", "s.band", "n", "s.words")
+
+
+def bucket_rows(feats: DataFrame, percent: int, bitmap: np.ndarray | None = None) -> DataFrame:
     """(key, node, band): one row for each sketch word, its key naming (band, place, word).
 
-    With a bitmap only rows whose key may be in it.
+    Empty words are left out of a sketch that has no more of them than the band's spare: its
+    links then have an equal word that is not empty. With a bitmap only rows whose key may
+    be in it.
     """
     sent = None if bitmap is None else feats.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -126,14 +174,21 @@ def bucket_rows(feats: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame
                 band, words = sketches.field("band").to_numpy(), sketches.field("words")
                 size = np.diff(words.offsets.to_numpy())
                 flat = words.flatten().to_numpy().view(np.uint64)
+                lows = band_table(percent, 1 << 20)
+                while len(band) and band.max() + 2 > len(lows) - 1:
+                    lows = band_table(percent, 4 * lows[-1])
+                spare = {int(x): sketch_size(lows, int(x), percent)[1] for x in np.unique(band)}
+                empty = np.add.reduceat(flat == 0, np.cumsum(size) - size, dtype=np.int64) if len(size) else np.zeros(0, np.int64)
+                crowded = np.repeat(empty > np.array([spare[int(x)] for x in band], dtype=np.int64), size) if len(size) else np.zeros(0, bool)
                 band = np.repeat(band, size)
                 place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
                 node = np.repeat(np.repeat(part.column(0).to_numpy(zero_copy_only=False), per_row), size)
                 # 48 bits name a word well enough: a clash is only one more candidate
                 key = mix64(flat ^ mix64((band.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))) >> np.uint64(16)
+                keep = (flat != 0) | crowded
                 if sent is not None:
-                    keep = in_bitmap(sent.value, key)
-                    key, node, band = key[keep], node[keep], band[keep]
+                    keep &= in_bitmap(sent.value, key)
+                key, node, band = key[keep], node[keep], band[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(band.astype(np.int32))], ["key", "node", "band"])
 
@@ -267,15 +322,13 @@ def link_roots(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     text = F.coalesce(F.col(text_col), F.lit(""))
     ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
     feats = stored(shingle_sets(ids, width, percent), "shingle-sketches")
-    sketches = feats.select("node", F.col("n_shingles").alias("n"), F.explode("sketches").alias("s")).select("node", "n", "s.band", "s.words")
     # buckets that hold two different nodes, and their smallest node
-    hubs = bucket_rows(feats).groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
+    hubs = bucket_rows(feats, percent).groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
     hubs = stored(hubs, "shared-words")
-    members = bucket_rows(feats, key_bitmap(hubs)).join(hubs, "key")
+    members = bucket_rows(feats, percent, key_bitmap(hubs)).join(hubs, "key")
     shared = stored(members.groupBy("key", "node", "band").agg(F.min("hub").alias("hub")), "bucket-members")
-    some = small_side(stored(shared.select("node").distinct(), "near-nodes"))
-    near = sketches.join(some, "node").groupBy("node", "band").agg(F.min("n").alias("n"), F.min("words").alias("words"))
-    near = stored(near, "near-sketches")
+    texts = texts_of(shared.select("node").distinct(), feats, ids)
+    near = stored(parity_sketches(texts, width, percent), "near-sketches")
     star = shared.where("node <> hub").select("band", F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(star, near, feats, ids, width, percent)
     roots = stored(components(links), "star-roots")
