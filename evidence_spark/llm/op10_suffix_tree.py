@@ -2,19 +2,21 @@
 
 Symbols are the text's words (A-Z lower-cased) and an end mark; the root is the smoothed
 word distribution of the training texts. A context of one or more preceding words is a
-candidate state when its share of all training tokens reaches ``state_share``; its next
-symbols are kept when the share of (context, symbol) reaches ``entry_share`` and it occurs
-``MIN_COUNT`` times. A candidate
+candidate state when it occurs ``MIN_COUNT`` times, and its next symbols are kept when
+(context, symbol) occurs ``MIN_COUNT`` times, at any size of the training table. A candidate
 becomes a state when its next-symbol distribution diverges from that of its longest
 retained suffix: ``n * KL > kept symbols * ln(N) / 2`` (the gain in log likelihood against
 the cost of the parameters). Kept symbols get ``(c + mu P_suffix) / (n + mu)``; what is left
 of the mass goes to all others in proportion to the suffix's distribution, so every state
 sums to one. A token is scored by the longest suffix state that its history matches.
 
-Counts cover all training texts and grow with them. Both thresholds are shares of the
-tokens, so a level has at most ``1 / entry_share`` kept symbols and ``1 / state_share`` states
-at any size: that is the proven bound of what is broadcast. Tokens rarer than
-``entry_share`` meet their counts in a shuffle join.
+The tree is a table keyed by the hash of a word sequence (a gram) and grows with the texts.
+Level by level, grams are counted in a shuffle, tested with joins on the level before, and
+turned into one number each: what it adds to ln P of the token that ends it, and of the
+token that follows it. A text's score is the sum over its grams, so texts meet the table by
+pre-aggregated (text, gram) counts. The most frequent grams (``FREQUENT`` at most) are also
+broadcast and spare their uses that join; this changes no score but for rounding.
+``fit_tree`` holds the same tree in the driver's memory, for small tables.
 """
 
 from __future__ import annotations
@@ -27,15 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidence_spark.llm.common import id_crc, stored
-from evidence_spark.llm.words import chunks, word_hashes
+from evidence_spark.llm.words import chunks, mix64, word_hashes
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-STATE_SHARE = 1e-5
-ENTRY_SHARE = 1e-6
 MIN_COUNT = 3
 MU = 20.0
 DEPTH = 2
 HELD_OUT = (5, 1)
+#: Keys that a broadcast may hold (16 bytes each): symbols of the root, grams of the tree.
+FREQUENT = (1 << 20, 1 << 22)
+#: 64-bit words of a broadcast filter, and tokens that a task counts at a time.
+FILTER_WORDS = 1 << 21
+COUNT_TOKENS = 3_000_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def symbol_chunks(col: pa.Array):
@@ -52,7 +58,7 @@ def symbol_chunks(col: pa.Array):
 
 
 class SuffixTree:
-    """Broadcast part of the model: frequent symbols, states and their kept symbols."""
+    """The tree in memory: symbols, states and their kept symbols."""
 
     def __init__(self, symbols: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         order = np.argsort(symbols)
@@ -147,22 +153,28 @@ def _counts(train: DataFrame, emit) -> DataFrame:
 
 
 def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Key and count arrays of a table whose size is bound by the thresholds."""
+    """Key and count arrays of a small table."""
     table = df.toArrow()
     return table["key"].to_numpy(), table["c"].to_numpy()
 
 
-def fit_tree(train: DataFrame, *, depth: int = DEPTH, state_share: float = STATE_SHARE, entry_share: float = ENTRY_SHARE,
-             mu: float = MU) -> tuple[SuffixTree, DataFrame]:
-    """(broadcast part, table (key, c) of all training symbols) from a table of one text column."""
+def _vocabulary(train: DataFrame) -> tuple[DataFrame, int, int]:
+    """(table (key, c) of all training symbols, number of tokens, number of symbols)."""
+    table = stored(_counts(train, lambda col: (s for _, s, _ in symbol_chunks(col))), "lm-symbols")
+    row = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    return table, row["n"], row["v"]
+
+
+def fit_tree(train: DataFrame, *, depth: int = DEPTH, mu: float = MU) -> tuple[SuffixTree, DataFrame]:
+    """(tree, table (key, c) of all training symbols) from a small table of one text column.
+
+    The whole tree is brought to the driver; ``fit_table`` is the form for any size.
+    """
     spark = train.sparkSession
-    vocabulary = stored(_counts(train, lambda col: (s for _, s, _ in symbol_chunks(col))), "lm-symbols")
-    row = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = row["n"], row["v"]
-    least, least_state = max(MIN_COUNT, entry_share * total), max(MIN_COUNT, state_share * total)
-    keys, c = _collected(vocabulary.where(F.col("c") >= entry_share * total))
+    vocabulary, total, distinct = _vocabulary(train)
+    keys, c = _collected(vocabulary)
     tree = SuffixTree(keys.view(np.uint64), c, total, distinct)
-    big = np.flatnonzero(tree.counts >= least_state)
+    big = np.flatnonzero(tree.counts >= MIN_COUNT)
     candidate = np.full(len(tree.symbols), -1, dtype=np.int64)
     candidate[big] = np.arange(len(big))
     size, suffix, last = tree.counts[big].astype(float), [], big
@@ -181,7 +193,7 @@ def fit_tree(train: DataFrame, *, depth: int = DEPTH, state_share: float = STATE
                 on = (ctx >= 0) & (places >= 0)
                 yield (ctx[on] << 32) | places[on]
 
-        keys, c = _collected(_counts(train, emit).where(F.col("c") >= least))
+        keys, c = _collected(_counts(train, emit).where(F.col("c") >= MIN_COUNT))
         sent.unpersist()
         ctx, nxt = keys >> 32, keys & 0xFFFFFFFF
 
@@ -192,7 +204,7 @@ def fit_tree(train: DataFrame, *, depth: int = DEPTH, state_share: float = STATE
         tree.add_level(size, parents, ctx, nxt, c, mu)
         # candidates one symbol longer: a kept pair that is frequent enough; end marks end a history
         end = tree.index(np.array([END]))[0]
-        longer = (c >= least_state) & (nxt != end)
+        longer = nxt != end
         pairs = np.sort(keys[longer])
         size = c[longer][np.argsort(keys[longer])].astype(float)
         ctx, nxt = pairs >> 32, pairs & 0xFFFFFFFF
@@ -206,8 +218,130 @@ def fit_tree(train: DataFrame, *, depth: int = DEPTH, state_share: float = STATE
     return tree, vocabulary
 
 
+def gram_chunks(col: pa.Array, width: int):
+    """Yield (first row, levels, offsets); level n - 1 is (grams, contexts, whole) of each token:
+    the hash of the n symbols that end there, of the n - 1 before it, and whether the text has
+    that many. The text before its first word is an end mark."""
+    for i, symbols, off in symbol_chunks(col):
+        start, levels = off[:-1], [(symbols, None, np.ones(len(symbols), dtype=bool))]
+        for n in range(2, width + 1):
+            last, _, had = levels[-1]
+            ctx, whole = np.empty_like(last), np.empty_like(had)
+            ctx[1:], whole[1:] = last[:-1], had[:-1]
+            ctx[start], whole[start] = END, n == 2
+            levels.append((mix64(ctx * _STEP + last), ctx, whole & had))
+        yield i, levels, off
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bits of the column ``key``, in an array of fixed size, for ``maybe``."""
+    words = keys.select(F.expr(f"key & {FILTER_WORDS - 1}L").alias("key"),
+                        F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 40) & 63 AS int))").alias("c"))
+    at, bits = _collected(words.groupBy("key").agg(F.bit_or("c").alias("c")))
+    out = np.zeros(FILTER_WORDS, dtype=np.uint64)
+    out[at] = bits.view(np.uint64)
+    return out
+
+
+def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that the filter's table does not hold."""
+    return (bits[keys & np.uint64(FILTER_WORDS - 1)] >> ((keys >> np.uint64(40)) & np.uint64(63))) & np.uint64(1) > 0
+
+
+def frequent(table: DataFrame, value: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and values of the most frequent rows of (key, c, value), at most ``rows``."""
+    bucket = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
+    least, n = None, 0
+    for b, k in sorted(table.groupBy(bucket.alias("b")).count().collect(), reverse=True):
+        if (n := n + k) > rows:
+            break
+        least = b
+    got = table.where(bucket >= least if least is not None else F.lit(False)).select("key", F.col(value).alias("c"))
+    keys, values = _collected(got)
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], values[order]
+
+
+def _gram_counts(train: DataFrame, n: int, before: DataFrame) -> DataFrame:
+    """(key, ctx, par, c) of all grams of n symbols that occur ``MIN_COUNT`` times.
+
+    ctx and par are its first and its last n - 1 symbols. Grams of which one of the two
+    is not in ``before`` occur less often, and most of them are not sent.
+    """
+    sent = train.sparkSession.sparkContext.broadcast(key_filter(before))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            ctx, par = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, c = np.unique(mix64(ctx * _STEP + par), return_index=True, return_counts=True)
+            for k in range(0, len(first), 200_000):
+                at = first[k: k + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(ctx[at].view(np.int64)), pa.array(par[at].view(np.int64)),
+                                                  pa.array(c[k: k + 200_000].astype(np.int64))], ["ctx", "par", "c"])
+
+        for b in batches:
+            for _, levels, _ in gram_chunks(b.column(0), n):
+                par, (_, ctx, whole) = levels[n - 2][0], levels[n - 1]
+                on = whole & maybe(sent.value, par) & maybe(sent.value, ctx)
+                held.append((ctx[on], par[on]))
+                size += len(held[-1][0])
+                if size >= COUNT_TOKENS:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx, par = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(mix64(ctx * _STEP + par).view(np.int64)), *b.columns], ["key", "ctx", "par", "c"])
+
+    counts = train.mapInArrow(run, "ctx long, par long, c long").groupBy("ctx", "par").agg(F.sum("c").alias("c"))
+    return counts.where(F.col("c") >= MIN_COUNT).mapInArrow(keyed, "key long, ctx long, par long, c long")
+
+
+def fit_table(train: DataFrame, *, depth: int = DEPTH, mu: float = MU) -> tuple[DataFrame, DataFrame, int, int]:
+    """(tree, vocabulary, number of training tokens, of symbols) from a table of one text column.
+
+    tree: (key, c, v), what each use of a gram adds to the natural log of the probability of
+    the tokens that end and follow it; vocabulary: (key, c, v), v the symbol's at the root.
+    """
+    vocabulary, total, distinct = _vocabulary(train)
+    vocabulary = vocabulary.withColumn("v", F.log((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1))))
+    # each kept gram: its count, its last symbol's ln P at the root, the gain of the tree so far over that
+    level = vocabulary.where(F.col("c") >= MIN_COUNT).select("key", "c", F.col("v").alias("root"), F.lit(0.0).alias("gain"))
+    parts = [level.select("key", "c", F.col("gain").alias("v")).limit(0)]
+    for n in range(2, depth + 2):
+        grams = _gram_counts(train, n, level)
+        grams = grams.join(level.select(F.col("key").alias("ctx"), F.col("c").alias("size")), "ctx").join(
+            level.select(F.col("key").alias("par"), "root", "gain"), "par")
+        suffix = F.col("gain") + F.col("root")
+        grams = stored(grams.select("key", "ctx", "c", "size", "root", "gain", F.exp(suffix).alias("q")).withColumn(
+            "p", (F.col("c") + F.lit(mu) * F.col("q")) / (F.col("size") + F.lit(mu))), "lm-grams")
+        states = grams.groupBy("ctx").agg(
+            F.max("size").alias("size"), F.count(F.lit(1)).alias("number"), F.greatest(1 - F.sum("p"), F.lit(1e-12)).alias("left"),
+            F.greatest(1 - F.sum("q"), F.lit(1e-12)).alias("left_q"), F.sum(F.col("p") * (F.log("p") - suffix)).alias("kl"))
+        states = states.withColumn("rest", F.log(F.col("left") / F.col("left_q")))
+        states = stored(states.where(F.col("size") * (F.col("kl") + F.col("left") * F.col("rest")) > F.col("number") * F.lit(
+            0.5 * float(np.log(max(total, 2))))).select("ctx", "size", "rest"), "lm-states")
+        own = F.when(F.col("rest").isNotNull(), F.log("p") - F.col("root")).otherwise(F.col("gain"))
+        level = stored(grams.join(states.select("ctx", "rest"), "ctx", "left").select(
+            "key", "c", "root", own.alias("gain"), (own - F.col("gain") - F.coalesce("rest", F.lit(0.0))).alias("v"),
+            F.col("rest").isNotNull().alias("kept")), "lm-level")
+        parts += [level.where("kept").select("key", "c", "v"), states.select(F.col("ctx").alias("key"), F.col("size").alias("c"), F.col("rest").alias("v"))]
+        if level.isEmpty():
+            break
+    tree = parts[0]
+    for part in parts[1:]:
+        tree = tree.unionByName(part)
+    tree = tree.groupBy("key").agg(F.max("c").alias("c"), F.sum("v").alias("v"))
+    return stored(tree, "lm-tree"), vocabulary, total, distinct
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", split: tuple[int, int] = HELD_OUT,
-                depth: int = DEPTH, state_share: float = STATE_SHARE, entry_share: float = ENTRY_SHARE, mu: float = MU) -> DataFrame:
+                depth: int = DEPTH, mu: float = MU, frequent_rows: tuple[int, int] = FREQUENT) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Trained on ids whose crc32 mod ``split[0]`` is not ``split[1]`` (a null id counts as the
@@ -217,52 +351,63 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     held = F.pmod(id_crc(id_col), F.lit(split[0])) == split[1]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tree, vocabulary = fit_tree(docs.where(~held).select(text.alias("t")), depth=depth, state_share=state_share,
-                                entry_share=entry_share, mu=mu)
-    sent = spark.sparkContext.broadcast(tree)
-    names = ["id", "mark", "n_tokens", "n_known", "base", "gain", "rare", "times"]
+    tree, vocabulary, total, distinct = fit_table(docs.where(~held).select(text.alias("t")), depth=depth, mu=mu)
+    sent = spark.sparkContext.broadcast((*frequent(vocabulary, "v", frequent_rows[0]), *frequent(tree, "v", frequent_rows[1]), key_filter(tree)))
+    names = ["id", "mark", "n_tokens", "n_known", "base", "gain", "rare", "times", "grams", "uses"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = sent.value
-        log_root = np.r_[t.log_root, 0.0]
+        symbols, log_root, keys, values, bits = sent.value
+        log_root, values = np.r_[log_root, 0.0], np.r_[values, 0.0]
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            sums = np.zeros((4, n))
-            rare, times, cuts = [], [], [0]
-            for i, symbols, off in symbol_chunks(b.column(2)):
-                places = t.index(symbols)
-                gain = t.gain(t.contexts(places, off, len(t.levels)), places)
-                for k, values in enumerate((np.ones(len(symbols)), (places >= 0).astype(float), log_root[places], gain)):
-                    sums[k, i: i + len(off) - 1] = np.add.reduceat(values, off[:-1])
-                for lo, hi in zip(off[:-1], off[1:], strict=True):
-                    h, c = np.unique(symbols[lo:hi][places[lo:hi] < 0], return_counts=True)
-                    rare.append(h)
-                    times.append(c)
-                    cuts.append(cuts[-1] + len(h))
-            offsets = pa.array(np.array(cuts, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3]),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rare).view(np.int64))),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32)))], names)
+            sums, found = np.zeros((4, n)), ([], [])
+            for i, levels, off in gram_chunks(b.column(2), depth + 1):
+                places = SuffixTree.find(symbols, levels[0][0])
+                gain, owner = np.zeros(len(places)), np.repeat(np.arange(i, i + len(off) - 1), np.diff(off))
+                found[0].append((owner[places < 0], levels[0][0][places < 0]))
+                for grams, _, whole in levels:
+                    on = np.flatnonzero(whole & maybe(bits, grams))
+                    at = SuffixTree.find(keys, grams[on])
+                    gain[on] += values[at]
+                    found[1].append((owner[on[at < 0]], grams[on[at < 0]]))
+                for k, x in enumerate((np.ones(len(places)), (places >= 0).astype(float), log_root[places], gain)):
+                    sums[k, i: i + len(off) - 1] = np.add.reduceat(x, off[:-1])
+            lists = []
+            for part in found:
+                row, key = (np.concatenate(x) for x in zip(*part, strict=True))
+                order = np.lexsort((key, row))
+                row, key = row[order], key[order]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])]) if len(row) else np.zeros(0, np.int64)
+                cuts = pa.array(np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32))
+                times = np.diff(np.r_[first, len(row)]).astype(np.int32)
+                lists += [pa.ListArray.from_arrays(cuts, pa.array(key[first].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)),
+                                              pa.array(sums[2]), pa.array(sums[3]), *lists], names)
 
     id_type = docs.schema[id_col].dataType.simpleString()
     parts = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("t")).mapInArrow(
-        run, f"id {id_type}, mark long, n_tokens long, n_known long, base double, gain double, rare array<long>, times array<int>"), "lm-scores")
-    floor = tree.total + 0.5 * (tree.distinct + 1)
+        run, f"id {id_type}, mark long, n_tokens long, n_known long, base double, gain double, rare array<long>, times array<int>, grams array<long>, uses array<int>"), "lm-scores")
+    floor = total + 0.5 * (distinct + 1)
     # one row for each distinct (id, text): repeated rows are counted here and given back at the end
     rows = parts.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in names[2:6]])
-    uses = parts.select("id", "mark", F.explode(F.arrays_zip("rare", "times")).alias("u")).select(
-        "id", "mark", F.col("u.rare").alias("key"), F.col("u.times").alias("n"))
-    seen = uses.join(vocabulary, "key", "left").groupBy("id", "mark").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("n") * F.log((F.coalesce(F.col("c"), F.lit(0)) + 0.5) / F.lit(floor))).alias("log_rare")).select(
-        F.col("id").alias("__id"), F.col("mark").alias("__mark"), "known", "log_rare")
+
+    def exploded(key: str, times: str) -> DataFrame:
+        return parts.select("id", "mark", F.explode(F.arrays_zip(key, times)).alias("u")).select(
+            "id", "mark", F.col(f"u.{key}").alias("key"), F.col(f"u.{times}").alias("n"))
+
+    rare = exploded("rare", "times").join(vocabulary, "key", "left").select(
+        "id", "mark", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known"),
+        (F.col("n") * F.coalesce("v", F.log(F.lit(0.5 / floor)))).alias("log_rare"), F.lit(0.0).alias("more"))
+    grams = exploded("grams", "uses").join(tree, "key").select(
+        "id", "mark", F.lit(0).alias("known"), F.lit(0.0).alias("log_rare"), (F.col("n") * F.col("v")).alias("more"))
+    seen = rare.unionByName(grams).groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(
+        *[F.sum(c).alias(c) for c in ("known", "log_rare", "more")])
     out = rows.join(seen, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left")
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     base = (F.col("base") + F.coalesce(F.col("log_rare") / F.col("copies"), F.lit(0.0))) / F.lit(float(np.log(10)))
     return out.select(F.col("id").alias(id_col), (F.pmod(id_crc("id"), F.lit(split[0])) == split[1]).alias("held_out"), "n_tokens",
                       (F.col("n_known") + F.coalesce((F.col("known") / F.col("copies")).cast("long"), F.lit(0).cast("long"))).alias("n_known"),
-                      F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"),
-                      (base + F.col("gain") / F.lit(float(np.log(10)))).alias("score"))
+                      F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"),
+                      (base + (F.col("gain") + F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0))) / F.lit(float(np.log(10)))).alias("score"))

@@ -372,3 +372,30 @@ def test_language_model_rows(spark, odd, none):
     assert lm.score_texts(none).count() == 0
     alone = lm.score_texts(spark.createDataFrame([(i, "a b") for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string"))
     assert {(r["train_tokens"], r["n_known"], r["base_score"], r["score"]) for r in alone.collect()} == {(0, 0, 0.0, 0.0)}
+
+
+def test_a_rare_passage_of_a_large_table_is_in_the_model(spark):
+    # 1,000,000 training tokens: five occurrences are far less than 1e-5 of them
+    rng = np.random.default_rng(10)
+    ids = {side: [i for i in range(400) if (zlib.crc32(str(i).encode()) % 5 == 1) == side] for side in (True, False)}
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 500, 5000))) for i in ids[False][:200]]
+    passage = " ".join(f"rare{x}" for x in range(30))
+    rows += [(i, f"{passage} w{i}") for i in ids[False][200:205]] + [(ids[True][0], passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = next(r for r in lm.score_texts(docs).collect() if r["doc_id"] == ids[True][0])
+    assert got["train_tokens"] > 1_000_000 and got["score"] > got["base_score"] + 2 * 30
+
+
+def test_the_table_and_the_tree_in_memory_agree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    tree, _ = lm.fit_tree(docs.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) <> 1").select("text"))
+    texts = docs.toArrow().combine_chunks()
+    want = {}
+    ids = texts["doc_id"].to_pylist()
+    for i, symbols, off in lm.symbol_chunks(texts["text"].combine_chunks()):
+        places = tree.index(symbols)
+        gain = np.add.reduceat(tree.gain(tree.contexts(places, off, len(tree.levels)), places), off[:-1]) / np.log(10)
+        want.update(zip(ids[i: i + len(gain)], gain, strict=True))
+    for rows in (lm.FREQUENT, (100, 100)):  # what is broadcast changes no result
+        got = {r["doc_id"]: r["score"] - r["base_score"] for r in lm.score_texts(docs, frequent_rows=rows).collect()}
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
