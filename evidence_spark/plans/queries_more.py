@@ -656,14 +656,13 @@ def c04_update_inferences(spark, sf):
     return jobs.update_inferences(spark, _inference_files(spark, sf), _fx(spark, sf, "fx_testset"), old)
 
 
-def _object_files(spark, sf):
-    """Three files of one object each: two models, and a second file for the first one."""
+def _dropped_files(spark, sf):
+    """Three folders of one record a line, written in parallel, one a model."""
     folder = scratch_path(spark, "dropped-files")
     inf = _fx(spark, sf, "fx_inf").where("model = 'm_first'")
-    entry = F.concat(F.to_json(F.col("uuid").cast("variant")), F.lit(": "), F.to_json(F.col("quotes").cast("variant")))
-    value = F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ",\n"), F.lit("}")).alias("value")
+    line = F.to_json(F.struct("uuid", "quotes"), {"ignoreNullFields": "false"}).alias("value")
     for name, part in (("m_first", "doc_id % 2 = 0"), ("m two", "doc_id % 3 = 0"), ("m three", "doc_id % 5 > 1")):
-        write_lines(inf.where(part).agg(value), folder, f"{name}.json")
+        inf.where(part).select(line).write.text(f"{folder}/{name}.jsonl")
     return folder
 
 
@@ -673,12 +672,13 @@ _DROPPED = ("dropped", "SELECT doc_id, uuid, 'm_first' AS model, quotes FROM fx_
 
 
 def _ingested(spark, sf, score):
-    """Run the stream over the dropped files, one file a batch; judgments come late: the first
+    """Run the stream over the dropped files in about three batches; judgments come late: the first
     batch has none. A last start without new files, after compaction, must change nothing."""
     from evidence_spark.streaming import ingest as ig
 
     folder, log, scores, ckpt = (scratch_path(spark, n) for n in ("unused", "inference-log", "score-log", "stream-ckpt"))
-    folder = _object_files(spark, sf)
+    folder = _dropped_files(spark, sf)
+    files = -(-len(spark.read.text(f"{folder}/*.jsonl").inputFiles()) // 3)
     ts = _fx(spark, sf, "fx_testset").drop("doc_id")
     j = _fx(spark, sf, "fx_all_judgments").where("model = 'm_first'").drop("doc_id")
     judged = j
@@ -691,9 +691,9 @@ def _ingested(spark, sf, score):
         return judged if len(calls) > 1 else judged.limit(0)
 
     kw = {"score_log": scores, "judgments": judgments} if score else {}
-    ig.start_ingest(spark, folder, ts, log, ckpt, max_files_per_trigger=1, **kw).awaitTermination()
+    ig.start_ingest(spark, folder, ts, log, ckpt, max_files_per_trigger=max(1, files), **kw).awaitTermination()
     ig.compact_logs(spark, log, scores if score else None, 1)
-    ig.start_ingest(spark, folder, ts, log, ckpt, max_files_per_trigger=1, **kw).awaitTermination()
+    ig.start_ingest(spark, folder, ts, log, ckpt, max_files_per_trigger=max(1, files), **kw).awaitTermination()
     return ig, log, scores
 
 

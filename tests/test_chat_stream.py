@@ -153,3 +153,17 @@ def test_compaction_keeps_the_current_tables(spark, tmp_dir):
     ingest.compact_logs(spark, log, None, 1)
     assert sorted(ingest.current_inferences(spark, log).collect()) == before
     assert sorted(x for x in os.listdir(log) if x.startswith("batch")) == ["batch_id=1", "batch_id=2"]
+
+
+def test_folders_of_lines_are_streamed_in_parts(spark, tmp_dir):
+    watch, log, ckpt = (os.path.join(tmp_dir, n) for n in ("watch", "log", "ckpt"))
+    rows = spark.range(40, numPartitions=4).selectExpr("to_json(named_struct('uuid', concat('u', id), 'quotes', concat('a\n', id))) AS value")
+    rows.write.text(os.path.join(watch, "m 1.x.jsonl"))
+    with open(os.path.join(watch, "m2.json"), "w") as f:
+        json.dump({"u0": "whole", "nobody": "x"}, f)
+    ts = spark.range(40).selectExpr("concat('u', id) AS uuid")
+    for _ in range(2):
+        ingest.start_ingest(spark, watch, ts, log, ckpt, max_files_per_trigger=3).awaitTermination()
+    got = {(r["uuid"], r["model"]): r["quotes"] for r in ingest.current_inferences(spark, log).collect()}
+    assert got == {("u0", "m2"): "whole", **{(f"u{i}", "m 1.x"): f"a\n{i}" for i in range(40)}}
+    assert sorted(os.listdir(log)) == ["batch_id=0", "batch_id=1"]
