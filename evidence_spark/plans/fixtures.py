@@ -212,15 +212,3 @@ def oracle_sql(names, final: str, extra: list[tuple[str, str]] | None = None) ->
     for t in DRIVER_TABLES:
         text = text.replace("{" + t + "}", t)
     return text
-
-
-def write_lines(df: DataFrame, folder: str, name: str) -> None:
-    """Write a one-column table of lines as the single file ``folder/name``."""
-    spark = df.sparkSession
-    staged = f"{folder.rstrip('/')}-{name}-staged"
-    df.coalesce(1).write.text(staged)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(path(folder))
-    part = next(f.getPath() for f in fs.listStatus(path(staged)) if f.getPath().getName().startswith("part-"))
-    fs.rename(part, path(f"{folder.rstrip('/')}/{name}"))

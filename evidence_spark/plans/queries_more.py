@@ -14,7 +14,7 @@ from evidence_spark.operators import report as rp
 from evidence_spark.operators import scoring as sc
 from evidence_spark.plans import jobs
 from evidence_spark.plans import oracle as O
-from evidence_spark.plans.fixtures import fixture, write_lines
+from evidence_spark.plans.fixtures import fixture
 from evidence_spark.plans.queries import _results, _samples, _scoring, register
 from evidence_spark.session import scratch_path
 from evidence_spark.sources import corpus as src
@@ -621,16 +621,13 @@ def c06_report_after_resume(spark, sf):
 
 # --------------------------------------------------------------------------- files and streams
 def _inference_files(spark, sf):
-    """Inference files in a fresh folder: one object a file (short answers), one record a line
-    (full answers), a name with a space and one with a plus sign."""
+    """Inference files in a fresh folder: for each of four models a folder of one record a line,
+    written in parallel; a name with a space and one with a plus sign."""
     folder = scratch_path(spark, "inference-files")
     inf = _fx(spark, sf, "fx_inf")
     line = F.to_json(F.struct("uuid", "quotes"), {"ignoreNullFields": "false"})
-    for model, name in (("m_exact", "m_exact"), ("m_other", "m other"), ("m.noise-1", "m.noise+1")):
-        write_lines(inf.where(F.col("model") == model).select(line.alias("value")), folder, f"{name}.jsonl")
-    entry = F.concat(F.to_json(F.col("uuid").cast("variant")), F.lit(": "), F.to_json(F.col("quotes").cast("variant")))
-    short = inf.where("model = 'm_first'").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ",\n"), F.lit("}")).alias("value"))
-    write_lines(short, folder, "m_first.json")
+    for model, name in (("m_exact", "m_exact"), ("m_other", "m other"), ("m.noise-1", "m.noise+1"), ("m_first", "m_first")):
+        inf.where(F.col("model") == model).select(line.alias("value")).write.text(f"{folder}/{name}.jsonl")
     return folder
 
 

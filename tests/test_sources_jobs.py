@@ -177,3 +177,25 @@ def test_random_ids_are_stable_after_checkpoint(spark):
     first = {r["question"]: r["uuid"] for r in out.collect()}
     second = {r["question"]: r["uuid"] for r in out.collect()}
     assert first == second and first["b"] is None and len(first["a"]) == 36
+
+
+def test_a_model_is_read_from_a_folder_of_parts(spark, tmp_dir):
+    from evidence_spark.plans.queries_more import _inference_files
+
+    rows = spark.range(30, numPartitions=3).selectExpr("to_json(named_struct('uuid', concat('u', id), 'quotes', 'q')) AS value")
+    rows.write.text(os.path.join(tmp_dir, "a b+c.1.jsonl"))
+    got = inf.read_inference_files(spark, tmp_dir)
+    assert got.select("file").distinct().count() == 3 and got.count() == 30
+    assert {r["model"] for r in got.select("model").distinct().collect()} == {"a b+c.1"}
+    # the queries' files: a table of several parts is not gathered into one file
+    many = os.path.join(tmp_dir, "sf")
+    for name in os.listdir("/root/testdata/sf0.001"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}").repartition(3).write.parquet(os.path.join(many, name))
+    with_max = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        read = inf.read_inference_files(spark, _inference_files(spark, many))
+        files = {r["model"]: r["n"] for r in read.groupBy("model").agg(F.countDistinct("file").alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", with_max)
+    assert set(files) == {"m_exact", "m other", "m.noise+1", "m_first"} and min(files.values()) > 1
