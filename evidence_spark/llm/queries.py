@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_spark.llm import (op1_fingerprints, op2_html, op3_mixing, op4_quality, op5_pieces, op6_jaccard,
-                                op7_neighbours, op8_urls, op9_warc, op10_suffix_tree)
+                                op7_neighbours, op8_urls, op9_warc, op10_suffix_tree, op11_lines, op13_search)
 from evidence_spark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,13 @@ def op9_warc_revisits(spark, sf_dir):
 @register("op10_suffix_tree")
 def op10_suffix_tree_scores(spark, sf_dir):
     return op10_suffix_tree.score_texts(read(spark, sf_dir, "documents"))
+
+
+@register("op11_line_frequency", op11_lines.ORACLE)
+def op11_line_frequency(spark, sf_dir):
+    return op11_lines.judge_lines(read(spark, sf_dir, "documents"))
+
+
+@register("op13_interval_search", op13_search.ORACLE)
+def op13_interval_search(spark, sf_dir):
+    return op13_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
