@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_spark.llm import (op1_fingerprints, op2_html, op3_mixing, op4_quality, op5_pieces, op6_jaccard,
-                                op7_neighbours, op8_urls, op9_warc, op10_suffix_tree, op11_lines, op13_search)
+                                op7_neighbours, op8_urls, op9_warc, op10_suffix_tree, op11_lines,
+                                op12_negatives, op13_search)
 from evidence_spark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +82,11 @@ def op11_line_frequency(spark, sf_dir):
     return op11_lines.judge_lines(read(spark, sf_dir, "documents"))
 
 
+@register("op12_tree_negatives", op12_negatives.ORACLE)
+def op12_tree_negatives(spark, sf_dir):
+    return op12_negatives.mine_negatives(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=op12_negatives.shifted_label())
+
+
 @register("op13_interval_search", op13_search.ORACLE)
 def op13_interval_search(spark, sf_dir):
     return op13_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
