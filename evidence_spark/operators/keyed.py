@@ -1,8 +1,8 @@
 """Keyed-table operations on plain DataFrames: last-wins, upsert, key checks.
 
 Parquet has no MERGE; an upsert is ``target LEFT ANTI updates`` unioned with the
-updates, written as a new snapshot. Last-wins uses ``max_by`` so the choice is made
-map-side (partial aggregation): a hot key never drags all its rows into one task.
+updates, written as a new snapshot. Last-wins chooses among narrow (key, order) rows,
+counted map-side: a hot key never drags all its rows into one task.
 """
 
 from __future__ import annotations
@@ -11,18 +11,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def last_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+def last_wins(df: DataFrame, keys: list[str], order: list[str | Column], unique: bool = False) -> DataFrame:
     """One row per key: the row with the greatest ``struct(order)``.
 
     NULL values of the winning row are kept (a later NULL overrides an earlier value).
+
+    The winning (key, order) is found on narrow rows, and whole rows are joined to it, so
+    texts are moved once and never sorted by an aggregation. Rows of a key that tie at the
+    greatest order are reduced to one of them by a hash of their values, in a branch of
+    its own that reads the rows again; with ``unique`` the caller states that no two rows
+    of a key have the same order, and there is no such branch.
     """
     values = [c for c in df.columns if c not in keys]
-    ordering = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    return (
-        df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), ordering).alias("_winner"))
-        .select(*keys, "_winner.*")
-    )
+    ordering = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)]
+    names = [f"_o{i}" for i in range(len(order))]
+    # one row per (key, order) first: a hot key is counted before its rows meet
+    counted = df.select(*keys, *ordering).groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    top = F.max(F.struct(*names, "_n")).alias("_w")
+    winner = counted.groupBy(*keys).agg(top).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_w._n").alias("_n"),
+                                                   *[F.col(f"_w.{n}").alias(f"_w{n}") for n in names])
+    rows = df.select("*", *ordering)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(n).eqNullSafe(F.col(f"_w{n}")) for n in names]
+
+    def whole(winners: DataFrame) -> DataFrame:
+        cond = same[0]
+        for c in same[1:]:
+            cond = cond & c
+        return rows.join(winners, cond).select(*df.columns)
+
+    if unique:
+        return whole(winner).select(*keys, *values)
+    tied = whole(winner.where("_n > 1")).groupBy(*keys).agg(F.max_by(F.struct(*values), F.xxhash64(*values)).alias("_winner"))
+    return whole(winner.where("_n = 1")).select(*keys, *values).unionByName(tied.select(*keys, "_winner.*"))
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], allow_missing: bool = True) -> DataFrame:

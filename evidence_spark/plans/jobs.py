@@ -66,10 +66,10 @@ class TestsetResult:
 
 def build_testset(published: DataFrame, splits, current: DataFrame | None = None,
                   inferences: DataFrame | None = None, scores: DataFrame | None = None, *,
-                  order: list[str]) -> TestsetResult:
+                  order: list[str], unique_order: bool = False) -> TestsetResult:
     """S8 -> P9 -> S7 -> S9 (whole-record replace; replaced uuids lose children)."""
     records = cu.test_records(published, splits, keep=order)
-    t, i, s, n = score_src.upsert_testset(current, records, inferences, scores, order=order)
+    t, i, s, n = score_src.upsert_testset(current, records, inferences, scores, order=order, unique_order=unique_order)
     return TestsetResult(t, i, s, n)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evidence_spark.functions.metrics import f1, repair_precision, round_half_up
 from evidence_spark.functions.text import format_score, parse_quotes, question_key, tokenize
-from evidence_spark.operators import bm25 as bm
+from evidence_spark.operators import bm25 as bm, token_join
 from evidence_spark.operators import report as rp
 from evidence_spark.operators import scoring as sc
 from evidence_spark.operators.judge import judge_from_table, lexical_judge
@@ -142,6 +142,14 @@ def t07_bm25(spark, sf):
     return bm.add_bm25(pairs, "gold_quotes", "resp_quotes").select("uuid", "model", "bm25")
 
 
+@register("t07b_bm25_join", ORACLE["t07_bm25"])
+def t07b_bm25_join(spark, sf):
+    """The BM25 score by token joins; documents without golden text are left out of the golden side."""
+    ts = _fx(spark, sf, "fx_testset").select("uuid", parse_quotes("quotes").alias("gold_quotes"))
+    pairs = _fx(spark, sf, "fx_inf").select("uuid", "model", parse_quotes("quotes").alias("resp_quotes"))
+    return token_join.bm25_join(pairs, ts)
+
+
 # --------------------------------------------------------------------------- metrics
 @register(
     "t08_f1",
@@ -188,6 +196,15 @@ def t10b_judge_lexical(spark, sf):
     return lexical_judge(s, "gold_quotes", "resp_quotes").select("uuid", "model", "recall", "precision")
 
 
+@register("t10c_judge_lexical_join", ORACLE["t10b_judge_lexical"])
+def t10c_judge_lexical_join(spark, sf):
+    """The lexical judge by token joins with prefix and size filters."""
+    samples, _ = _samples(spark, sf)
+    s = samples.select("uuid", "model", parse_quotes("system_response").alias("resp_quotes"))
+    gold = _fx(spark, sf, "fx_testset").select("uuid", parse_quotes("quotes").alias("gold_quotes"))
+    return token_join.lexical_judge_join(s, gold).select("uuid", "model", "recall", "precision")
+
+
 _RES_COLS = (
     "SELECT uuid, model, status, CAST(recall AS DOUBLE) AS recall, CAST(precision AS DOUBLE) AS precision, "
     "CAST(f1 AS DOUBLE) AS f1, CAST(bm25 AS DOUBLE) AS bm25, CAST(format_score AS DOUBLE) AS format_score FROM res"

@@ -475,7 +475,7 @@ _UPSERTED = ("SELECT uuid, question, answer, context, quotes FROM fx_testset WHE
 def _testset_job(spark, sf):
     ts, inf, _ = _scoring(spark, sf)
     return jobs.build_testset(_fx(spark, sf, "fx_published"), ["test", "nosuch"],
-                              current=ts.drop("doc_id"), inferences=inf, order=["doc_id"])
+                              current=ts.drop("doc_id"), inferences=inf, order=["doc_id"], unique_order=True)
 
 
 def _new_ids_marked(df):
@@ -620,19 +620,27 @@ def c06_report_after_resume(spark, sf):
 
 
 # --------------------------------------------------------------------------- files and streams
+#: Model -> folder name; one with a space, one with a plus sign.
+_FOLDERS = {"m_exact": "m_exact", "m_first": "m_first", "m.noise-1": "m.noise+1", "m_other": "m other", "m_badfmt": "m_badfmt",
+            "m_open": "m_open", "m_empty": "m_empty"}
+
+
+def _write_answers(rows, folder, name):
+    """One record a line, in as many files as there are tasks; added to those that are there."""
+    rows.select(F.to_json(F.struct("uuid", "quotes"), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(f"{folder}/{name}.jsonl")
+
+
 def _inference_files(spark, sf):
-    """Inference files in a fresh folder: for each of four models a folder of one record a line,
-    written in parallel; a name with a space and one with a plus sign."""
+    """Inference files in a fresh folder: for each model a folder of one record a line, written in parallel."""
     folder = scratch_path(spark, "inference-files")
     inf = _fx(spark, sf, "fx_inf")
-    line = F.to_json(F.struct("uuid", "quotes"), {"ignoreNullFields": "false"})
-    for model, name in (("m_exact", "m_exact"), ("m_other", "m other"), ("m.noise-1", "m.noise+1"), ("m_first", "m_first")):
-        inf.where(F.col("model") == model).select(line.alias("value")).write.text(f"{folder}/{name}.jsonl")
+    for model, name in _FOLDERS.items():
+        _write_answers(inf.where(F.col("model") == model), folder, name)
     return folder
 
 
-_FILES_SQL = ("SELECT uuid, CASE model WHEN 'm_other' THEN 'm other' WHEN 'm.noise-1' THEN 'm.noise+1' ELSE model END AS model, "
-              "quotes FROM fx_inf WHERE model IN ('m_exact', 'm_other', 'm.noise-1', 'm_first')")
+_RENAMED = "CASE model WHEN 'm_other' THEN 'm other' WHEN 'm.noise-1' THEN 'm.noise+1' ELSE model END AS model"
+_FILES_SQL = f"SELECT uuid, {_RENAMED}, quotes FROM fx_inf"
 
 
 @register("s10_read_inferences", O.q(["fx_inf"], _FILES_SQL))
@@ -644,7 +652,7 @@ def s10_read_inferences(spark, sf):
 
 @register("c04_update_inferences", O.q(["fx_inf", "fx_testset"],
     f"SELECT * FROM ({_FILES_SQL}) WHERE uuid IN (SELECT uuid FROM fx_testset) "
-    "UNION ALL SELECT uuid, model, quotes FROM fx_inf WHERE model IN ('m_open', 'm_other', 'm.noise-1')"))
+    "UNION ALL SELECT uuid, model, quotes FROM fx_inf WHERE model IN ('m_other', 'm.noise-1')"))
 def c04_update_inferences(spark, sf):
     """Files applied to a table that holds some of their pairs with other answers, and other models."""
     inf = _fx(spark, sf, "fx_inf").select("uuid", "model", "quotes")
@@ -653,63 +661,56 @@ def c04_update_inferences(spark, sf):
     return jobs.update_inferences(spark, _inference_files(spark, sf), _fx(spark, sf, "fx_testset"), old)
 
 
-def _dropped_files(spark, sf):
-    """Three folders of one record a line, written in parallel, one a model."""
-    folder = scratch_path(spark, "dropped-files")
-    inf = _fx(spark, sf, "fx_inf").where("model = 'm_first'")
-    line = F.to_json(F.struct("uuid", "quotes"), {"ignoreNullFields": "false"}).alias("value")
-    for name, part in (("m_first", "doc_id % 2 = 0"), ("m two", "doc_id % 3 = 0"), ("m three", "doc_id % 5 > 1")):
-        inf.where(part).select(line).write.text(f"{folder}/{name}.jsonl")
-    return folder
-
+#: What is in force after the second drop: m_first then has the answers of m_other, where there are any.
+_DROPPED = ("dropped", f"SELECT uuid, {_RENAMED}, quotes FROM fx_inf WHERE model <> 'm_first' OR uuid NOT IN (SELECT uuid FROM fx_inf WHERE model = 'm_other') "
+                       "UNION ALL SELECT uuid, 'm_first', quotes FROM fx_inf WHERE model = 'm_other'")
 
-_DROPPED = ("dropped", "SELECT doc_id, uuid, 'm_first' AS model, quotes FROM fx_inf WHERE model = 'm_first' AND doc_id % 2 = 0 UNION ALL "
-                       "SELECT doc_id, uuid, 'm two', quotes FROM fx_inf WHERE model = 'm_first' AND doc_id % 3 = 0 UNION ALL "
-                       "SELECT doc_id, uuid, 'm three', quotes FROM fx_inf WHERE model = 'm_first' AND doc_id % 5 > 1")
 
-
-def _ingested(spark, sf, score):
-    """Run the stream over the dropped files in about three batches; judgments come late: the first
-    batch has none. A last start without new files, after compaction, must change nothing."""
+def _streamed(spark, sf, score):
+    """Both streams over two drops of whole models, each drop in several batches, started anew
+    for each; m_first is judged after the second drop, the other models after the first."""
     from evidence_spark.streaming import ingest as ig
-
-    folder, log, scores, ckpt = (scratch_path(spark, n) for n in ("unused", "inference-log", "score-log", "stream-ckpt"))
-    folder = _dropped_files(spark, sf)
-    files = -(-len(spark.read.text(f"{folder}/*.jsonl").inputFiles()) // 3)
-    ts = _fx(spark, sf, "fx_testset").drop("doc_id")
-    j = _fx(spark, sf, "fx_all_judgments").where("model = 'm_first'").drop("doc_id")
-    judged = j
-    for name in ("m two", "m three"):
-        judged = judged.unionByName(j.withColumn("model", F.lit(name)))
-    calls = []
-
-    def judgments():
-        calls.append(1)
-        return judged if len(calls) > 1 else judged.limit(0)
-
-    kw = {"score_log": scores, "judgments": judgments} if score else {}
-    ig.start_ingest(spark, folder, ts, log, ckpt, max_files_per_trigger=max(1, files), **kw).awaitTermination()
-    ig.compact_logs(spark, log, scores if score else None, 1)
-    ig.start_ingest(spark, folder, ts, log, ckpt, max_files_per_trigger=max(1, files), **kw).awaitTermination()
+    from evidence_spark.streaming import keyed
+
+    folder, log, scores, said, ckpt, ckpt2 = (scratch_path(spark, n) for n in ("dropped-files", "inference-log", "score-log", "judgments", "ingest-ckpt", "scoring-ckpt"))
+    inf, ts = _fx(spark, sf, "fx_inf"), _fx(spark, sf, "fx_testset").drop("doc_id")
+    judged = _fx(spark, sf, "fx_all_judgments").drop("doc_id").withColumn("model", F.expr(_RENAMED.removesuffix(" AS model")))
+
+    def run(batches):
+        files = len(spark.read.text(f"{folder}/*.jsonl").inputFiles())
+        ig.start_ingest(spark, folder, ts, log, ckpt, max_files_per_trigger=-(-files // batches)).awaitTermination()
+        if score:
+            keyed.start_scoring(spark, ts, log, scores, ckpt2, judgment_dir=said).awaitTermination()
+
+    for model, name in _FOLDERS.items():
+        _write_answers(inf.where(F.col("model") == model), folder, name)
+    run(3)
+    judged.where("model <> 'm_first'").write.mode("append").parquet(said)
+    _write_answers(inf.where("model = 'm_other'"), folder, "m_first")
+    run(3)
+    ig.compact_logs(spark, log, scores if score else None, 2)
+    judged.where("model = 'm_first'").write.mode("append").parquet(said)
+    run(3)
     return ig, log, scores
 
 
 @register("x01_stream_ingest", O.q(["fx_inf"], "SELECT uuid, model, quotes FROM dropped", [_DROPPED]))
 def x01_stream_ingest(spark, sf):
-    ig, log, _ = _ingested(spark, sf, score=False)
+    """Two drops of answers, streamed in batches, the log folded in between: the last answers."""
+    ig, log, _ = _streamed(spark, sf, score=False)
     return ig.current_inferences(spark, log)
 
 
 _STREAM_SAMPLES = ("samples", "SELECT t.uuid, d.model, t.quotes AS gt, d.quotes AS resp FROM fx_testset t JOIN dropped d ON d.uuid = t.uuid "
                               "WHERE t.quotes IS NOT NULL AND t.quotes <> '' AND d.quotes IS NOT NULL AND d.quotes <> ''")
-_STREAM_JUDGED = ("fx_judgments", "SELECT uuid, m.model, recall, precision FROM fx_all_judgments j, "
-                                  "(VALUES ('m_first'), ('m two'), ('m three')) m(model) WHERE j.model = 'm_first'")
+_STREAM_JUDGED = ("fx_judgments", f"SELECT uuid, {_RENAMED}, recall, precision FROM fx_all_judgments")
 
 
 @register("x02_stream_scoring", O.q(["fx_testset", "fx_all_judgments"],
     _STORED_COLS + "FROM res WHERE status = 'scored'", [_DROPPED, _STREAM_JUDGED] + O.scored_ctes(samples=_STREAM_SAMPLES)))
 def x02_stream_scoring(spark, sf):
-    ig, _, scores = _ingested(spark, sf, score=True)
+    """Scores of all pairs by the keyed stream, with judgments that come after the answers."""
+    ig, _, scores = _streamed(spark, sf, score=True)
     return ig.current_scores(spark, scores)
 
 

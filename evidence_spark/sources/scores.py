@@ -46,8 +46,10 @@ def upsert_testset(
     scores: DataFrame | None = None,
     *,
     order: list[str],
+    unique_order: bool = False,
 ) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame]:
-    """Whole-record upsert of test records by uuid: of repeated uuids the last in ``order``.
+    """Whole-record upsert of test records by uuid: of repeated uuids the last in ``order``
+    (``unique_order``: no two records of a uuid have the same place in it).
 
     A replaced record loses its inferences and scores, as a whole-record replace does.
     Returns (test set, inferences, scores, written-count). The count is the number of
@@ -55,7 +57,7 @@ def upsert_testset(
     """
     recs = records.select(*TESTSET_COLUMNS, *order)
     count = recs.agg(F.count(F.lit(1)).alias("upserted"))
-    latest = last_wins(recs, ["uuid"], order).select(*TESTSET_COLUMNS)
+    latest = last_wins(recs, ["uuid"], order, unique=unique_order).select(*TESTSET_COLUMNS)
     table = latest if current is None else upsert(current.select(*TESTSET_COLUMNS), latest, ["uuid"])
     replaced = latest.select("uuid")
     inf = None if inferences is None else inferences.join(replaced, "uuid", "left_anti")

@@ -145,16 +145,6 @@ def test_killed_judge_run_resumes_without_asking_twice(spark, tmp_dir):
     assert len(os.listdir(calls)) - asked == 60 - saved  # none of the saved ones again
 
 
-def test_compaction_keeps_the_current_tables(spark, tmp_dir):
-    log = f"{tmp_dir}/log"
-    for b, rows in enumerate([[("f", 0, "u1", "m", "a"), ("f", 1, "u2", "m", "b")], [("g", 0, "u1", "m", "c")], [("h", 0, "u3", "m", "d")]]):
-        spark.createDataFrame(rows, "file string, pos bigint, uuid string, model string, quotes string").write.parquet(f"{log}/batch_id={b}")
-    before = sorted(ingest.current_inferences(spark, log).collect())
-    ingest.compact_logs(spark, log, None, 1)
-    assert sorted(ingest.current_inferences(spark, log).collect()) == before
-    assert sorted(x for x in os.listdir(log) if x.startswith("batch")) == ["batch_id=1", "batch_id=2"]
-
-
 def test_folders_of_lines_are_streamed_in_parts(spark, tmp_dir):
     watch, log, ckpt = (os.path.join(tmp_dir, n) for n in ("watch", "log", "ckpt"))
     rows = spark.range(40, numPartitions=4).selectExpr("to_json(named_struct('uuid', concat('u', id), 'quotes', concat('a\n', id))) AS value")
