@@ -160,39 +160,25 @@ def bucket_rows(feats: DataFrame, percent: int, bitmap: np.ndarray | None = None
 
     Empty words are left out of a sketch that has no more of them than the band's spare: its
     links then have an equal word that is not empty. With a bitmap only rows whose key may
-    be in it.
+    be in it. Words are taken out of the stored sketches by Spark itself, so workers see
+    small batches of short rows, however long a sketch is.
     """
-    sent = None if bitmap is None else feats.sparkSession.sparkContext.broadcast(bitmap)
+    lows = band_table(percent, 1 << 40)
+    spare = F.array(*[F.lit(sketch_size(lows, band, percent)[1]) for band in range(len(lows) - 1)])
+    rows = feats.where("node is not null").select("node", F.explode("sketches").alias("s")).select("node", "s.band", "s.words")
+    crowded = F.size(F.filter("words", lambda w: w == 0)) > F.get(spare, F.col("band"))
+    rows = rows.select("node", "band", crowded.alias("crowded"), F.posexplode("words").alias("place", "word")).where("word <> 0 OR crowded")
+    # 48 bits name a word well enough: a clash is only one more candidate
+    rows = rows.select(F.shiftrightunsigned(F.xxhash64("word", "band", "place"), 16).alias("key"), "node", "band")
+    if bitmap is None:
+        return rows
+    sent = feats.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                lists = part.column(1)
-                per_row = np.diff(lists.offsets.to_numpy())
-                sketches = lists.flatten()
-                band, words = sketches.field("band").to_numpy(), sketches.field("words")
-                size = np.diff(words.offsets.to_numpy())
-                flat = words.flatten().to_numpy().view(np.uint64)
-                lows = band_table(percent, 1 << 20)
-                while len(band) and band.max() + 2 > len(lows) - 1:
-                    lows = band_table(percent, 4 * lows[-1])
-                spare = {int(x): sketch_size(lows, int(x), percent)[1] for x in np.unique(band)}
-                empty = np.add.reduceat(flat == 0, np.cumsum(size) - size, dtype=np.int64) if len(size) else np.zeros(0, np.int64)
-                crowded = np.repeat(empty > np.array([spare[int(x)] for x in band], dtype=np.int64), size) if len(size) else np.zeros(0, bool)
-                band = np.repeat(band, size)
-                place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-                node = np.repeat(np.repeat(part.column(0).to_numpy(zero_copy_only=False), per_row), size)
-                # 48 bits name a word well enough: a clash is only one more candidate
-                key = mix64(flat ^ mix64((band.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))) >> np.uint64(16)
-                keep = (flat != 0) | crowded
-                if sent is not None:
-                    keep &= in_bitmap(sent.value, key)
-                key, node, band = key[keep], node[keep], band[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(band.astype(np.int32))], ["key", "node", "band"])
-
-    return feats.where("node is not null").select("node", "sketches").mapInArrow(run, "key long, node long, band int")
+            yield b.filter(pa.array(in_bitmap(sent.value, b.column(0).to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(run, "key long, node long, band int")
 
 
 def key_bitmap(keys: DataFrame) -> np.ndarray:
