@@ -167,7 +167,9 @@ def bucket_rows(feats: DataFrame, percent: int, bitmap: np.ndarray | None = None
     spare = F.array(*[F.lit(sketch_size(lows, band, percent)[1]) for band in range(len(lows) - 1)])
     rows = feats.where("node is not null").select("node", F.explode("sketches").alias("s")).select("node", "s.band", "s.words")
     crowded = F.size(F.filter("words", lambda w: w == 0)) > F.get(spare, F.col("band"))
-    rows = rows.select("node", "band", crowded.alias("crowded"), F.posexplode("words").alias("place", "word")).where("word <> 0 OR crowded")
+    # inside the array, so that it is worked out once a sketch and not once a word
+    kept = F.when(crowded, F.col("words")).otherwise(F.transform("words", lambda w: F.when(w != 0, w)))
+    rows = rows.select("node", "band", F.posexplode(kept).alias("place", "word")).where("word is not null")
     # 48 bits name a word well enough: a clash is only one more candidate
     rows = rows.select(F.shiftrightunsigned(F.xxhash64("word", "band", "place"), 16).alias("key"), "node", "band")
     if bitmap is None:
