@@ -137,6 +137,8 @@ def shingle_sets(ids: DataFrame, width: int, percent: int) -> DataFrame:
                 sizes, nodes, sketches = set_sketches(part.column(2), width, percent, xor_words)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), sketches],
                                                  ["id", "mark", "n_shingles", "node", "sketches"])
+            # the worker stays alive, idle, while the shuffles that follow need the machine's memory
+            pa.default_memory_pool().release_unused()
 
     return ids.mapInArrow(
         run, f"id {kind}, mark long, n_shingles long, node long, sketches array<struct<band:int,words:array<long>>>")
