@@ -13,8 +13,11 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections import Counter
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -84,13 +87,13 @@ def _overlap(gold: list[set], response: list[set], threshold: float) -> tuple[fl
 JUDGE_SCHEMA = "uuid string, model string, recall double, precision double, judged boolean"
 
 
-def saved_judgments(spark: SparkSession, path: str) -> DataFrame:
-    """Answers stored so far under ``path`` (none: empty), one per (uuid, model).
+def saved_judgments(spark: SparkSession, path: str, chunk: int | None = None) -> DataFrame:
+    """Answers stored so far under ``path`` (none: empty), of one chunk or all; one per (uuid, model).
 
     A pair answered in two attempts counts as judged if one of them succeeded.
     """
     try:
-        rows = spark.read.schema(JUDGE_SCHEMA).parquet(f"{path.rstrip('/')}/chunk=*")
+        rows = spark.read.schema(JUDGE_SCHEMA).parquet(f"{path.rstrip('/')}/chunk={'*' if chunk is None else chunk}")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -99,18 +102,40 @@ def saved_judgments(spark: SparkSession, path: str) -> DataFrame:
     return best.select("uuid", "model", "b.recall", "b.precision", "b.judged")
 
 
+class _Pace:
+    """Lets calls of all threads of a task start at most so often a second."""
+
+    def __init__(self, per_second: float | None):
+        self.gap, self.next, self.lock = (1 / per_second if per_second else 0.0), 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if not self.gap:
+            return
+        with self.lock:
+            at = max(self.next, time.monotonic())
+            self.next = at + self.gap
+        time.sleep(max(0.0, at - time.monotonic()))
+
+
 def callable_judge(
     samples: DataFrame,
     make_judge: Callable[[], Callable[[str, str], tuple[float, float]]],
     path: str,
     parallelism: int | None = None,
     chunks: int = 16,
+    in_flight: int = 1,
+    retries: int = 0,
+    backoff: float = 0.5,
+    calls_per_second: float | None = None,
 ) -> DataFrame:
     """(c) Call ``make_judge()(ground_truth, system_response) -> (recall, precision)``.
 
     The judge is built once per partition. An exception for a row marks that row
     ``judged = false`` (the run goes on; a later run asks again). ``parallelism`` sets the
-    number of concurrent tasks (the analogue of a worker pool).
+    number of concurrent tasks, ``in_flight`` that of the calls one task has open at a time
+    (the judge must then stand being called from several threads). A call that fails is made
+    again ``retries`` times, after ``backoff`` seconds, doubled each time. A task starts at
+    most ``calls_per_second`` calls. Answers keep the order of their rows.
 
     Pairs are dealt into ``chunks`` by a hash of their key; each chunk's answers are committed
     to ``path/chunk=<n>`` before the next chunk starts, and a run leaves out the pairs that
@@ -127,19 +152,27 @@ def callable_judge(
 
     def run(batches):
         judge = make_judge()
-        for pdf in batches:
-            rows = []
-            for u, m, gt, resp in zip(pdf["uuid"], pdf["model"], pdf["ground_truth"], pdf["system_response"], strict=True):
+        pace = _Pace(calls_per_second)
+
+        def ask(row):
+            for attempt in range(retries + 1):
+                pace.wait()
                 try:
-                    r, p = judge(gt, resp)
-                    rows.append((u, m, None if r is None else float(r), None if p is None else float(p), True))
+                    r, p = judge(row[2], row[3])
+                    return (*row[:2], None if r is None else float(r), None if p is None else float(p), True)
                 except Exception:  # judge failure is a row status, not a job failure
-                    rows.append((u, m, None, None, False))
-            yield pd.DataFrame(rows, columns=["uuid", "model", "recall", "precision", "judged"]).astype(
-                {"recall": "float64", "precision": "float64"})
+                    if attempt < retries:
+                        time.sleep(backoff * 2 ** attempt)
+            return (*row[:2], None, None, False)
+
+        with ThreadPoolExecutor(max(1, in_flight)) as pool:
+            for pdf in batches:
+                rows = zip(pdf["uuid"], pdf["model"], pdf["ground_truth"], pdf["system_response"], strict=True)
+                yield pd.DataFrame(list(pool.map(ask, rows)), columns=["uuid", "model", "recall", "precision", "judged"]).astype(
+                    {"recall": "float64", "precision": "float64"})
 
     for chunk in range(chunks):
-        done = saved_judgments(spark, path).where("judged").select("uuid", "model")
+        done = saved_judgments(spark, path, chunk).where("judged").select("uuid", "model")
         part = src.where(F.col("chunk") == chunk).drop("chunk").join(done, ["uuid", "model"], "left_anti")
         part = part.repartition(parallelism, "uuid", "model") if parallelism else part
         part.mapInPandas(run, JUDGE_SCHEMA).write.mode("append").parquet(f"{path.rstrip('/')}/chunk={chunk}")

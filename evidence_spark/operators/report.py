@@ -8,7 +8,7 @@ zeros; the run summary (A4) drops zeros and NULLs and does not clamp.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evidence_spark.functions.metrics import clamp0_report, round_half_up
@@ -88,6 +88,17 @@ def evaluation_summary(results: DataFrame) -> DataFrame:
     )
 
 
+def counted_while_written(results: DataFrame) -> tuple[DataFrame, Observation]:
+    """A11 without a second scan: the rows, and the number of each outcome.
+
+    The numbers (``scored``, ``judge_error``, ...) are in ``Observation.get`` once the rows
+    have been written; they are summed as the tasks pass rows on.
+    """
+    seen = Observation()
+    counts = [F.count(F.when(F.col("status") == o, F.lit(1))).alias(o) for o in OUTCOMES]
+    return results.observe(seen, *counts), seen
+
+
 def outcome_counts(results: DataFrame) -> DataFrame:
     """Rows per (model, status)."""
     return results.groupBy("model", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -85,6 +85,7 @@ class EvaluationResult:
     scores: DataFrame           # score table after the upsert (S13)
     summary: DataFrame          # A3 + A4 + A5 + A11 counts per model
     outcomes: DataFrame         # A11 (model, status, n)
+    counts: dict[str, int]      # A11 over all models, counted while the results were written
     models: DataFrame           # J5 (ord, model)
     candidates: DataFrame       # A7 (one row: count)
 
@@ -92,12 +93,14 @@ class EvaluationResult:
 def evaluate(spark: SparkSession, testset: DataFrame, inferences: DataFrame, judgments: DataFrame | None = None,
              judge: str | Callable = "table", prior_scores: DataFrame | None = None, models: list[str] | None = None,
              uuid: str | None = None, force: bool = False, results_path: str | None = None,
-             judgments_path: str | None = None, parallelism: int | None = None, judge_chunks: int = 16) -> EvaluationResult:
+             judgments_path: str | None = None, parallelism: int | None = None, judge_chunks: int = 16,
+             judge_options: dict | None = None) -> EvaluationResult:
     """S12 -> A6/J5 -> P14/J3 -> T10 -> T11 -> T12 -> S13, then A3-A5, A7, A11.
 
     All models in one plan. ``judge`` is ``table`` (``judgments``), ``lexical``, or a function
     that makes a judge (see ``callable_judge``): its answers are saved under
     ``judgments_path`` as they come, so a run that is started again asks only for the rest.
+    ``judge_options`` are its calls in flight, retries and pace.
 
     The per-pair results are written once, to ``results_path`` or a fresh folder under the
     shared checkpoint folder, and read back: they feed the score table and every summary.
@@ -111,19 +114,21 @@ def evaluate(spark: SparkSession, testset: DataFrame, inferences: DataFrame, jud
         staged = scratch_path(spark, "samples")
         samples.write.parquet(staged)
         samples = spark.read.schema(samples.schema).parquet(staged)
-        asked = callable_judge(samples.where(~F.col("skipped")), judge, path, parallelism, judge_chunks)
+        asked = callable_judge(samples.where(~F.col("skipped")), judge, path, parallelism, judge_chunks, **(judge_options or {}))
         samples = asked.unionByName(samples.where(F.col("skipped")), allowMissingColumns=True)
     elif judge == "table" and judgments is None:
         raise ValueError("judge='table' needs a judgments DataFrame")
     results = sc.score_samples(samples, judge=judge if isinstance(judge, str) else "table")
     path = results_path or scratch_path(spark, "results")
-    results.write.mode("overwrite").parquet(path)
+    counted, seen = rp.counted_while_written(results)
+    counted.write.mode("overwrite").parquet(path)
     results = spark.read.schema(results.schema).parquet(path)
     return EvaluationResult(
         results=results,
         scores=score_src.write_scores(prior_scores, sc.stored_scores(results)),
         summary=rp.evaluation_summary(results),
         outcomes=rp.outcome_counts(results),
+        counts={o: seen.get[o] for o in rp.OUTCOMES},
         models=chosen,
         candidates=rp.candidate_count(cands),
     )

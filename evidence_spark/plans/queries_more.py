@@ -18,6 +18,7 @@ from evidence_spark.plans.fixtures import fixture
 from evidence_spark.plans.queries import _results, _samples, _scoring, register
 from evidence_spark.session import scratch_path
 from evidence_spark.sources import corpus as src
+from evidence_spark.sources import keyed_table
 from evidence_spark.sources import scores as score_src
 
 
@@ -526,6 +527,28 @@ def s13_write_scores(spark, sf):
     return ev.scores
 
 
+@register("s13b_keyed_upsert", O.q(["fx_inf"],
+    "SELECT uuid, model, quotes FROM fx_inf WHERE model <> 'm_first' OR uuid NOT IN (SELECT uuid FROM fx_inf WHERE model = 'm_other') "
+    "UNION ALL SELECT uuid, 'm_first', quotes FROM fx_inf WHERE model = 'm_other'"))
+def s13b_keyed_upsert(spark, sf):
+    """All inferences in a bucketed table, then the answers of one model replaced by keyed upsert."""
+    path = scratch_path(spark, "keyed-inferences")
+    rows = _fx(spark, sf, "fx_inf").select("uuid", "model", "quotes")
+    keyed_table.write_table(rows, path, buckets=16)
+    new = rows.where("model = 'm_other'").withColumn("model", F.lit("m_first"))
+    keyed_table.upsert_table(new, path, buckets=16, match=["uuid", "model"])
+    return keyed_table.read_table(spark, path, rows.schema)
+
+
+@register("s12b_keyed_lookup", O.q(["fx_testset"], "SELECT uuid, question, answer, context, quotes FROM fx_testset WHERE uuid IN ('d1', 'd3', 'd64', 'd100', 'nobody')"))
+def s12b_keyed_lookup(spark, sf):
+    """Test records of a list of keys from a bucketed table of them all."""
+    path = scratch_path(spark, "keyed-testset")
+    rows = _fx(spark, sf, "fx_testset").drop("doc_id")
+    keyed_table.write_table(rows, path, buckets=16)
+    return keyed_table.lookup(spark, path, rows.schema, ["d1", "d3", "d64", "d100", "nobody"], buckets=16)
+
+
 @register("s14_export_written", O.q(["fx_docs"],
     f"SELECT hf_id, split, quotes, {TARGET_SQL} AS target_split FROM fx_docs WHERE quotes IS NOT NULL AND {ROUTED}"))
 def s14_export_written(spark, sf):
@@ -576,6 +599,13 @@ _SUMMARY = (
 _EVAL_CTES = O.scored_ctes(samples=_SAMPLES_RESUMED) + [_ALL_ROWS]
 
 
+@register("a11c_counts_while_written", O.q(O.SCORING_FX + ["fx_prior_scores"],
+    " UNION ALL ".join(f"SELECT '{o}' AS status, count(*) AS n FROM allrows WHERE status = '{o}'" for o in rp.OUTCOMES), _EVAL_CTES))
+def a11c_counts_while_written(spark, sf):
+    """Outcomes of a resumed evaluation, counted as its results are written."""
+    return spark.createDataFrame(list(_evaluated(spark, sf).counts.items()), "status string, n bigint")
+
+
 def _evaluated(spark, sf, **kw):
     ts, inf, j = _scoring(spark, sf)
     return jobs.evaluate(spark, ts, inf, judgments=j, prior_scores=_fx(spark, sf, "fx_prior_scores"), **kw)
