@@ -93,7 +93,7 @@ def main() -> None:
 
     def q_testset():
         r = jobs.build_testset(t("fx_published"), ["test"], current=t("fx_testset").drop("doc_id"),
-                               inferences=t("fx_inf"), order=["doc_id"])
+                               inferences=t("fx_inf"), order=["doc_id"], unique_order=True)
         run(r.testset)
         run(r.inferences)
 
