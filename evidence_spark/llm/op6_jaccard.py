@@ -39,6 +39,8 @@ PERCENT = 90
 BLOCK = 512
 #: Bits of the map of shared words that workers get (4 MB).
 BITMAP_BITS = 25
+#: Rows that a worker turns into sketch words at a time.
+SLICE = 512
 #: Words of the short sketch that bucket members carry.
 SHORT_WORDS = 16
 SHORT = [f"f{k}" for k in range(SHORT_WORDS)]
@@ -157,46 +159,78 @@ def parity_sketches(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.select("node", "n", F.explode("sketches").alias("s")).select("node", "s.band", "n", "s.words")
 
 
-def bucket_rows(feats: DataFrame, percent: int, bitmap: np.ndarray | None = None) -> DataFrame:
-    """(key, node, band): one row for each sketch word, its key naming (band, place, word).
+def first_rows(x: np.ndarray) -> np.ndarray:
+    """Places of the first row of each value of x, in order."""
+    return np.sort(np.unique(x, return_index=True)[1])
+
+
+def word_rows(part: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, node, band) of the sketch words of (node, sketches) rows, repeated nodes once.
 
     Empty words are left out of a sketch that has no more of them than the band's spare: its
-    links then have an equal word that is not empty. With a bitmap only rows whose key may
-    be in it.
+    links then have an equal word that is not empty.
     """
-    sent = None if bitmap is None else feats.sparkSession.sparkContext.broadcast(bitmap)
+    part = part.take(pa.array(first_rows(part.column(0).to_numpy(zero_copy_only=False))))
+    lists = part.column(1)
+    per_row = np.diff(lists.offsets.to_numpy())
+    sketches = lists.flatten()
+    band, words = sketches.field("band").to_numpy(), sketches.field("words")
+    size = np.diff(words.offsets.to_numpy())
+    flat = words.flatten().to_numpy().view(np.uint64)
+    lows = band_table(percent, 1 << 20)
+    while len(band) and band.max() + 2 > len(lows) - 1:
+        lows = band_table(percent, 4 * lows[-1])
+    spare = {int(x): sketch_size(lows, int(x), percent)[1] for x in np.unique(band)}
+    empty = np.add.reduceat(flat == 0, np.cumsum(size) - size, dtype=np.int64) if len(size) else np.zeros(0, np.int64)
+    crowded = np.repeat(empty > np.array([spare[int(x)] for x in band], dtype=np.int64), size) if len(size) else np.zeros(0, bool)
+    band = np.repeat(band, size)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    node = np.repeat(np.repeat(part.column(0).to_numpy(zero_copy_only=False), per_row), size)
+    # 48 bits name a word well enough: a clash is only one more candidate
+    key = mix64(flat ^ mix64((band.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))) >> np.uint64(16)
+    keep = (flat != 0) | crowded
+    return key[keep].view(np.int64), node[keep].astype(np.int64), band[keep].astype(np.int32)
+
+
+def bucket_rows(feats: DataFrame, percent: int, bitmap: np.ndarray) -> DataFrame:
+    """(key, node, band): one row for each sketch word whose key may be in the bitmap, its key
+    naming (band, place, word)."""
+    sent = feats.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                lists = part.column(1)
-                per_row = np.diff(lists.offsets.to_numpy())
-                sketches = lists.flatten()
-                band, words = sketches.field("band").to_numpy(), sketches.field("words")
-                size = np.diff(words.offsets.to_numpy())
-                flat = words.flatten().to_numpy().view(np.uint64)
-                lows = band_table(percent, 1 << 20)
-                while len(band) and band.max() + 2 > len(lows) - 1:
-                    lows = band_table(percent, 4 * lows[-1])
-                spare = {int(x): sketch_size(lows, int(x), percent)[1] for x in np.unique(band)}
-                empty = np.add.reduceat(flat == 0, np.cumsum(size) - size, dtype=np.int64) if len(size) else np.zeros(0, np.int64)
-                crowded = np.repeat(empty > np.array([spare[int(x)] for x in band], dtype=np.int64), size) if len(size) else np.zeros(0, bool)
-                band = np.repeat(band, size)
-                place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-                node = np.repeat(np.repeat(part.column(0).to_numpy(zero_copy_only=False), per_row), size)
-                # 48 bits name a word well enough: a clash is only one more candidate
-                key = mix64(flat ^ mix64((band.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))) >> np.uint64(16)
-                keep = (flat != 0) | crowded
-                if sent is not None:
-                    keep &= in_bitmap(sent.value, key)
-                key, node, band = key[keep], node[keep], band[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(band.astype(np.int32))], ["key", "node", "band"])
+            for lo in range(0, b.num_rows, SLICE):
+                key, node, band = word_rows(b.slice(lo, SLICE), percent)
+                keep = in_bitmap(sent.value, key.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(band[keep])], ["key", "node", "band"])
+            pa.default_memory_pool().release_unused()
 
     return feats.where("node is not null").select("node", "sketches").mapInArrow(run, "key long, node long, band int")
 
 
+def shared_words(feats: DataFrame, percent: int) -> DataFrame:
+    """(key, hub) of the words that two different nodes have; hub is the smallest node.
+
+    Workers reduce each slice to its smallest and largest node of a key, so a word of very many
+    nodes is few rows. Almost all other words occur once: an aggregation before the exchange
+    would hold them all and save nothing, so rows are dealt by key first.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, SLICE):
+                key, node, _ = word_rows(b.slice(lo, SLICE), percent)
+                order = np.argsort(key)
+                key, node = key[order], node[order]
+                at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+                low, top = (f.reduceat(node, at) if len(key) else node for f in (np.minimum, np.maximum))
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(low), pa.array(top)], ["key", "low", "top"])
+            pa.default_memory_pool().release_unused()
+
+    rows = feats.where("node is not null").select("node", "sketches").mapInArrow(run, "key long, low long, top long")
+    hubs = rows.repartition("key").groupBy("key").agg(F.min("low").alias("hub"), F.max("top").alias("top"))
+    return hubs.where("hub < top").select("key", "hub")
+
+
 def key_bitmap(keys: DataFrame) -> np.ndarray:
     """Bitmap of 2**BITMAP_BITS bits with the lowest bits of every key set: of one size whatever the
     number of keys (the driver gets at most one number for each 64 bits). Full of keys it lets
@@ -325,8 +359,7 @@ def link_roots(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
     feats = stored(shingle_sets(ids, width, percent), "shingle-sketches")
     # buckets that hold two different nodes, and their smallest node
-    hubs = bucket_rows(feats, percent).groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
-    hubs = stored(hubs, "shared-words")
+    hubs = stored(shared_words(feats, percent), "shared-words")
     members = bucket_rows(feats, percent, key_bitmap(hubs)).join(hubs, "key")
     shared = stored(members.groupBy("key", "node", "band").agg(F.min("hub").alias("hub")), "bucket-members")
     texts = texts_of(shared.select("node").distinct(), feats, ids)
