@@ -9,6 +9,12 @@ hash of (row, copy).
 The rate of a listed source is ``weight / sum of weights * rows wanted / rows it has``; a
 source that is not listed, or null, keeps ``other_rate`` (1: as often as it occurs, on
 average). The only thing brought to the driver is one count for each *listed* source.
+
+A Poisson number of mean r is the sum of m independent ones of mean r / m. A rate above
+``PART_RATE`` is therefore split into equal parts: the row is exploded into its parts, each
+with a hash and an inversion of its own, the parts are spread over the tasks, and only
+there exploded into copies. So no table in the plan is longer than that of ``PART_RATE``,
+and no task makes more than a few hundred copies of one row in one go.
 """
 
 from __future__ import annotations
@@ -21,6 +27,10 @@ from pyspark.sql import functions as F
 #: Share of the mixture wanted from each source of the corpus (the production setting).
 TARGETS = {"src0": 0.10, **{f"src{i}": 0.90 / 19 for i in range(1, 20)}}
 SEED = "mix-1"
+#: Largest mean that one number inverts.
+PART_RATE = 64
+#: Terms beyond the mean that are less likely than this are left out.
+TAIL = 1e-17
 
 
 def poisson_cdf(rate: float) -> list[float]:
@@ -31,12 +41,17 @@ def poisson_cdf(rate: float) -> list[float]:
     while True:
         p = math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
         total += p
-        if k > rate and p < 1e-17:
+        if k > rate and p < TAIL:
             return out
         out.append(total)
         k += 1
 
 
+def parts_of(rate: float) -> int:
+    """Number of equal parts that a rate is split into."""
+    return max(1, math.ceil(rate / PART_RATE))
+
+
 def uniform(key: Column) -> Column:
     """Number in [0, 1) from the first 52 bits of an md5 in hex."""
     return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
@@ -60,27 +75,48 @@ def source_rates(docs: DataFrame, targets: dict[str, float], rows: int | None, s
 def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, *, rows: int | None = None,
                 other_rate: float = 1.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", copy_col: str = "mix_copy", key_col: str = "mix_key") -> DataFrame:
-    """All columns of ``docs`` plus ``copy_col`` (0, 1, ...) and ``key_col`` (place in the shuffle).
+    """All columns of ``docs`` plus ``copy_col`` (long) and ``key_col`` (place in the shuffle).
 
-    Null ids and texts count as empty text; equal rows get equal counts; an empty table
-    gives an empty result; input columns named like the two new ones are replaced.
+    Copies of a row are numbered 0, 1, ...; where the rate is split into m parts, copy k of
+    part p has the number ``p + m k``, so numbers are distinct but leave gaps. Null ids and
+    texts count as empty text; equal rows get equal counts; an empty table gives an empty
+    result; input columns named like the two new ones are replaced.
     """
     targets = TARGETS if targets is None else targets
     docs = docs.drop(copy_col, key_col)
     rates = source_rates(docs, targets, rows, source_col)
+
+    def by_source(value) -> Column:
+        """value(rate) of the row's source."""
+        other = value(other_rate)
+        if not rates:
+            return other
+        table = F.create_map(*[x for k, r in sorted(rates.items()) for x in (F.lit(k), value(r))])
+        return F.when(F.col(source_col).isin(sorted(rates)), F.element_at(table, F.coalesce(F.col(source_col), F.lit("")))).otherwise(other)
+
     row_key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
                                 F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
-    other = F.array(*[F.lit(x) for x in poisson_cdf(other_rate)]).cast("array<double>")
-    cdf = other
-    if rates:
-        table = F.create_map(*[x for k, r in sorted(rates.items()) for x in (
-            F.lit(k), F.array(*[F.lit(v) for v in poisson_cdf(r)]).cast("array<double>"))])
-        source = F.coalesce(F.col(source_col), F.lit(""))
-        cdf = F.when(F.col(source_col).isin(sorted(rates)), F.element_at(table, source)).otherwise(other)
-    # a one-element array binds the row's number once, for the lambda to reuse
-    copies = F.transform(F.array(uniform(F.col(key_col))), lambda u: F.size(F.filter(cdf, lambda x: x <= u)))[0]
-    out = docs.withColumn(key_col, row_key).withColumn(copy_col, copies).where(F.col(copy_col) > 0)
-    out = out.withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col(copy_col) - 1)))
+    keyed = docs.withColumn(key_col, row_key)
+    cdf = by_source(lambda r: F.array(*[F.lit(x) for x in poisson_cdf(r / parts_of(r))]).cast("array<double>"))
+    parts = by_source(lambda r: F.lit(parts_of(r)).cast("long"))
+
+    def count(key: Column) -> Column:
+        # a one-element array binds the number once, for the lambda to reuse
+        return F.transform(F.array(uniform(key)), lambda u: F.size(F.filter(cdf, lambda x: x <= u)))[0].cast("long")
+
+    def numbers(n: Column, number) -> Column:
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), number))
+
+    split = any(parts_of(r) > 1 for r in (other_rate, *rates.values()))
+    out = keyed.where(parts == 1) if split else keyed
+    out = out.withColumn(copy_col, count(F.col(key_col))).where(F.col(copy_col) > 0)
+    out = out.withColumn(copy_col, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copy_col) - 1)))
+    if split:
+        many = keyed.where(parts > 1).withColumn(copy_col, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        many = many.repartition(F.col(key_col), F.col(copy_col))
+        part_key = F.md5(F.concat_ws("/", F.col(key_col), F.col(copy_col).cast("string")).cast("binary"))
+        many = many.withColumn(copy_col, F.explode(numbers(count(part_key), lambda k: F.col(copy_col) + parts * k)))
+        out = out.unionByName(many)
     out = out.withColumn(key_col, F.md5(F.concat_ws("#", F.col(key_col), F.col(copy_col).cast("string")).cast("binary")))
     return out.repartition(F.col(key_col)).sortWithinPartitions(key_col)
 
@@ -98,18 +134,21 @@ rates AS (
          * (SELECT sum(n) FROM counts) / h.n END AS rate
   FROM targets t LEFT JOIN have h USING (source)
   UNION ALL SELECT NULL, CAST({other_rate!r} AS DOUBLE)),
-cdf AS (
-  SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS f FROM (
-    SELECT source, k, CASE WHEN rate <= 0 THEN 1.0 ELSE exp(k * ln(rate) - rate - lgamma(k + 1)) END AS p
-    FROM rates, range(0, 200) r(k) WHERE rate > 0)),
+parts AS (SELECT source, greatest(1, CAST(ceil(rate / {PART_RATE}) AS BIGINT)) AS m,
+                 rate / greatest(1, CAST(ceil(rate / {PART_RATE}) AS BIGINT)) AS rate FROM rates),
+terms AS (SELECT source, k, rate, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
+          FROM (SELECT * FROM parts WHERE rate > 0), range(0, {4 * PART_RATE}) r(k)),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS f FROM terms WHERE k <= rate OR p >= {TAIL!r}),
 rowkeys AS (
   SELECT *, md5(concat_ws('|', '{seed}', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))) AS rk,
          CASE WHEN source IN (SELECT source FROM targets) THEN source END AS rs FROM documents),
+pieces AS (
+  SELECT *, CASE WHEN m > 1 THEN md5(rk || '/' || CAST(part AS VARCHAR)) ELSE rk END AS pk FROM (
+    SELECT r.*, t.m, unnest(range(0, t.m)) AS part FROM rowkeys r JOIN parts t ON t.source IS NOT DISTINCT FROM r.rs)),
 counted AS (
   SELECT r.*, (SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM r.rs
-               AND c.f <= CAST('0x' || substr(r.rk, 1, 13) AS BIGINT) / 4503599627370496.0
-               AND c.k <= 60) AS copies
-  FROM rowkeys r)
-SELECT doc_id, text, lang, source, n_chars, CAST(c AS INTEGER) AS mix_copy, md5(rk || '#' || CAST(c AS VARCHAR)) AS mix_key
-FROM (SELECT *, unnest(range(0, copies)) AS c FROM counted WHERE copies > 0)
+               AND c.f <= CAST('0x' || substr(r.pk, 1, 13) AS BIGINT) / 4503599627370496.0) AS copies
+  FROM pieces r)
+SELECT doc_id, text, lang, source, n_chars, c AS mix_copy, md5(rk || '#' || CAST(c AS VARCHAR)) AS mix_key
+FROM (SELECT *, part + m * unnest(range(0, copies)) AS c FROM counted WHERE copies > 0)
 """

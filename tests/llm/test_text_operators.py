@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,27 @@ def test_poisson_cdf():
     assert mix.poisson_cdf(0.0) == []
 
 
+def test_mixing_of_a_very_rare_source(spark, tmp_path):
+    """One row has to fill a third of the mixture: split into parts, the same in SQL, and in number as asked for."""
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('t', id) AS text", "'en' AS lang",
+                                          "if(id = 7, 'rare', if(id % 2 = 0, 'b', null)) AS source", "1L AS n_chars")
+    targets = {"rare": 0.5, "b": 0.5}
+    rates = mix.source_rates(docs, targets, None)
+    assert rates["rare"] > 7000 and mix.parts_of(rates["rare"]) == math.ceil(rates["rare"] / mix.PART_RATE)
+    assert max(len(mix.poisson_cdf(r / mix.parts_of(r))) for r in (*rates.values(), 1e7)) < 4 * mix.PART_RATE
+    got = mix.poisson_mix(docs, targets, seed="s")
+    assert "Python" not in got._jdf.queryExecution().toString()
+    cols = ["doc_id", "text", "lang", "source", "n_chars", "mix_copy", "mix_key"]
+    rows = [tuple(r) for r in got.select(*cols).collect()]
+    rare = [r for r in rows if r[3] == "rare"]
+    assert abs(len(rare) - rates["rare"]) < 6 * math.sqrt(rates["rare"]) and len({r[5] for r in rare}) == len(rare) == len({r[6] for r in rare})
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+        want = con.execute(f"SELECT {', '.join(cols)} FROM ({mix.oracle(targets, 's')})").fetchall()
+    assert collections.Counter(rows) == collections.Counter(want)
+
+
 def test_mixing_meets_target_weights(spark):
     docs = spark.range(40_000).selectExpr("id AS doc_id", "concat('t', id) AS text", "'en' AS lang",
                                           "if(id % 3 = 0, 'hot', if(id % 3 = 1, 'b', 'c')) AS source", "1L AS n_chars")
