@@ -3,20 +3,23 @@
 Symbols are the text's words (A-Z lower-cased) and an end mark; the root is the smoothed
 word distribution of the training texts. A context of one or more preceding words is a
 candidate state when it occurs ``MIN_COUNT`` times, and its next symbols are kept when
-(context, symbol) occurs ``MIN_COUNT`` times, at any size of the training table. A candidate
-becomes a state when its next-symbol distribution diverges from that of its longest
-retained suffix: ``n * KL > kept symbols * ln(N) / 2`` (the gain in log likelihood against
-the cost of the parameters). Kept symbols get ``(c + mu P_suffix) / (n + mu)``; what is left
-of the mass goes to all others in proportion to the suffix's distribution, so every state
-sums to one. A token is scored by the longest suffix state that its history matches.
+(context, symbol) occurs ``MIN_COUNT`` times, at any size of the training table. A state
+that occurs n times with t different next symbols gives a kept symbol
+``(c + t P_suffix) / (n + t)``, P_suffix by its longest retained suffix; the mass left goes to
+all others in proportion to the suffix's distribution, so every state sums to one. (As two
+occurrences are enough to be kept, t is the kept symbols and the occurrences of no kept one.)
+A candidate becomes a state when its distribution diverges from that of the suffix:
+``n * KL > kept symbols * ln(N) / 2`` (the gain in log likelihood against the cost of the
+parameters). A token is scored by the longest suffix state that its history matches.
 
 The tree is a table keyed by the hash of a word sequence (a gram) and grows with the texts.
 Level by level, grams are counted in a shuffle, tested with joins on the level before, and
 turned into one number each: what it adds to ln P of the token that ends it, and of the
-token that follows it. A text's score is the sum over its grams, so texts meet the table by
-pre-aggregated (text, gram) counts. The most frequent grams (``FREQUENT`` at most) are also
-broadcast and spare their uses that join; this changes no score but for rounding.
-``fit_tree`` holds the same tree in the driver's memory, for small tables.
+token that follows it. A text's score is the sum over its grams. Uses of grams and the table
+meet in buckets of gram hashes, whose number follows the training tokens; each bucket sends
+back one sum for each text of a run of texts. The ``FREQUENT`` most frequent grams, the same
+number at any size, are broadcast instead, so that no gram fills a bucket: a gram below rank
+r has at most a share 1/r of the uses. Hashes travel packed, a row for each (run, bucket).
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +36,16 @@ from evidence_spark.llm.common import id_crc, stored
 from evidence_spark.llm.words import chunks, mix64, word_hashes
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-MIN_COUNT = 3
-MU = 20.0
+MIN_COUNT = 2
 DEPTH = 2
 HELD_OUT = (5, 1)
 #: Keys that a broadcast may hold (16 bytes each): symbols of the root, grams of the tree.
-FREQUENT = (1 << 20, 1 << 22)
-#: 64-bit words of a broadcast filter, and tokens that a task counts at a time.
+FREQUENT = (1 << 16, 1 << 16)
+#: 64-bit words of a broadcast filter, which spares sending most absent grams while it isn't full.
 FILTER_WORDS = 1 << 21
-COUNT_TOKENS = 3_000_000
+#: Tokens that a task holds at a time, and training tokens for each bucket.
+RUN_TOKENS = 1_500_000
+BUCKET_TOKENS = 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,88 +62,39 @@ def symbol_chunks(col: pa.Array):
         yield i, out, np.r_[0, ends + 1]
 
 
-class SuffixTree:
-    """The tree in memory: symbols, states and their kept symbols."""
-
-    def __init__(self, symbols: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        order = np.argsort(symbols)
-        self.symbols, self.counts = symbols[order], counts[order]
-        self.total, self.distinct = total, distinct
-        self.log_root = np.log((self.counts + 0.5) / (total + 0.5 * (distinct + 1)))
-        self.levels: list[dict] = []
-
-    def index(self, symbols: np.ndarray) -> np.ndarray:
-        """Place of each symbol among the frequent ones, or -1."""
-        if not len(self.symbols):
-            return np.full(len(symbols), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.symbols, symbols), len(self.symbols) - 1)
-        return np.where(self.symbols[at] == symbols, at, -1)
-
-    @staticmethod
-    def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        if not len(table):
-            return np.full(len(keys), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return np.where(table[at] == keys, at, -1)
-
-    def gain(self, history: list[np.ndarray], nxt: np.ndarray) -> np.ndarray:
-        """ln P(symbol | longest suffix state) - ln P(symbol) at the root.
-
-        history[d]: for each token, the place of the context of d + 1 symbols among that
-        level's candidates, or -1; nxt: place of the token's symbol, or -1 if not frequent.
-        """
-        out = np.zeros(len(nxt))
-        for level, ctx in zip(self.levels, history, strict=False):
-            state = np.where(ctx >= 0, level["state"][ctx], -1) if len(level["state"]) else np.full(len(ctx), -1)
-            on = np.flatnonzero(state >= 0)
-            if not len(on):
-                continue
-            got = self.find(level["keys"], (state[on] << 32) | np.maximum(nxt[on], 0))
-            got[nxt[on] < 0] = -1
-            out[on] = np.where(got >= 0, level["gain"][got] if len(level["gain"]) else 0.0, level["rest"][state[on]] + out[on])
-        return out
-
-    def contexts(self, places: np.ndarray, off: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For d = 1..depth, the candidate context of d symbols before each token, or -1.
-
-        The text before its first word is an end mark, as if texts followed each other.
-        """
-        before = np.empty_like(places)
-        before[1:] = places[:-1]
-        start = off[:-1]
-        before[start] = self.index(np.array([END]))[0] if len(places) else -1
-        out = [np.where(before >= 0, self.levels[0]["candidate"][before] if len(self.symbols) else -1, -1)] if self.levels else []
-        for d in range(1, min(depth, len(self.levels))):
-            earlier = np.empty_like(out[-1])
-            earlier[1:] = out[-1][:-1]
-            earlier[start] = -1
-            pair = self.find(self.levels[d]["pairs"], (np.maximum(earlier, 0) << 32) | np.maximum(before, 0))
-            out.append(np.where((earlier >= 0) & (before >= 0), pair, -1))
-        return out
-
-    def add_level(self, size: np.ndarray, parents, ctx: np.ndarray, nxt: np.ndarray, c: np.ndarray, mu: float) -> None:
-        """Finish the newest level: test each candidate against its longest retained suffix.
-
-        size: tokens after each candidate; ctx, nxt, c: kept (candidate, symbol) counts;
-        parents: function giving the suffix model's gain for (candidates, symbols).
-        """
-        level, m = self.levels[-1], len(size)
-        order = np.lexsort((nxt, ctx))
-        ctx, nxt, c = ctx[order], nxt[order], c[order].astype(float)
-        log_par = parents(ctx, nxt) + self.log_root[nxt]
-        par = np.exp(log_par)
-        p = (c + mu * par) / (size[ctx] + mu)
-        kept, kept_par = np.bincount(ctx, p, m), np.bincount(ctx, par, m)
-        left, left_par = np.maximum(1 - kept, 1e-12), np.maximum(1 - kept_par, 1e-12)
-        rest = np.log(left / left_par)
-        kl = np.bincount(ctx, p * (np.log(p) - log_par), m) + left * rest
-        number = np.bincount(ctx, minlength=m)
-        grown = (number > 0) & (size * kl > 0.5 * number * np.log(max(self.total, 2)))
-        level["state"] = np.where(grown, np.cumsum(grown) - 1, -1)
-        level["rest"] = rest[grown]
-        on = grown[ctx] if m else np.zeros(0, bool)
-        level["keys"] = (level["state"][ctx[on]] << 32) | nxt[on]
-        level["gain"] = np.log(p[on]) - self.log_root[nxt[on]]
+def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key in the sorted table, or -1."""
+    if not len(table):
+        return np.full(len(keys), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
+def packed(buckets: int, keys: np.ndarray, columns: list[np.ndarray]):
+    """(buckets that occur, for each column a binary array of the bucket's values), by hash of keys."""
+    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    sizes = np.bincount(bucket, minlength=buckets)
+    on = np.flatnonzero(sizes)
+    cuts = np.r_[0, np.cumsum(sizes[on])]
+    out = []
+    for column in columns:
+        values = np.ascontiguousarray(column[order])
+        out.append(pa.Array.from_buffers(pa.binary(), len(on), [
+            None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(values)]))
+    return on.astype(np.int32), out
+
+
+def unpacked(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    """The values of a column of packed rows, one after the other."""
+    parts = [np.zeros(0, dtype=dtype)]
+    for part in column.chunks:
+        if len(part):
+            part = part.cast(pa.large_binary())
+            off = np.frombuffer(part.buffers()[1], dtype=np.int64)[part.offset: part.offset + len(part) + 1]
+            if off[-1] > off[0]:
+                parts.append(np.frombuffer(part.buffers()[2], dtype=np.uint8)[off[0]: off[-1]].view(dtype))
+    return np.concatenate(parts)
 
 
 def _counts(train: DataFrame, emit) -> DataFrame:
@@ -165,59 +121,6 @@ def _vocabulary(train: DataFrame) -> tuple[DataFrame, int, int]:
     return table, row["n"], row["v"]
 
 
-def fit_tree(train: DataFrame, *, depth: int = DEPTH, mu: float = MU) -> tuple[SuffixTree, DataFrame]:
-    """(tree, table (key, c) of all training symbols) from a small table of one text column.
-
-    The whole tree is brought to the driver; ``fit_table`` is the form for any size.
-    """
-    spark = train.sparkSession
-    vocabulary, total, distinct = _vocabulary(train)
-    keys, c = _collected(vocabulary)
-    tree = SuffixTree(keys.view(np.uint64), c, total, distinct)
-    big = np.flatnonzero(tree.counts >= MIN_COUNT)
-    candidate = np.full(len(tree.symbols), -1, dtype=np.int64)
-    candidate[big] = np.arange(len(big))
-    size, suffix, last = tree.counts[big].astype(float), [], big
-    for d in range(depth):
-        if not len(size):
-            break
-        tree.levels.append({"candidate": candidate, "state": np.full(len(size), -1)} if d == 0 else
-                           {"pairs": pairs, "state": np.full(len(size), -1)})
-        sent = spark.sparkContext.broadcast(tree)
-
-        def emit(col, sent=sent, d=d):
-            t = sent.value
-            for _, symbols, off in symbol_chunks(col):
-                places = t.index(symbols)
-                ctx = t.contexts(places, off, d + 1)[d]
-                on = (ctx >= 0) & (places >= 0)
-                yield (ctx[on] << 32) | places[on]
-
-        keys, c = _collected(_counts(train, emit).where(F.col("c") >= MIN_COUNT))
-        sent.unpersist()
-        ctx, nxt = keys >> 32, keys & 0xFFFFFFFF
-
-        def parents(cands, symbols, d=d, suffix=tuple(suffix)):
-            """Gain of the suffix model after each candidate: its own last d symbols' contexts."""
-            return tree.gain([s[cands] for s in suffix], symbols) if d else np.zeros(len(symbols))
-
-        tree.add_level(size, parents, ctx, nxt, c, mu)
-        # candidates one symbol longer: a kept pair that is frequent enough; end marks end a history
-        end = tree.index(np.array([END]))[0]
-        longer = nxt != end
-        pairs = np.sort(keys[longer])
-        size = c[longer][np.argsort(keys[longer])].astype(float)
-        ctx, nxt = pairs >> 32, pairs & 0xFFFFFFFF
-        # suffixes of (context, symbol), shortest first: the symbol itself, then each longer one
-        shorter = [candidate[nxt]]
-        for j in range(1, d + 1):
-            older = suffix[j - 1][ctx]
-            found = tree.find(tree.levels[j]["pairs"], (np.maximum(older, 0) << 32) | nxt)
-            shorter.append(np.where(older >= 0, found, -1))
-        suffix = shorter
-    return tree, vocabulary
-
-
 def gram_chunks(col: pa.Array, width: int):
     """Yield (first row, levels, offsets); level n - 1 is (grams, contexts, whole) of each token:
     the hash of the n symbols that end there, of the n - 1 before it, and whether the text has
@@ -262,7 +165,7 @@ def frequent(table: DataFrame, value: str, rows: int) -> tuple[np.ndarray, np.nd
     return keys.view(np.uint64)[order], values[order]
 
 
-def _gram_counts(train: DataFrame, n: int, before: DataFrame) -> DataFrame:
+def _gram_counts(train: DataFrame, n: int, before: DataFrame, buckets: int) -> DataFrame:
     """(key, ctx, par, c) of all grams of n symbols that occur ``MIN_COUNT`` times.
 
     ctx and par are its first and its last n - 1 symbols. Grams of which one of the two
@@ -270,39 +173,39 @@ def _gram_counts(train: DataFrame, n: int, before: DataFrame) -> DataFrame:
     """
     sent = train.sparkSession.sparkContext.broadcast(key_filter(before))
 
+    def flush(held):
+        ctx, par = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, first, c = np.unique(mix64(ctx * _STEP + par), return_index=True, return_counts=True)
+        at, columns = packed(buckets, keys, [ctx[first], par[first], c.astype(np.uint32)])
+        return pa.RecordBatch.from_arrays([pa.array(at), *columns], ["bucket", "ctx", "par", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-
-        def flush():
-            ctx, par = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, first, c = np.unique(mix64(ctx * _STEP + par), return_index=True, return_counts=True)
-            for k in range(0, len(first), 200_000):
-                at = first[k: k + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(ctx[at].view(np.int64)), pa.array(par[at].view(np.int64)),
-                                                  pa.array(c[k: k + 200_000].astype(np.int64))], ["ctx", "par", "c"])
-
         for b in batches:
             for _, levels, _ in gram_chunks(b.column(0), n):
                 par, (_, ctx, whole) = levels[n - 2][0], levels[n - 1]
                 on = whole & maybe(sent.value, par) & maybe(sent.value, ctx)
                 held.append((ctx[on], par[on]))
                 size += len(held[-1][0])
-                if size >= COUNT_TOKENS:
-                    yield from flush()
+                if size >= RUN_TOKENS:
+                    yield flush(held)
                     held, size = [], 0
         if size:
-            yield from flush()
+            yield flush(held)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ctx, par = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(mix64(ctx * _STEP + par).view(np.int64)), *b.columns], ["key", "ctx", "par", "c"])
+    def count(group: pa.Table) -> pa.Table:
+        ctx, par, c = (unpacked(group[k], t) for k, t in (("ctx", np.uint64), ("par", np.uint64), ("c", np.uint32)))
+        keys, first, which = np.unique(mix64(ctx * _STEP + par), return_index=True, return_inverse=True)
+        total = np.bincount(which, c, len(keys)).astype(np.int64)
+        on = total >= MIN_COUNT
+        first = first[on]
+        return pa.table({"key": keys[on].view(np.int64), "ctx": ctx[first].view(np.int64), "par": par[first].view(np.int64), "c": total[on]})
 
-    counts = train.mapInArrow(run, "ctx long, par long, c long").groupBy("ctx", "par").agg(F.sum("c").alias("c"))
-    return counts.where(F.col("c") >= MIN_COUNT).mapInArrow(keyed, "key long, ctx long, par long, c long")
+    parts = train.mapInArrow(run, "bucket int, ctx binary, par binary, c binary")
+    return parts.groupBy("bucket").applyInArrow(count, "key long, ctx long, par long, c long")
 
 
-def fit_table(train: DataFrame, *, depth: int = DEPTH, mu: float = MU) -> tuple[DataFrame, DataFrame, int, int]:
+def fit_table(train: DataFrame, *, depth: int = DEPTH) -> tuple[DataFrame, DataFrame, int, int]:
     """(tree, vocabulary, number of training tokens, of symbols) from a table of one text column.
 
     tree: (key, c, v), what each use of a gram adds to the natural log of the probability of
@@ -314,12 +217,15 @@ def fit_table(train: DataFrame, *, depth: int = DEPTH, mu: float = MU) -> tuple[
     level = vocabulary.where(F.col("c") >= MIN_COUNT).select("key", "c", F.col("v").alias("root"), F.lit(0.0).alias("gain"))
     parts = [level.select("key", "c", F.col("gain").alias("v")).limit(0)]
     for n in range(2, depth + 2):
-        grams = _gram_counts(train, n, level)
-        grams = grams.join(level.select(F.col("key").alias("ctx"), F.col("c").alias("size")), "ctx").join(
-            level.select(F.col("key").alias("par"), "root", "gain"), "par")
+        grams = stored(_gram_counts(train, n, level, _buckets(total)), "lm-counts")
+        # different next symbols: those kept, and every occurrence of another
+        sizes = grams.groupBy("ctx").agg(F.sum("c").alias("kept"), F.count(F.lit(1)).alias("number")).join(
+            level.select(F.col("key").alias("ctx"), F.col("c").alias("size")), "ctx").select(
+            "ctx", "size", (F.col("number") + F.col("size") - F.col("kept")).alias("different"))
+        grams = grams.join(sizes, "ctx").join(level.select(F.col("key").alias("par"), "root", "gain"), "par")
         suffix = F.col("gain") + F.col("root")
-        grams = stored(grams.select("key", "ctx", "c", "size", "root", "gain", F.exp(suffix).alias("q")).withColumn(
-            "p", (F.col("c") + F.lit(mu) * F.col("q")) / (F.col("size") + F.lit(mu))), "lm-grams")
+        grams = stored(grams.select("key", "ctx", "c", "size", "root", "gain", F.exp(suffix).alias("q"), "different").withColumn(
+            "p", (F.col("c") + F.col("different") * F.col("q")) / (F.col("size") + F.col("different"))).drop("different"), "lm-grams")
         states = grams.groupBy("ctx").agg(
             F.max("size").alias("size"), F.count(F.lit(1)).alias("number"), F.greatest(1 - F.sum("p"), F.lit(1e-12)).alias("left"),
             F.greatest(1 - F.sum("q"), F.lit(1e-12)).alias("left_q"), F.sum(F.col("p") * (F.log("p") - suffix)).alias("kl"))
@@ -340,74 +246,134 @@ def fit_table(train: DataFrame, *, depth: int = DEPTH, mu: float = MU) -> tuple[
     return stored(tree, "lm-tree"), vocabulary, total, distinct
 
 
+def _buckets(total: int) -> int:
+    """Buckets of gram hashes for a training table of so many tokens."""
+    return 16 + total // BUCKET_TOKENS
+
+
+# Kinds of packed rows: values of grams and of symbols, uses of both, a run of texts, sums of its texts.
+GRAM, SYMBOL, GRAM_USE, SYMBOL_USE, RUN, SUMS = range(6)
+_PACKED = ["kind", "bucket", "run", "a", "b", "c", "d", "ids"]
+
+
+def _packed_values(table: DataFrame, kind: int, buckets: int, id_type: str) -> DataFrame:
+    """(key, v) of a table as packed rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0).to_numpy().view(np.uint64)
+            at, columns = packed(buckets, keys, [keys, b.column(1).to_numpy()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), *columns], ["kind", "bucket", "a", "b"])
+
+    rows = table.select("key", "v").mapInArrow(run, "kind int, bucket int, a binary, b binary")
+    empty = F.lit(None)
+    return rows.select("kind", "bucket", empty.cast("long").alias("run"), "a", "b", empty.cast("binary").alias("c"),
+                       empty.cast("binary").alias("d"), empty.cast(f"array<{id_type}>").alias("ids"))
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", split: tuple[int, int] = HELD_OUT,
-                depth: int = DEPTH, mu: float = MU, frequent_rows: tuple[int, int] = FREQUENT) -> DataFrame:
+                depth: int = DEPTH, frequent_rows: tuple[int, int] = FREQUENT) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Trained on ids whose crc32 mod ``split[0]`` is not ``split[1]`` (a null id counts as the
     empty text). Null texts are empty and have one token, the end. Equal rows give equal
     results. Without training texts both scores are 0. Other columns are not carried.
+    Rows are numbered inside a task, so ``docs`` must give a task that is run again the same
+    rows in the same order, as stored tables do.
     """
     spark = docs.sparkSession
     held = F.pmod(id_crc(id_col), F.lit(split[0])) == split[1]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tree, vocabulary, total, distinct = fit_table(docs.where(~held).select(text.alias("t")), depth=depth, mu=mu)
+    tree, vocabulary, total, distinct = fit_table(docs.where(~held).select(text.alias("t")), depth=depth)
+    buckets, unknown = _buckets(total), float(np.log(0.5 / (total + 0.5 * (distinct + 1))))
     sent = spark.sparkContext.broadcast((*frequent(vocabulary, "v", frequent_rows[0]), *frequent(tree, "v", frequent_rows[1]), key_filter(tree)))
-    names = ["id", "mark", "n_tokens", "n_known", "base", "gain", "rare", "times", "grams", "uses"]
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def flush(ids, number, sums, uses):
+        """Packed rows of one run of texts: its texts, and the uses that no broadcast answers."""
+        n = len(sums[0])
+        yield pa.RecordBatch.from_arrays([
+            pa.array([RUN], pa.int32()), pa.array([number % buckets], pa.int32()), pa.array([number], pa.int64()),
+            *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in sums],
+            pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids)], _PACKED)
+        for kind, (rows, keys) in zip((SYMBOL_USE, GRAM_USE), uses, strict=True):
+            at, (a, b) = packed(buckets, keys, [keys, rows])
+            none = pa.nulls(len(at), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(np.full(len(at), number, np.int64)),
+                                              a, b, none, none, pa.nulls(len(at), pa.list_(ids.type))], _PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, log_root, keys, values, bits = sent.value
         log_root, values = np.r_[log_root, 0.0], np.r_[values, 0.0]
+        number, held_rows, size, tokens = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def emptied():
+            ids = pa.concat_arrays([h[0] for h in held_rows])
+            sums = [np.concatenate([h[1][k] for h in held_rows]) for k in range(4)]
+            uses = [tuple(np.concatenate([h[2][k][j] for h in held_rows]) for j in range(2)) for k in range(2)]
+            return flush(ids, number, sums, uses)
+
         for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            sums, found = np.zeros((4, n)), ([], [])
-            for i, levels, off in gram_chunks(b.column(2), depth + 1):
-                places = SuffixTree.find(symbols, levels[0][0])
-                gain, owner = np.zeros(len(places)), np.repeat(np.arange(i, i + len(off) - 1), np.diff(off))
-                found[0].append((owner[places < 0], levels[0][0][places < 0]))
-                for grams, _, whole in levels:
-                    on = np.flatnonzero(whole & maybe(bits, grams))
-                    at = SuffixTree.find(keys, grams[on])
+            for i, levels, off in gram_chunks(b.column(1), depth + 1):
+                n = len(off) - 1
+                places = find(symbols, levels[0][0])
+                owner = np.repeat(np.arange(size, size + n, dtype=np.uint32), np.diff(off))
+                gain, rare, grams = np.zeros(len(places)), places < 0, []
+                for sequence, _, whole in levels:
+                    on = np.flatnonzero(whole & maybe(bits, sequence))
+                    at = find(keys, sequence[on])
                     gain[on] += values[at]
-                    found[1].append((owner[on[at < 0]], grams[on[at < 0]]))
-                for k, x in enumerate((np.ones(len(places)), (places >= 0).astype(float), log_root[places], gain)):
-                    sums[k, i: i + len(off) - 1] = np.add.reduceat(x, off[:-1])
-            lists = []
-            for part in found:
-                row, key = (np.concatenate(x) for x in zip(*part, strict=True))
-                order = np.lexsort((key, row))
-                row, key = row[order], key[order]
-                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])]) if len(row) else np.zeros(0, np.int64)
-                cuts = pa.array(np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32))
-                times = np.diff(np.r_[first, len(row)]).astype(np.int32)
-                lists += [pa.ListArray.from_arrays(cuts, pa.array(key[first].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)),
-                                              pa.array(sums[2]), pa.array(sums[3]), *lists], names)
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    parts = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("t")).mapInArrow(
-        run, f"id {id_type}, mark long, n_tokens long, n_known long, base double, gain double, rare array<long>, times array<int>, grams array<long>, uses array<int>"), "lm-scores")
-    floor = total + 0.5 * (distinct + 1)
-    # one row for each distinct (id, text): repeated rows are counted here and given back at the end
-    rows = parts.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in names[2:6]])
-
-    def exploded(key: str, times: str) -> DataFrame:
-        return parts.select("id", "mark", F.explode(F.arrays_zip(key, times)).alias("u")).select(
-            "id", "mark", F.col(f"u.{key}").alias("key"), F.col(f"u.{times}").alias("n"))
-
-    rare = exploded("rare", "times").join(vocabulary, "key", "left").select(
-        "id", "mark", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known"),
-        (F.col("n") * F.coalesce("v", F.log(F.lit(0.5 / floor)))).alias("log_rare"), F.lit(0.0).alias("more"))
-    grams = exploded("grams", "uses").join(tree, "key").select(
-        "id", "mark", F.lit(0).alias("known"), F.lit(0.0).alias("log_rare"), (F.col("n") * F.col("v")).alias("more"))
-    seen = rare.unionByName(grams).groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(
-        *[F.sum(c).alias(c) for c in ("known", "log_rare", "more")])
-    out = rows.join(seen, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left")
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    base = (F.col("base") + F.coalesce(F.col("log_rare") / F.col("copies"), F.lit(0.0))) / F.lit(float(np.log(10)))
+                    grams.append((owner[on[at < 0]], sequence[on[at < 0]]))
+                sums = (np.diff(off).astype(np.int64), np.add.reduceat((~rare).astype(np.int64), off[:-1]),
+                        np.add.reduceat(log_root[places], off[:-1]), np.add.reduceat(gain, off[:-1]))
+                held_rows.append((b.column(0).slice(i, n), sums, ((owner[rare], levels[0][0][rare]),
+                                                                 tuple(np.concatenate(x) for x in zip(*grams, strict=True)))))
+                size, tokens = size + n, tokens + len(places)
+                if tokens >= RUN_TOKENS:
+                    yield from emptied()
+                    number, held_rows, size, tokens = number + 1, [], 0, 0
+        if size:
+            yield from emptied()
+
+    def answered(group: pa.Table) -> pa.Table:
+        """Uses of a bucket summed by (run, text); rows of runs go on as they are."""
+        kinds = group["kind"].to_numpy()
+        out = [group.filter(pa.array(kinds == RUN)).drop_columns(["bucket"])]
+        for use, kind, absent in ((GRAM_USE, GRAM, 0.0), (SYMBOL_USE, SYMBOL, unknown)):
+            table = group.filter(pa.array(kinds == kind))
+            keys, values = unpacked(table["a"], np.uint64), unpacked(table["b"], np.float64)
+            order = np.argsort(keys)
+            keys, values = keys[order], np.r_[values[order], absent]
+            asked = group.filter(pa.array(kinds == use))
+            for k in range(len(asked)):
+                part = asked.slice(k, 1)
+                rows, at = unpacked(part["b"], np.uint32), find(keys, unpacked(part["a"], np.uint64))
+                if use == GRAM_USE:
+                    rows, at = rows[at >= 0], at[at >= 0]
+                texts, which = np.unique(rows, return_inverse=True)
+                known = np.bincount(which, at >= 0, len(texts)) if use == SYMBOL_USE else np.zeros(len(texts))
+                total_v = np.bincount(which, values[at], len(texts))
+                zero = np.zeros(len(texts))
+                sums = (texts, known.astype(np.uint32), *((zero, total_v) if use == GRAM_USE else (total_v, zero)))
+                out.append(pa.Table.from_arrays([pa.array([SUMS], pa.int32()), part["run"], *[pa.array([x.tobytes()], pa.binary()) for x in sums],
+                                                 pa.nulls(1, group["ids"].type)], [c for c in _PACKED if c != "bucket"]))
+        return pa.concat_tables([t.cast(out[0].schema) for t in out])
+
+    def merged(group: pa.Table) -> pa.Table:
+        """One row for each text of a run."""
+        kinds = group["kind"].to_numpy()
+        own, more = group.filter(pa.array(kinds == RUN)), group.filter(pa.array(kinds == SUMS))
+        tokens, known, base, gain = (unpacked(own[c], t) for c, t in zip("abcd", (np.int64, np.int64, np.float64, np.float64), strict=True))
+        rows, seen, log_rare, gains = (unpacked(more[c], t) for c, t in zip("abcd", (np.uint32, np.uint32, np.float64, np.float64), strict=True))
+        known = known + np.bincount(rows, seen, len(tokens)).astype(np.int64)
+        base = (base + np.bincount(rows, log_rare, len(tokens))) / np.log(10)
+        score = base + (gain + np.bincount(rows, gains, len(tokens))) / np.log(10)
+        return pa.table([pa.chunked_array([own["ids"].combine_chunks().flatten()]) if len(own) else pa.nulls(0, group["ids"].type.value_type), tokens, known, base, score],
+                        names=["id", "n_tokens", "n_known", "base_score", "score"])
+
+    columns = f"run long, a binary, b binary, c binary, d binary, ids array<{id_type}>"
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).mapInArrow(run, f"kind int, bucket int, {columns}")
+    rows = rows.unionByName(_packed_values(tree, GRAM, buckets, id_type)).unionByName(_packed_values(vocabulary, SYMBOL, buckets, id_type))
+    out = rows.groupBy("bucket").applyInArrow(answered, f"kind int, {columns}").groupBy("run").applyInArrow(
+        merged, f"id {id_type}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), (F.pmod(id_crc("id"), F.lit(split[0])) == split[1]).alias("held_out"), "n_tokens",
-                      (F.col("n_known") + F.coalesce((F.col("known") / F.col("copies")).cast("long"), F.lit(0).cast("long"))).alias("n_known"),
-                      F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"),
-                      (base + (F.col("gain") + F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0))) / F.lit(float(np.log(10)))).alias("score"))
+                      "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

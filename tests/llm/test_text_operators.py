@@ -368,22 +368,83 @@ def test_language_model_base_score_and_held_out_gain(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.05 * sum(r["n_tokens"] for r in held)
 
 
+class BruteTree:
+    """The suffix tree in dictionaries of word tuples; None is the end mark."""
+
+    def __init__(self, texts, depth):
+        self.counts, self.depth = collections.Counter(), depth
+        for t in texts:
+            seq = [None, *words(t), None]
+            self.counts.update((w,) for w in seq[1:])
+            self.counts.update(tuple(seq[i: i + n]) for n in range(2, depth + 2) for i in range(len(seq) - n + 1))
+        self.total = sum(c for g, c in self.counts.items() if len(g) == 1)
+        self.floor = self.total + 0.5 * (sum(len(g) == 1 for g in self.counts) + 1)
+        self.states, followers = {}, collections.defaultdict(dict)
+        for g, c in self.counts.items():
+            if len(g) > 1 and c >= 2:
+                followers[g[:-1]][g[-1]] = c
+        for ctx in sorted(followers, key=len):
+            after, n = followers[ctx], self.counts[ctx]
+            different = len(after) + n - sum(after.values())
+            q = {x: self.p(ctx[1:], x) for x in after}
+            p = {x: (c + different * q[x]) / (n + different) for x, c in after.items()}
+            left, left_q = max(1 - sum(p.values()), 1e-12), max(1 - sum(q.values()), 1e-12)
+            kl = sum(p[x] * math.log(p[x] / q[x]) for x in p) + left * math.log(left / left_q)
+            if n * kl > 0.5 * len(p) * math.log(max(self.total, 2)):
+                self.states[ctx] = (p, left / left_q)
+
+    def p(self, ctx, x):
+        if not ctx:
+            return (self.counts[(x,)] + 0.5) / self.floor
+        if ctx not in self.states:
+            return self.p(ctx[1:], x)
+        p, rest = self.states[ctx]
+        return p[x] if x in p else rest * self.p(ctx[1:], x)
+
+    def score(self, text):
+        seq = [None, *words(text), None]
+        return sum(math.log10(self.p(tuple(seq[max(0, i - self.depth): i]), seq[i])) for i in range(1, len(seq)))
+
+
+def trained(i):
+    return zlib.crc32(str(i).encode()) % 5 != 1
+
+
+@pytest.mark.parametrize("depth", [2, 3])
+def test_language_model_against_brute_force(spark, monkeypatch, depth):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [(r[0], r[1]) for r in docs.collect()]
+    tree = BruteTree([t for i, t in rows if trained(i)], depth)
+    assert {len(c) for c in tree.states} >= {1, 2}
+    monkeypatch.setattr(lm, "RUN_TOKENS", 3000)
+    for frequent in (lm.FREQUENT, (50, 50)):  # what is broadcast changes no result
+        got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, depth=depth, frequent_rows=frequent).collect()}
+        assert got.keys() == {i for i, _ in rows}
+        assert max(abs(got[i] - tree.score(t)) for i, t in rows) < 1e-6
+
+
 def test_every_state_is_a_distribution(spark):
     text = " ".join(f"{a} {b}" for a, b in [("the", "cat"), ("the", "dog"), ("a", "cat"), ("the", "cat")] * 60)
-    train = spark.createDataFrame([(text + f" x{i}",) for i in range(20)], "t string")
-    tree, vocabulary = lm.fit_tree(train)
-    grown = [int((level["state"] >= 0).sum()) for level in tree.levels]
-    assert len(grown) == 2 and grown[0] > 0 and vocabulary.count() == len(tree.symbols) == tree.distinct
-    root = np.exp(tree.log_root)
-    unseen = 0.5 / (tree.total + 0.5 * (tree.distinct + 1))  # the root's share of any symbol it has not seen
-    places = np.arange(len(tree.symbols))
-    last = tree.levels[0]["candidate"][tree.levels[1]["pairs"] & 0xFFFFFFFF]  # of each pair, its suffix
-    histories = [(c, -1) for c in range(len(tree.levels[0]["state"]))] + [(int(last[d]), d) for d in range(len(last))]
-    assert len(histories) > 6 and (last >= 0).all()
-    for c, d in histories:
-        history = [np.full(len(places) + 1, c), np.full(len(places) + 1, d)]
-        p = np.exp(tree.gain(history, np.r_[places, -1])) * np.r_[root, unseen]
-        assert abs(p.sum() - 1) < 1e-9
+    texts = [text + f" x{i}" for i in range(20)]
+    tree = BruteTree(texts, 2)
+    symbols = [g[0] for g in tree.counts if len(g) == 1]
+    assert {len(c) for c in tree.states} == {1, 2}
+    for ctx in tree.states:
+        assert abs(sum(tree.p(ctx, x) for x in [*symbols, "unseen"]) - 1) < 1e-9
+    ids = [i for i in range(100) if trained(i)][:20]
+    got = lm.score_texts(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+    want = dict(zip(ids, texts, strict=True))
+    assert max(abs(r["score"] - tree.score(want[r["doc_id"]])) for r in got) < 1e-6
+
+
+def test_a_passage_that_occurs_twice_is_in_the_model(spark):
+    rng = np.random.default_rng(3)
+    ids = [i for i in range(600) if trained(i)][:302]
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, 200))) for i in ids[2:]]
+    passage = " ".join(f"w{x}" for x in rng.integers(0, 400, 50)) + " " + " ".join(f"p{x}" for x in range(20))
+    got = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame(rows + [(i, passage) for i in ids[:2]], "doc_id long, text string")).collect()}
+    for i in ids[:2]:
+        assert got[i]["score"] > got[i]["base_score"] + 1.5 * 20
 
 
 def test_language_model_rows(spark, odd, none):
@@ -406,18 +467,3 @@ def test_a_rare_passage_of_a_large_table_is_in_the_model(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = next(r for r in lm.score_texts(docs).collect() if r["doc_id"] == ids[True][0])
     assert got["train_tokens"] > 1_000_000 and got["score"] > got["base_score"] + 2 * 30
-
-
-def test_the_table_and_the_tree_in_memory_agree(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    tree, _ = lm.fit_tree(docs.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) <> 1").select("text"))
-    texts = docs.toArrow().combine_chunks()
-    want = {}
-    ids = texts["doc_id"].to_pylist()
-    for i, symbols, off in lm.symbol_chunks(texts["text"].combine_chunks()):
-        places = tree.index(symbols)
-        gain = np.add.reduceat(tree.gain(tree.contexts(places, off, len(tree.levels)), places), off[:-1]) / np.log(10)
-        want.update(zip(ids[i: i + len(gain)], gain, strict=True))
-    for rows in (lm.FREQUENT, (100, 100)):  # what is broadcast changes no result
-        got = {r["doc_id"]: r["score"] - r["base_score"] for r in lm.score_texts(docs, frequent_rows=rows).collect()}
-        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
