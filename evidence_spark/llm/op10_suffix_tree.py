@@ -4,10 +4,9 @@ Symbols are the text's words (A-Z lower-cased) and an end mark; the root is the
 word distribution of the training texts. A context of one or more preceding words is a
 candidate state when it occurs ``MIN_COUNT`` times, and its next symbols are kept when
 (context, symbol) occurs ``MIN_COUNT`` times, at any size of the training table. A state
-that occurs n times with t different next symbols gives a kept symbol
-``(c + t P_suffix) / (n + t)``, P_suffix by its longest retained suffix; the mass left goes to
-all others in proportion to the suffix's distribution, so every state sums to one. (As two
-occurrences are enough to be kept, t is the kept symbols and the occurrences of no kept one.)
+that occurs n times gives a kept symbol ``(c + mu P_suffix) / (n + mu)``, P_suffix by its
+longest retained suffix; the mass left, which is mostly the share of symbols seen once, goes
+to all others in proportion to the suffix's distribution, so every state sums to one.
 A candidate becomes a state when its distribution diverges from that of the suffix:
 ``n * KL > kept symbols * ln(N) / 2`` (the gain in log likelihood against the cost of the
 parameters). A token is scored by the longest suffix state that its history matches.
@@ -37,6 +36,7 @@ from evidence_spark.llm.words import chunks, mix64, word_hashes
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 MIN_COUNT = 2
+MU = 1.0
 DEPTH = 2
 HELD_OUT = (5, 1)
 #: Keys that a broadcast may hold (16 bytes each): symbols of the root, grams of the tree.
@@ -205,7 +205,7 @@ def _gram_counts(train: DataFrame, n: int, before: DataFrame, buckets: int) -> D
     return parts.groupBy("bucket").applyInArrow(count, "key long, ctx long, par long, c long")
 
 
-def fit_table(train: DataFrame, *, depth: int = DEPTH) -> tuple[DataFrame, DataFrame, int, int]:
+def fit_table(train: DataFrame, *, depth: int = DEPTH, mu: float = MU) -> tuple[DataFrame, DataFrame, int, int]:
     """(tree, vocabulary, number of training tokens, of symbols) from a table of one text column.
 
     tree: (key, c, v), what each use of a gram adds to the natural log of the probability of
@@ -213,36 +213,32 @@ def fit_table(train: DataFrame, *, depth: int = DEPTH) -> tuple[DataFrame, DataF
     """
     vocabulary, total, distinct = _vocabulary(train)
     vocabulary = vocabulary.withColumn("v", F.log((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1))))
-    # each kept gram: its count, its last symbol's ln P at the root, the gain of the tree so far over that
-    level = vocabulary.where(F.col("c") >= MIN_COUNT).select("key", "c", F.col("v").alias("root"), F.lit(0.0).alias("gain"))
-    parts = [level.select("key", "c", F.col("gain").alias("v")).limit(0)]
+    # each kept gram: its count, and ln P of its last symbol after the ones before it in the tree so far
+    level = vocabulary.where(F.col("c") >= MIN_COUNT).select("key", "c", F.col("v").cast("float").alias("lp"))
+    parts = [level.select("key", "c", F.col("lp").alias("v")).limit(0)]
+    p = (F.col("c") + F.lit(mu) * F.exp("lp")) / (F.col("size") + F.lit(mu))
     for n in range(2, depth + 2):
-        grams = stored(_gram_counts(train, n, level, _buckets(total)), "lm-counts")
-        # different next symbols: those kept, and every occurrence of another
-        sizes = grams.groupBy("ctx").agg(F.sum("c").alias("kept"), F.count(F.lit(1)).alias("number")).join(
-            level.select(F.col("key").alias("ctx"), F.col("c").alias("size")), "ctx").select(
-            "ctx", "size", (F.col("number") + F.col("size") - F.col("kept")).alias("different"))
-        grams = grams.join(sizes, "ctx").join(level.select(F.col("key").alias("par"), "root", "gain"), "par")
-        suffix = F.col("gain") + F.col("root")
-        grams = stored(grams.select("key", "ctx", "c", "size", "root", "gain", F.exp(suffix).alias("q"), "different").withColumn(
-            "p", (F.col("c") + F.col("different") * F.col("q")) / (F.col("size") + F.col("different"))).drop("different"), "lm-grams")
+        grams = _gram_counts(train, n, level, _buckets(total)).join(level.select(F.col("key").alias("par"), "lp"), "par").drop("par").join(
+            level.select(F.col("key").alias("ctx"), F.col("c").alias("size")), "ctx")
+        grams = stored(grams.select("key", "ctx", "c", "size", "lp"), "lm-grams")
         states = grams.groupBy("ctx").agg(
-            F.max("size").alias("size"), F.count(F.lit(1)).alias("number"), F.greatest(1 - F.sum("p"), F.lit(1e-12)).alias("left"),
-            F.greatest(1 - F.sum("q"), F.lit(1e-12)).alias("left_q"), F.sum(F.col("p") * (F.log("p") - suffix)).alias("kl"))
+            F.max("size").alias("size"), F.count(F.lit(1)).alias("number"), F.greatest(1 - F.sum(p), F.lit(1e-12)).alias("left"),
+            F.greatest(1 - F.sum(F.exp("lp")), F.lit(1e-12)).alias("left_q"), F.sum(p * (F.log(p) - F.col("lp"))).alias("kl"))
         states = states.withColumn("rest", F.log(F.col("left") / F.col("left_q")))
         states = stored(states.where(F.col("size") * (F.col("kl") + F.col("left") * F.col("rest")) > F.col("number") * F.lit(
-            0.5 * float(np.log(max(total, 2))))).select("ctx", "size", "rest"), "lm-states")
-        own = F.when(F.col("rest").isNotNull(), F.log("p") - F.col("root")).otherwise(F.col("gain"))
-        level = stored(grams.join(states.select("ctx", "rest"), "ctx", "left").select(
-            "key", "c", "root", own.alias("gain"), (own - F.col("gain") - F.coalesce("rest", F.lit(0.0))).alias("v"),
-            F.col("rest").isNotNull().alias("kept")), "lm-level")
-        parts += [level.where("kept").select("key", "c", "v"), states.select(F.col("ctx").alias("key"), F.col("size").alias("c"), F.col("rest").alias("v"))]
-        if level.isEmpty():
+            0.5 * float(np.log(max(total, 2))))).select("ctx", "size", F.col("rest").cast("float").alias("rest")), "lm-states")
+        own = F.when(F.col("rest").isNotNull(), F.log(p)).otherwise(F.col("lp"))
+        level = grams.join(states.select("ctx", "rest"), "ctx", "left").select(
+            "key", "c", own.cast("float").alias("lp"), F.when(F.col("rest").isNotNull(), own - F.col("lp") - F.col("rest")).cast("float").alias("v"))
+        if n <= depth:
+            level = stored(level, "lm-level")
+        parts += [level.where("v IS NOT NULL").select("key", "c", "v"), states.select(F.col("ctx").alias("key"), F.col("size").alias("c"), F.col("rest").alias("v"))]
+        if n <= depth and level.isEmpty():
             break
     tree = parts[0]
     for part in parts[1:]:
         tree = tree.unionByName(part)
-    tree = tree.groupBy("key").agg(F.max("c").alias("c"), F.sum("v").alias("v"))
+    tree = tree.groupBy("key").agg(F.max("c").alias("c"), F.sum("v").cast("float").alias("v"))
     return stored(tree, "lm-tree"), vocabulary, total, distinct
 
 
@@ -264,14 +260,14 @@ def _packed_values(table: DataFrame, kind: int, buckets: int, id_type: str) -> D
             at, columns = packed(buckets, keys, [keys, b.column(1).to_numpy()])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), *columns], ["kind", "bucket", "a", "b"])
 
-    rows = table.select("key", "v").mapInArrow(run, "kind int, bucket int, a binary, b binary")
+    rows = table.select("key", F.col("v").cast("double")).mapInArrow(run, "kind int, bucket int, a binary, b binary")
     empty = F.lit(None)
     return rows.select("kind", "bucket", empty.cast("long").alias("run"), "a", "b", empty.cast("binary").alias("c"),
                        empty.cast("binary").alias("d"), empty.cast(f"array<{id_type}>").alias("ids"))
 
 
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", split: tuple[int, int] = HELD_OUT,
-                depth: int = DEPTH, frequent_rows: tuple[int, int] = FREQUENT) -> DataFrame:
+                depth: int = DEPTH, mu: float = MU, frequent_rows: tuple[int, int] = FREQUENT) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Trained on ids whose crc32 mod ``split[0]`` is not ``split[1]`` (a null id counts as the
@@ -283,7 +279,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     held = F.pmod(id_crc(id_col), F.lit(split[0])) == split[1]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tree, vocabulary, total, distinct = fit_table(docs.where(~held).select(text.alias("t")), depth=depth)
+    tree, vocabulary, total, distinct = fit_table(docs.where(~held).select(text.alias("t")), depth=depth, mu=mu)
     buckets, unknown = _buckets(total), float(np.log(0.5 / (total + 0.5 * (distinct + 1))))
     sent = spark.sparkContext.broadcast((*frequent(vocabulary, "v", frequent_rows[0]), *frequent(tree, "v", frequent_rows[1]), key_filter(tree)))
     id_type = docs.schema[id_col].dataType.simpleString()
