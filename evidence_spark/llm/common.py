@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from evidence_spark.session import scratch_path
 
 
+#: Spark's setting to remove the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -18,9 +22,20 @@ def id_crc(col: str) -> Column:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once under the shared checkpoint folder and read it back (cuts lineage)."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write df once under the shared checkpoint folder and read it back (cuts lineage).
+
+    The shuffle files of the write are removed when it ends: nothing reads them again.
+    """
+    conf, path = df.sparkSession.conf, scratch_path(df.sparkSession, name)
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
