@@ -40,7 +40,7 @@ MU = 1.0
 DEPTH = 2
 HELD_OUT = (5, 1)
 #: Keys that a broadcast may hold (16 bytes each): symbols of the root, grams of the tree.
-FREQUENT = (1 << 16, 1 << 16)
+FREQUENT = (1 << 17, 1 << 19)
 #: 64-bit words of a broadcast filter, which spares sending most absent grams while it isn't full.
 FILTER_WORDS = 1 << 21
 #: Tokens that a task holds at a time, and training tokens for each bucket.
@@ -72,7 +72,8 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def packed(buckets: int, keys: np.ndarray, columns: list[np.ndarray]):
     """(buckets that occur, for each column a binary array of the bucket's values), by hash of keys."""
-    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    # 16-bit numbers are sorted by radix
+    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     sizes = np.bincount(bucket, minlength=buckets)
     on = np.flatnonzero(sizes)
@@ -152,7 +153,7 @@ def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def frequent(table: DataFrame, value: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and values of the most frequent rows of (key, c, value), at most ``rows``."""
+    """Sorted keys of the most frequent rows of (key, c, value), at most ``rows``, and their summed values."""
     bucket = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
     least, n = None, 0
     for b, k in sorted(table.groupBy(bucket.alias("b")).count().collect(), reverse=True):
@@ -160,9 +161,13 @@ def frequent(table: DataFrame, value: str, rows: int) -> tuple[np.ndarray, np.nd
             break
         least = b
     got = table.where(bucket >= least if least is not None else F.lit(False)).select("key", F.col(value).alias("c"))
-    keys, values = _collected(got)
-    order = np.argsort(keys.view(np.uint64))
-    return keys.view(np.uint64)[order], values[order]
+    return summed(*_collected(got))
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the sum of each one's values."""
+    keys, which = np.unique(keys.view(np.uint64), return_inverse=True)
+    return keys, np.bincount(which, values, len(keys))
 
 
 def _gram_counts(train: DataFrame, n: int, before: DataFrame, buckets: int) -> DataFrame:
@@ -209,7 +214,8 @@ def fit_table(train: DataFrame, *, depth: int = DEPTH, mu: float = MU) -> tuple[
     """(tree, vocabulary, number of training tokens, of symbols) from a table of one text column.
 
     tree: (key, c, v), what each use of a gram adds to the natural log of the probability of
-    the tokens that end and follow it; vocabulary: (key, c, v), v the symbol's at the root.
+    the token that ends it, and in a second row of the one that follows it, both with the
+    gram's count c; vocabulary: (key, c, v), v the symbol's at the root.
     """
     vocabulary, total, distinct = _vocabulary(train)
     vocabulary = vocabulary.withColumn("v", F.log((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1))))
@@ -232,14 +238,16 @@ def fit_table(train: DataFrame, *, depth: int = DEPTH, mu: float = MU) -> tuple[
             "key", "c", own.cast("float").alias("lp"), F.when(F.col("rest").isNotNull(), own - F.col("lp") - F.col("rest")).cast("float").alias("v"))
         if n <= depth:
             level = stored(level, "lm-level")
-        parts += [level.where("v IS NOT NULL").select("key", "c", "v"), states.select(F.col("ctx").alias("key"), F.col("size").alias("c"), F.col("rest").alias("v"))]
+            parts.append(level.where("v IS NOT NULL").select("key", "c", "v"))
+        else:
+            parts.append(stored(level.where("v IS NOT NULL").select("key", "c", "v"), "lm-level"))
+        parts.append(states.select(F.col("ctx").alias("key"), F.col("size").alias("c"), F.col("rest").alias("v")))
         if n <= depth and level.isEmpty():
             break
     tree = parts[0]
     for part in parts[1:]:
         tree = tree.unionByName(part)
-    tree = tree.groupBy("key").agg(F.max("c").alias("c"), F.sum("v").cast("float").alias("v"))
-    return stored(tree, "lm-tree"), vocabulary, total, distinct
+    return tree, vocabulary, total, distinct
 
 
 def _buckets(total: int) -> int:
@@ -336,9 +344,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         out = [group.filter(pa.array(kinds == RUN)).drop_columns(["bucket"])]
         for use, kind, absent in ((GRAM_USE, GRAM, 0.0), (SYMBOL_USE, SYMBOL, unknown)):
             table = group.filter(pa.array(kinds == kind))
-            keys, values = unpacked(table["a"], np.uint64), unpacked(table["b"], np.float64)
-            order = np.argsort(keys)
-            keys, values = keys[order], np.r_[values[order], absent]
+            keys, values = summed(unpacked(table["a"], np.uint64), unpacked(table["b"], np.float64))
+            values = np.r_[values, absent]
             asked = group.filter(pa.array(kinds == use))
             for k in range(len(asked)):
                 part = asked.slice(k, 1)
