@@ -40,11 +40,11 @@ MU = 1.0
 DEPTH = 2
 HELD_OUT = (5, 1)
 #: Keys that a broadcast may hold (16 bytes each): symbols of the root, grams of the tree.
-FREQUENT = (1 << 17, 1 << 19)
+FREQUENT = (1 << 17, 1 << 20)
 #: 64-bit words of a broadcast filter, which spares sending most absent grams while it isn't full.
 FILTER_WORDS = 1 << 21
 #: Tokens that a task holds at a time, and training tokens for each bucket.
-RUN_TOKENS = 1_500_000
+RUN_TOKENS = 2_500_000
 BUCKET_TOKENS = 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,12 +99,23 @@ def unpacked(column: pa.ChunkedArray, dtype) -> np.ndarray:
 
 
 def _counts(train: DataFrame, emit) -> DataFrame:
-    """(key, c): counts of the long keys that emit(text column) yields, pre-aggregated by batch."""
+    """(key, c): counts of the long keys that emit(text column) yields, pre-aggregated by runs of tokens."""
+    def flush(parts):
+        keys, c = np.unique(np.concatenate(parts), return_counts=True)
+        for k in range(0, len(keys), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k: k + 200_000].view(np.int64)), pa.array(c[k: k + 200_000].astype(np.int64))], ["key", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for b in batches:
-            parts = list(emit(b.column(0)))
-            keys, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], ["key", "c"])
+            for part in emit(b.column(0)):
+                parts.append(part)
+                size += len(part)
+                if size >= RUN_TOKENS:
+                    yield from flush(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from flush(parts)
 
     return train.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
@@ -255,7 +266,7 @@ def _buckets(total: int) -> int:
     return 16 + total // BUCKET_TOKENS
 
 
-# Kinds of packed rows: values of grams and of symbols, uses of both, a run of texts, sums of its texts.
+# Kinds of packed rows: values of grams (32 bits) and of symbols (64 bits), uses of both, a run of texts, sums of its texts.
 GRAM, SYMBOL, GRAM_USE, SYMBOL_USE, RUN, SUMS = range(6)
 _PACKED = ["kind", "bucket", "run", "a", "b", "c", "d", "ids"]
 
@@ -263,12 +274,23 @@ _PACKED = ["kind", "bucket", "run", "a", "b", "c", "d", "ids"]
 def _packed_values(table: DataFrame, kind: int, buckets: int, id_type: str) -> DataFrame:
     """(key, v) of a table as packed rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def emptied():
+            keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            at, columns = packed(buckets, keys, [keys, values])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), *columns], ["kind", "bucket", "a", "b"])
+
         for b in batches:
-            keys = b.column(0).to_numpy().view(np.uint64)
-            at, columns = packed(buckets, keys, [keys, b.column(1).to_numpy()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), *columns], ["kind", "bucket", "a", "b"])
+            held.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()))
+            size += b.num_rows
+            if size >= RUN_TOKENS:
+                yield emptied()
+                held, size = [], 0
+        if size:
+            yield emptied()
 
-    rows = table.select("key", F.col("v").cast("double")).mapInArrow(run, "kind int, bucket int, a binary, b binary")
+    rows = table.select("key", "v").mapInArrow(run, "kind int, bucket int, a binary, b binary")
     empty = F.lit(None)
     return rows.select("kind", "bucket", empty.cast("long").alias("run"), "a", "b", empty.cast("binary").alias("c"),
                        empty.cast("binary").alias("d"), empty.cast(f"array<{id_type}>").alias("ids"))
@@ -342,9 +364,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         """Uses of a bucket summed by (run, text); rows of runs go on as they are."""
         kinds = group["kind"].to_numpy()
         out = [group.filter(pa.array(kinds == RUN)).drop_columns(["bucket"])]
-        for use, kind, absent in ((GRAM_USE, GRAM, 0.0), (SYMBOL_USE, SYMBOL, unknown)):
+        for use, kind, absent, width in ((GRAM_USE, GRAM, 0.0, np.float32), (SYMBOL_USE, SYMBOL, unknown, np.float64)):
             table = group.filter(pa.array(kinds == kind))
-            keys, values = summed(unpacked(table["a"], np.uint64), unpacked(table["b"], np.float64))
+            keys, values = summed(unpacked(table["a"], np.uint64), unpacked(table["b"], width))
             values = np.r_[values, absent]
             asked = group.filter(pa.array(kinds == use))
             for k in range(len(asked)):
@@ -354,9 +376,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     rows, at = rows[at >= 0], at[at >= 0]
                 texts, which = np.unique(rows, return_inverse=True)
                 known = np.bincount(which, at >= 0, len(texts)) if use == SYMBOL_USE else np.zeros(len(texts))
-                total_v = np.bincount(which, values[at], len(texts))
-                zero = np.zeros(len(texts))
-                sums = (texts, known.astype(np.uint32), *((zero, total_v) if use == GRAM_USE else (total_v, zero)))
+                total_v, zero = np.bincount(which, values[at], len(texts)), np.zeros(len(texts))
+                base, gain = (zero, total_v) if use == GRAM_USE else (total_v, zero)
+                sums = (texts, known.astype(np.uint32), base, gain.astype(np.float32))
                 out.append(pa.Table.from_arrays([pa.array([SUMS], pa.int32()), part["run"], *[pa.array([x.tobytes()], pa.binary()) for x in sums],
                                                  pa.nulls(1, group["ids"].type)], [c for c in _PACKED if c != "bucket"]))
         return pa.concat_tables([t.cast(out[0].schema) for t in out])
@@ -366,7 +388,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         kinds = group["kind"].to_numpy()
         own, more = group.filter(pa.array(kinds == RUN)), group.filter(pa.array(kinds == SUMS))
         tokens, known, base, gain = (unpacked(own[c], t) for c, t in zip("abcd", (np.int64, np.int64, np.float64, np.float64), strict=True))
-        rows, seen, log_rare, gains = (unpacked(more[c], t) for c, t in zip("abcd", (np.uint32, np.uint32, np.float64, np.float64), strict=True))
+        rows, seen, log_rare, gains = (unpacked(more[c], t) for c, t in zip("abcd", (np.uint32, np.uint32, np.float64, np.float32), strict=True))
         known = known + np.bincount(rows, seen, len(tokens)).astype(np.int64)
         base = (base + np.bincount(rows, log_rare, len(tokens))) / np.log(10)
         score = base + (gain + np.bincount(rows, gains, len(tokens))) / np.log(10)
