@@ -40,11 +40,11 @@ MU = 1.0
 DEPTH = 2
 HELD_OUT = (5, 1)
 #: Keys that a broadcast may hold (16 bytes each): symbols of the root, grams of the tree.
-FREQUENT = (1 << 17, 1 << 20)
+FREQUENT = (1 << 17, 1 << 17)
 #: 64-bit words of a broadcast filter, which spares sending most absent grams while it isn't full.
 FILTER_WORDS = 1 << 21
 #: Tokens that a task holds at a time, and training tokens for each bucket.
-RUN_TOKENS = 2_500_000
+RUN_TOKENS = 1_500_000
 BUCKET_TOKENS = 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
