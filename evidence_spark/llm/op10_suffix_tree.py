@@ -235,7 +235,8 @@ def fit_table(train: DataFrame, *, depth: int = DEPTH, mu: float = MU) -> tuple[
     parts = [level.select("key", "c", F.col("lp").alias("v")).limit(0)]
     p = (F.col("c") + F.lit(mu) * F.exp("lp")) / (F.col("size") + F.lit(mu))
     for n in range(2, depth + 2):
-        grams = _gram_counts(train, n, level, _buckets(total)).join(level.select(F.col("key").alias("par"), "lp"), "par").drop("par").join(
+        # stored, so that the shuffle of all uses is gone before the joins
+        grams = stored(_gram_counts(train, n, level, _buckets(total)), "lm-counts").join(level.select(F.col("key").alias("par"), "lp"), "par").drop("par").join(
             level.select(F.col("key").alias("ctx"), F.col("c").alias("size")), "ctx")
         grams = stored(grams.select("key", "ctx", "c", "size", "lp"), "lm-grams")
         states = grams.groupBy("ctx").agg(
