@@ -43,6 +43,32 @@ def test_parse_and_format(spark):
         assert rows[i]["f"] == fmt, PARSE_FORMAT[i]
 
 
+def test_markers_that_overlap(spark):
+    """Markers that share number signs are read as the pattern reads them."""
+    import re
+
+    ws = "[ \\s\x1c-\x1f]*"
+    pattern = re.compile(f"{B}{ws}(.*?){ws}{E}", re.S)
+    texts = [f"{B}{E[2:]} {B} x {E}", f"{B}{E[1:]} {B} x {E}", f"{E}{B[2:]} x {E}", f"{E}{B[1:]} x {E}", f"{B} x {E}{E[2:]}", f"{B} x {E}{E[1:]}",
+             f"{B}{B[2:]} x {E}", f"{E}{B}x{E}", f"{B}x{E}{B}", f"{B} x{E}{B} {E} \n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", parse_quotes("t").alias("q"), format_score("t").alias("f")).collect():
+        t = texts[r["i"]]
+        assert r["q"] == [q for q in pattern.findall(t) if q], t
+        assert r["f"] == float(bool(pattern.search(t)) and not pattern.sub("", t).strip()), t
+
+
+def test_blocks_never_closed_are_linear(spark):
+    """Begin markers without an end are not each tried to the end of the text (before: minutes)."""
+    import time
+
+    t = time.monotonic()
+    text = F.concat(F.lit(f"{B} a {E}"), F.repeat(F.lit(f"{B} some words of a line\n"), 40_000))
+    row = spark.range(1).select(F.size(parse_quotes(text)).alias("n"), format_score(text).alias("f")).first()
+    assert (row["n"], row["f"]) == (1, 0.0)
+    assert time.monotonic() - t < 30
+
+
 def test_tokenize_and_key(spark):
     df = spark.createDataFrame([("  Alpha\tBETA  gamma\x1fdelta ",), ("",), ("   ",)], "t string")
     got = [r[0] for r in df.select(tokenize("t")).collect()]
