@@ -113,3 +113,16 @@ def test_outcomes_counted_while_written(spark):
     for r in ev.outcomes.collect():
         counts[r["status"]] += r["n"]
     assert ev.counts == counts == {"scored": 1, "judge_error": 1, "crash": 1, "skipped": 1}
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_dir):
+    """No task holds a whole bucket: one bucket here, of many times the advisory partition size."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        rows = spark.range(0, 40_000, 1, 8).selectExpr("concat('u', id) AS uuid", "'m' AS model", "rand(1) AS recall")
+        kt.write_table(rows, f"{tmp_dir}/t", buckets=1)
+    finally:
+        spark.conf.set(key, old)
+    assert len(_files(f"{tmp_dir}/t")) > 1 and kt.read_table(spark, f"{tmp_dir}/t", SCHEMA).select("uuid").distinct().count() == 40_000
