@@ -140,3 +140,26 @@ def test_no_row_at_a_time_python_and_no_shuffle(spark):
     df = df.withColumn("g", parse_quotes("gold")).withColumn("r", parse_quotes("resp"))
     plan = bm.add_bm25(df, "g", "r")._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "Exchange" not in plan
+
+
+def test_token_joins_move_texts_not_tokens(spark):
+    """Every exchange of quotes carries whole quotes; tokens meet within the parts (before: up to nine exchanges of tokens)."""
+    from evidence_spark.operators import token_join
+
+    rows = [(f"u{k}", "m", ["a b c", "b d"], ["a b", "d e"]) for k in range(20)]
+    df = spark.createDataFrame(rows, "uuid string, model string, gold_quotes array<string>, resp_quotes array<string>")
+    gold, samples = df.select("uuid", "gold_quotes"), df.select("uuid", "model", "resp_quotes")
+    for out in (token_join.bm25_join(samples, gold), token_join.lexical_judge_join(samples, gold)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "token" in x]
+        assert out.count() == 20
+
+
+def test_contained_quote_meets_at_any_place_of_the_larger_one(spark):
+    """The rarest token of a short golden quote may be a frequent one of a long response quote."""
+    from evidence_spark.operators import token_join
+
+    gold = spark.createDataFrame([("u", ["a", "a b c d", "a b c e", "a f g h"])], "uuid string, gold_quotes array<string>")
+    samples = spark.createDataFrame([("u", "m", ["a x1 x2 x3 x4 x5 x6", "zz"])], "uuid string, model string, resp_quotes array<string>")
+    row = token_join.lexical_judge_join(samples, gold).first()
+    assert (row["recall"], row["precision"]) == (0.25, 0.5)
