@@ -129,3 +129,29 @@ def test_last_wins_aggregates_no_texts(spark, tmp_dir):
     plan = out._jdf.queryExecution().executedPlan().toString()
     final = plan.split("Initial Plan")[0]
     assert not [x for x in final.split("\n") if "Aggregate" in x and "v#" in x]
+
+
+def test_scoring_state_is_native_and_holds_no_text(spark, tmp_dir):
+    """The state of a pair is a streaming aggregate of places and numbers: no Python call and no text for a key."""
+    log, said = f"{tmp_dir}/log", f"{tmp_dir}/said"
+    os.makedirs(log), os.makedirs(said)
+    testset = spark.createDataFrame(GOLD, "uuid string, quotes string")
+    answers = spark.readStream.schema(ingest.LOG_SCHEMA).parquet(log)
+    judgments = spark.readStream.schema(JUDGED).parquet(said)
+    for j in (judgments, None):
+        pairs = keyed.ready_pairs(answers, j, testset)
+        plan = pairs._jdf.queryExecution().analyzed().toString()
+        assert "Aggregate" in plan and "FlatMapGroups" not in plan and "TransformWithState" not in plan
+        assert pairs.columns == ["uuid", "model", "batch_id", "file", "pos", "recall", "precision"]
+
+
+def test_a_scored_pair_is_not_scored_again(spark, tmp_dir):
+    """Later answers and judgments of a scored pair, and a batch of one answer file twice, change nothing."""
+    log, scores, said, ckpt = (f"{tmp_dir}/{n}" for n in ("log", "scores", "said", "ckpt"))
+    testset = spark.createDataFrame(GOLD, "uuid string, quotes string")
+    for n, (answer, recall) in enumerate([("alpha beta 0", 0.5), ("other", 1.0), ("alpha", None)]):
+        _append(spark, log, n, [("f", 0, "u0", "m", quotes(answer)), ("f", 1, "u0", "m", quotes(answer))])
+        spark.createDataFrame([("u0", "m", recall, 0.5), ("u0", "m", 0.25, 0.5)], JUDGED).write.mode("append").parquet(said)
+        keyed.start_scoring(spark, testset, log, scores, ckpt, judgment_dir=said).awaitTermination()
+        got = [tuple(r) for r in spark.read.parquet(scores).select("uuid", "model", "recall").collect()]
+        assert got == [("u0", "m", 0.5)]
