@@ -108,7 +108,8 @@ def evaluate(spark: SparkSession, testset: DataFrame, inferences: DataFrame, jud
     cands = sc.candidate_documents(testset, inferences, uuid)
     chosen = sc.select_models(spark, sc.available_models(cands, inferences), models)
     samples = sc.evaluation_samples(testset, inferences, prior_scores, models=chosen if models else None, uuid=uuid,
-                                    force=force, judgments=judgments if judge == "table" else None, keep_skipped=True)
+                                    force=force, judgments=judgments if judge == "table" else None, keep_skipped=True,
+                                    parsed=not callable(judge))
     if callable(judge):
         path = judgments_path or scratch_path(spark, "judgments")
         staged = scratch_path(spark, "samples")

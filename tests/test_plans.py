@@ -4,6 +4,7 @@ joins where promised, no all-pairs joins, pruning reaches the scan."""
 from conftest import SF_SMALL
 
 from evidence_spark.operators import curate as cu
+from evidence_spark.operators import report as rp
 from evidence_spark.operators import scoring as sc
 from evidence_spark.plans import jobs
 from evidence_spark.plans.fixtures import fixture
@@ -43,6 +44,21 @@ def test_scoring_moves_each_table_once(spark, tmp_dir):
     assert p.count("Exchange hashpartitioning(uuid") == 6  # four tables, two of them first gathered by (uuid, model)
 
 
+def test_a_summary_without_texts_moves_none(spark, tmp_dir):
+    """Quotes are counted and formats checked before the join: no text or quote array is joined or shuffled."""
+    tables = {}
+    for name in ("fx_testset", "fx_inf", "fx_judgments"):
+        fixture(spark, SF_SMALL, name).write.parquet(f"{tmp_dir}/{name}")
+        tables[name] = spark.read.parquet(f"{tmp_dir}/{name}")
+    samples = sc.evaluation_samples(tables["fx_testset"], tables["fx_inf"], judgments=tables["fx_judgments"], parsed=True)
+    summary = rp.format_summary(sc.score_samples(samples))
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("Join Inner")]
+    assert "format_score" in above and not [c for c in ("system_response", "ground_truth", "gold_quotes#", "resp_quotes#") if c in above]
+    plain = sc.evaluation_samples(tables["fx_testset"], tables["fx_inf"], judgments=tables["fx_judgments"])
+    assert sorted(map(str, sc.score_samples(samples).collect())) == sorted(map(str, sc.score_samples(plain).collect()))
+
+
 def test_novelty_splits_a_hot_question(spark, tmp_dir):
     spark.range(40_000).selectExpr("if(id % 2 = 0, 'hot', concat('q', id)) AS question", "repeat('c', 200) AS context",
                                    "'train' AS split").repartition(8).write.parquet(f"{tmp_dir}/corpus")
