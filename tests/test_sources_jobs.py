@@ -199,3 +199,14 @@ def test_a_model_is_read_from_a_folder_of_parts(spark, tmp_dir):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", with_max)
     assert set(files) == set(_FOLDERS.values()) and len(files) == 7 and min(files.values()) > 1
+
+
+def test_attached_answers_are_moved_once(spark, tmp_dir):
+    """Of two answers the last counts, unknown uuids are left out, and the texts are joined once, to their winners."""
+    rows = [("f", 0, "u1", "m", "old"), ("f", 1, "u1", "m", "new"), ("f", 2, "zz", "m", "q"), ("g", 0, "u2", "m", None), ("g", 1, None, "m", "q")]
+    spark.createDataFrame(rows, inf.EMPTY_LONG).write.parquet(f"{tmp_dir}/long")
+    spark.createDataFrame([("u1",), ("u2",), (None,)], "uuid string").write.parquet(f"{tmp_dir}/testset")
+    out = inf.attach_inferences(spark.read.parquet(f"{tmp_dir}/testset"), None, spark.read.parquet(f"{tmp_dir}/long"))
+    assert sorted(map(tuple, out.collect())) == [("u1", "m", "new"), ("u2", "m", None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftSemi")
