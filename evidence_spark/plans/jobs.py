@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evidence_spark.operators import curate as cu
 from evidence_spark.operators import report as rp
 from evidence_spark.operators import scoring as sc
-from evidence_spark.operators.judge import callable_judge
+from evidence_spark.operators.judge import ask_judge, staged_pairs, with_answers
 from evidence_spark.session import scratch_path
 from evidence_spark.sources import corpus as src
 from evidence_spark.sources import inferences as inf_src
@@ -112,11 +112,10 @@ def evaluate(spark: SparkSession, testset: DataFrame, inferences: DataFrame, jud
                                     parsed=not callable(judge))
     if callable(judge):
         path = judgments_path or scratch_path(spark, "judgments")
-        staged = scratch_path(spark, "samples")
-        samples.write.parquet(staged)
-        samples = spark.read.schema(samples.schema).parquet(staged)
-        asked = callable_judge(samples.where(~F.col("skipped")), judge, path, parallelism, judge_chunks, **(judge_options or {}))
-        samples = asked.unionByName(samples.where(F.col("skipped")), allowMissingColumns=True)
+        # texts are stored once; what scoring takes from them is computed where they are read, and answers meet numbers
+        samples = staged_pairs(samples.select("uuid", "model", "ground_truth", "system_response", "skipped"), judge_chunks)
+        answers = ask_judge(samples.where(~F.col("skipped")), judge, path, parallelism, judge_chunks, **(judge_options or {}))
+        samples = with_answers(sc.measured_samples(samples.drop("chunk")), answers)
     elif judge == "table" and judgments is None:
         raise ValueError("judge='table' needs a judgments DataFrame")
     results = sc.score_samples(samples, judge=judge if isinstance(judge, str) else "table")

@@ -7,6 +7,7 @@ import pytest
 from evidence_spark.operators import chat as ch
 from evidence_spark.operators import scoring as sc
 from evidence_spark.operators.judge import callable_judge, saved_judgments
+from evidence_spark.plans import jobs
 from evidence_spark.sources import inferences as inf
 from evidence_spark.streaming import ingest
 
@@ -157,3 +158,34 @@ def test_folders_of_lines_are_streamed_in_parts(spark, tmp_dir):
     got = {(r["uuid"], r["model"]): r["quotes"] for r in ingest.current_inferences(spark, log).collect()}
     assert got == {("u0", "m2"): "whole", **{(f"u{i}", "m 1.x"): f"a\n{i}" for i in range(40)}}
     assert sorted(os.listdir(log)) == ["batch_id=0", "batch_id=1"]
+
+
+def test_texts_of_a_called_judge_are_stored_once_and_meet_no_join(spark, tmp_dir):
+    """The evaluation with a called judge: one table of texts, and only numbers beside the answers."""
+    import glob
+
+    from evidence_spark.operators.judge import ask_judge, staged_pairs, with_answers
+    from evidence_spark.session import ensure_checkpoint_dir
+
+    def make_judge():
+        return lambda gt, resp: (len(resp) % 3 / 2, len(gt) % 3 / 2)
+
+    q = "##begin_quote## %s ##end_quote##"
+    ts = spark.createDataFrame([(f"u{i}", q % f"a b {i}") for i in range(30)] + [("none", None)], "uuid string, quotes string")
+    inf = spark.createDataFrame([(f"u{i}", m, q % f"{m} a {i}") for i in range(30) for m in ("m1", "m2")] + [("u1", "m2", "twice"), ("none", "m1", "x")],
+                                "uuid string, model string, quotes string")
+    prior = spark.createDataFrame([("u0", "m1", 1.0, 1.0, 1.0, 1.0, 1.0)], "uuid string, model string, " + ", ".join(f"{c} double" for c in sc.SCORE_COLUMNS))
+    at = f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/*"
+    before = set(glob.glob(at))
+    ev = jobs.evaluate(spark, ts, inf, judge=make_judge, prior_scores=prior, parallelism=2, judge_chunks=3)
+    assert sorted(p.split("/")[-1].rsplit("-", 1)[0] for p in set(glob.glob(at)) - before) == ["judge-pairs", "judgments", "results"]
+    samples = sc.evaluation_samples(ts, inf, prior)
+    judged = callable_judge(samples, make_judge, f"{tmp_dir}/a", parallelism=2, chunks=3)
+    want = sorted(map(str, sc.score_samples(judged).collect()))
+    assert sorted(map(str, ev.results.where("status <> 'skipped'").collect())) == want and len(want) == 60
+    assert ev.counts["skipped"] == 1
+    pairs = staged_pairs(samples.select("uuid", "model", "ground_truth", "system_response"), 3)
+    answers = ask_judge(pairs, make_judge, f"{tmp_dir}/a", chunks=3)  # all answered: nothing is asked
+    joined = with_answers(sc.measured_samples(pairs), answers)
+    assert not {"ground_truth", "system_response", "gold_quotes", "resp_quotes"} & set(joined.columns)
+    assert sorted(map(str, sc.score_samples(joined).collect())) == want
