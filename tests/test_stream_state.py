@@ -155,3 +155,37 @@ def test_a_scored_pair_is_not_scored_again(spark, tmp_dir):
         keyed.start_scoring(spark, testset, log, scores, ckpt, judgment_dir=said).awaitTermination()
         got = [tuple(r) for r in spark.read.parquet(scores).select("uuid", "model", "recall").collect()]
         assert got == [("u0", "m", 0.5)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_earlier_ones_equal_last_wins(spark, tmp_dir):
+    """No, few and many overridden rows, in few and in many files: the rows of last_wins, and answers
+    are shuffled only when they are many, then only those of the files they stand in."""
+    from evidence_spark.operators.keyed import without_earlier
+
+    schema = "batch_id long, file string, pos long, uuid string, model string, quotes string"
+    rows = [(b, f"f{f}", p, f"u{p % 7}" if p != 5 else None, f"m{f}" if f else None, f"{b} {f} {p}") for b in range(3) for f in range(3) for p in range(9) if b < 2 or f == 1]
+    for n, some in enumerate(([r for r in rows if r[0] == 0 and r[2] < 7], rows)):
+        path = f"{tmp_dir}/{n}"
+        spark.createDataFrame(some, schema).repartition(3).write.parquet(path)
+        log = spark.read.schema(schema).parquet(path)
+        keys, order = ["uuid", "model"], ["batch_id", "file", "pos"]
+        want = sorted(map(str, last_wins(log, keys, order, unique=True).select(*log.columns).collect()))
+        for limit in (1000, 7, 0):
+            got = without_earlier(log, keys, order, rows=limit)
+            assert sorted(map(str, got.collect())) == want
+            if n == 0 or limit == 1000:
+                assert "Exchange hashpartitioning" not in _plan(got)
+    assert len(want) == 21
+
+
+def test_answers_of_unknown_documents_are_left_out_without_a_shuffle(spark):
+    answers = spark.createDataFrame([("u1", "a"), ("u1", "b"), ("nobody", "c"), (None, "d"), ("u2", None)], "uuid string, quotes string")
+    testset = spark.createDataFrame([("u1",), ("u2",), (None,)], "uuid string")
+    for rows in (answers, answers.where("uuid <> 'nobody'")):
+        got = ingest.of_known(rows, testset)
+        assert sorted(map(str, got.collect())) == sorted(map(str, answers.where("uuid IN ('u1', 'u2')").collect()))
+        assert "hashpartitioning" not in _plan(got)
