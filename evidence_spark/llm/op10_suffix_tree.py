@@ -31,8 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence_spark.llm.common import id_crc, stored
+from evidence_spark.llm.common import id_crc, removed, stored
 from evidence_spark.llm.words import chunks, mix64, word_hashes
+from evidence_spark.session import scratch_path
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 MIN_COUNT = 2
@@ -228,6 +229,7 @@ def fit_table(train: DataFrame, *, depth: int = DEPTH, mu: float = MU) -> tuple[
     the token that ends it, and in a second row of the one that follows it, both with the
     gram's count c; vocabulary: (key, c, v), v the symbol's at the root.
     """
+    spark = train.sparkSession
     vocabulary, total, distinct = _vocabulary(train)
     vocabulary = vocabulary.withColumn("v", F.log((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1))))
     # each kept gram: its count, and ln P of its last symbol after the ones before it in the tree so far
@@ -235,9 +237,13 @@ def fit_table(train: DataFrame, *, depth: int = DEPTH, mu: float = MU) -> tuple[
     parts = [level.select("key", "c", F.col("lp").alias("v")).limit(0)]
     p = (F.col("c") + F.lit(mu) * F.exp("lp")) / (F.col("size") + F.lit(mu))
     for n in range(2, depth + 2):
-        grams = _gram_counts(train, n, level, _buckets(total)).join(level.select(F.col("key").alias("par"), "lp"), "par").drop("par").join(
+        # counts are stored before they are joined, so their shuffle and those of the joins don't lie on disk together
+        counts_at, grams_at = scratch_path(spark, "lm-counts"), scratch_path(spark, "lm-grams")
+        counts = stored(_gram_counts(train, n, level, _buckets(total)), "lm-counts", counts_at)
+        grams = counts.join(level.select(F.col("key").alias("par"), "lp"), "par").drop("par").join(
             level.select(F.col("key").alias("ctx"), F.col("c").alias("size")), "ctx")
-        grams = stored(grams.select("key", "ctx", "c", "size", "lp"), "lm-grams")
+        grams = stored(grams.select("key", "ctx", "c", "size", "lp"), "lm-grams", grams_at)
+        removed(spark, counts_at)
         states = grams.groupBy("ctx").agg(
             F.max("size").alias("size"), F.count(F.lit(1)).alias("number"), F.greatest(1 - F.sum(p), F.lit(1e-12)).alias("left"),
             F.greatest(1 - F.sum(F.exp("lp")), F.lit(1e-12)).alias("left_q"), F.sum(p * (F.log(p) - F.col("lp"))).alias("kl"))
@@ -252,6 +258,7 @@ def fit_table(train: DataFrame, *, depth: int = DEPTH, mu: float = MU) -> tuple[
             parts.append(level.where("v IS NOT NULL").select("key", "c", "v"))
         else:
             parts.append(stored(level.where("v IS NOT NULL").select("key", "c", "v"), "lm-level"))
+        removed(spark, grams_at)
         parts.append(states.select(F.col("ctx").alias("key"), F.col("size").alias("c"), F.col("rest").alias("v")))
         if n <= depth and level.isEmpty():
             break

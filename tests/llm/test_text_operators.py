@@ -466,3 +466,19 @@ def test_a_rare_passage_of_a_large_table_is_in_the_model(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = next(r for r in lm.score_texts(docs).collect() if r["doc_id"] == ids[True][0])
     assert got["train_tokens"] > 1_000_000 and got["score"] > got["base_score"] + 2 * 30
+
+
+def test_suffix_tree_leaves_no_gram_tables_behind(spark):
+    """Counts and grams of a level are removed once the next table is written: disk holds one level's tables at a time."""
+    import glob
+
+    from evidence_spark.llm.op10_suffix_tree import score_texts
+    from evidence_spark.session import ensure_checkpoint_dir
+
+    at = f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/lm-*"
+    before = set(glob.glob(at))
+    docs = spark.createDataFrame([(i, "a b c d a b c d a b") for i in range(40)], "doc_id long, text string")
+    got = score_texts(docs).collect()
+    left = [p.split("/")[-1] for p in set(glob.glob(at)) - before]
+    assert len(got) == 40 and {r["n_tokens"] for r in got} == {11}
+    assert [p for p in left if p.startswith("lm-level")] and not [p for p in left if p.startswith(("lm-counts", "lm-grams"))]
