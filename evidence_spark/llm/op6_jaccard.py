@@ -13,11 +13,13 @@ hashes, which tells different shingles apart where one bit would not; a few spar
 make up for empty ones. The join is on (band, place, word).
 
 Sets that are equal are one node from the start. Buckets of equal words do not emit their
-pairs: first every member is held against the bucket's smallest node only; links found so
-are merged into components, and only members of different components of a bucket are then
-compared with each other, in blocks, sketch against sketch. Candidates whose sketches allow
-a link are verified on the whole sets. So no link between different components is lost, and
-a group of near copies costs about one comparison a member.
+pairs. First every set is held against a few others, the smallest nodes of most of its buckets;
+links found so are merged into components. Then members of different components of a bucket
+are compared with each other, in blocks, sketch against sketch, and a piece of work hands on
+a few candidates of each member only: the smallest and the likest ones. Only buckets with a candidate not handed on
+are compared once more, with the components grown by then, and now hand on all that are left.
+Candidates are verified on the whole sets. So no link between different components is lost,
+and a group of near copies costs about one verification a member.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidence_spark.llm.common import small_side, stored
+from evidence_spark.llm.common import removed, small_side, stored
 from evidence_spark.llm.components import components
 from evidence_spark.llm.words import mix64, shingles, texts_words
+from evidence_spark.session import scratch_path
 
 WIDTH = 3
 PERCENT = 90
@@ -44,6 +47,13 @@ SLICE = 512
 #: Words of the short sketch that bucket members carry.
 SHORT_WORDS = 16
 SHORT = [f"f{k}" for k in range(SHORT_WORDS)]
+#: Smallest nodes of its buckets that a node is held against first.
+HUBS = 3
+#: Words of a whole sketch that SHORT_WORDS stand for: sketches of more words, whose short one would
+#: be full, are folded to a multiple of SHORT_WORDS besides.
+FOLD_WORDS = 224
+#: Pairs whose longer folds a worker compares at a time.
+FOLD_PAIRS = 4096
 
 
 def max_difference(total: int, percent: int = PERCENT) -> int:
@@ -146,17 +156,44 @@ def shingle_sets(ids: DataFrame, width: int, percent: int) -> DataFrame:
         run, f"id {kind}, mark long, n_shingles long, node long, sketches array<struct<band:int,words:array<long>>>")
 
 
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """XOR of every size-th word: differing bits are no more than those of the words."""
+    out = np.zeros(-(-max(len(words), 1) // size) * size, dtype=np.uint64)
+    out[:len(words)] = words
+    return np.bitwise_xor.reduce(out.reshape(-1, size), axis=0)
+
+
+def folds(words: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+    """Of each whole sketch: its fold to SHORT_WORDS, and the longer fold of a large one (else empty)."""
+    flat, cuts = words.flatten().to_numpy().view(np.uint64), words.offsets.to_numpy() - words.offsets[0].as_py()
+    short, more, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [0]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        size = SHORT_WORDS * -(-(hi - lo) // FOLD_WORDS)
+        short.append(folded(flat[lo:hi], SHORT_WORDS))
+        if size > SHORT_WORDS:
+            more.append(folded(flat[lo:hi], size))
+        ends.append(ends[-1] + (size if size > SHORT_WORDS else 0))
+    short, more = (pa.array(np.concatenate(x).view(np.int64)) for x in (short, more))
+    return (pa.ListArray.from_arrays(pa.array(np.arange(len(cuts)) * SHORT_WORDS, pa.int32()), short),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), more))
+
+
 def parity_sketches(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, band, n, words) of (node, t) rows: the parity sketches of both bands."""
+    """(node, band, n, words, short, more) of (node, t) rows: the parity sketches of both bands and their folds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 sizes, _, sketches = set_sketches(part.column(1), width, percent, sketch)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), sketches], ["node", "n", "sketches"])
+                both = sketches.flatten()
+                words = both.field("words")
+                whole = pa.StructArray.from_arrays([both.field("band"), words, *folds(words)], ["band", "words", "short", "more"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(sketches.offsets, whole)],
+                                                 ["node", "n", "sketches"])
 
-    rows = texts.select("node", "t").mapInArrow(run, "node long, n long, sketches array<struct<band:int,words:array<long>>>")
-    return rows.select("node", "n", F.explode("sketches").alias("s")).select("node", "s.band", "n", "s.words")
+    rows = texts.select("node", "t").mapInArrow(
+        run, "node long, n long, sketches array<struct<band:int,words:array<long>,short:array<long>,more:array<long>>>")
+    return rows.select("node", "n", F.explode("sketches").alias("s")).select("node", "s.band", "n", "s.words", "s.short", "s.more")
 
 
 def first_rows(x: np.ndarray) -> np.ndarray:
@@ -300,16 +337,31 @@ def verified(pairs: DataFrame, near: DataFrame, feats: DataFrame, ids: DataFrame
     return stored(verify_texts(both, width, percent), "verified-links")
 
 
-def bucket_pairs(table: pa.Table, percent: int) -> pa.Table:
+def fold_bits(more: pa.ListArray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of the longer folds of the rows x and y, in pairs (0 where they have none)."""
+    flat, cuts = more.flatten().to_numpy().view(np.uint64), more.offsets.to_numpy() - more.offsets[0].as_py()
+    size, bits = np.diff(cuts)[x], np.zeros(len(x), dtype=np.int64)
+    for n in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == n)
+        for lo in range(0, len(rows), FOLD_PAIRS):
+            part = rows[lo: lo + FOLD_PAIRS]
+            left, right = (flat[cuts[side[part]][:, None] + np.arange(n)] for side in (x, y))
+            bits[part] = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+    return bits
+
+
+def bucket_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (band, a, b) of the rows of each (key, i, j) that have different roots, and whose
-    short sketches allow a link. Rows: key, i, j, own, band, node, n, root, f0, f1, ..."""
+    folded sketches allow a link; a key of each pair, and the share of differing bits.
+    Rows: key, i, j, own, band, node, n, root, f0, f1, ..., and more, if there are longer folds."""
     get = {c: table[c].to_numpy() for c in ("key", "i", "j", "own", "band", "node", "n", "root")}
     order = np.lexsort((get["j"], get["i"], get["key"]))
     get = {c: v[order] for c, v in get.items()}
     short = np.stack([table[f"f{k}"].to_numpy().view(np.uint64)[order] for k in range(SHORT_WORDS)], axis=1)
+    more = table["more"].combine_chunks() if "more" in table.column_names else None
     new = np.r_[True, (np.diff(get["key"]) != 0) | (np.diff(get["i"]) != 0) | (np.diff(get["j"]) != 0)]
     end = np.r_[np.flatnonzero(new)[1:], len(order)][np.cumsum(new) - 1]
-    found = []
+    found, keys, apart_by = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     at = np.arange(len(order))
     step = 1
     while True:
@@ -322,34 +374,98 @@ def bucket_pairs(table: pa.Table, percent: int) -> pa.Table:
         apart = get["root"][x] != get["root"][y]
         x, y = x[apart], y[apart]
         bits = np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64)
-        ok = bits * (100 + percent) <= (get["n"][x] + get["n"][y]) * (100 - percent)
-        x, y = x[ok], y[ok]
+        both = get["n"][x] + get["n"][y]
+        ok = bits * (100 + percent) <= both * (100 - percent)
+        x, y, bits, both = x[ok], y[ok], bits[ok], both[ok]
+        if more is not None and len(x):
+            bits = np.maximum(bits, fold_bits(more, order[x], order[y]))
+            ok = bits * (100 + percent) <= both * (100 - percent)
+            x, y, bits, both = x[ok], y[ok], bits[ok], both[ok]
         if len(x):
             a, b = np.minimum(get["node"][x], get["node"][y]), np.maximum(get["node"][x], get["node"][y])
             found.append(np.stack([get["band"][x].astype(np.int64), a, b], axis=1))
+            keys.append(get["key"][x])
+            apart_by.append(bits / both)
         step += 1
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-    return pa.table({"band": pairs[:, 0].astype(np.int32), "a": pairs[:, 1], "b": pairs[:, 2]})
+    pairs, first = np.unique(np.concatenate(found), axis=0, return_index=True)
+    return pairs, np.concatenate(keys)[first], np.concatenate(apart_by)[first]
 
 
-def cross_candidates(members: DataFrame, percent: int, block: int = BLOCK, unit_rows: int = 10_000) -> DataFrame:
-    """Distinct (band, a, b) of members (key, band, node, n, root, f0, f1, ...) that share a key, have
-    different roots, and whose short sketches allow a link.
+def leading(pairs: np.ndarray, apart_by: np.ndarray) -> np.ndarray:
+    """Which of the distinct (band, a, b) are the one with the smallest a of their b, or differ least of
+    those of their a or b: at most three a node of a band."""
+    keep = np.zeros(len(pairs), dtype=bool)
+    band, a, b = pairs.T
+    for node, other, rank in ((b, a, a), (b, a, apart_by), (a, b, apart_by)):
+        order = np.lexsort((other, rank, node, band))
+        new = np.r_[True, (np.diff(node[order]) != 0) | (np.diff(band[order]) != 0)] if len(order) else np.zeros(0, bool)
+        keep[order[new]] = True
+    return keep
+
+
+def compared(members: DataFrame, percent: int, lead: bool, block: int = BLOCK, unit_rows: int = 2_500) -> DataFrame:
+    """(band, a, b, key) of members (key, band, node, n, root, f0, f1, ..., and perhaps more) that share
+    a key, have different roots, and whose folded sketches allow a link; key is null.
+
+    With ``lead``, a piece of work hands on a few candidates of each member (see :func:`leading`),
+    and rows of a key alone name buckets that hold the candidates not handed on.
 
     The members of a key are dealt into blocks by hash of the node, and each pair of blocks
     is a piece of work of its own, so a frequent word's bucket is split over many tasks.
-    Keys of one block are put together into units of about ``unit_rows`` rows.
+    Keys of one block are put together into units of about ``unit_rows`` rows, those with the same
+    smallest root if possible, as the same members meet in them.
     """
-    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).select("key", F.ceil(F.col("m") / block).cast("int").alias("nb"))
+    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"))
+    keys = keys.withColumn("nb", F.ceil(F.col("m") / block).cast("int"))
+    parts = keys.where("nb = 1").groupBy("lo").agg(F.ceil(F.sum("m") / unit_rows).alias("parts"))
+    keys = keys.join(parts, "lo", "left").select("key", "lo", "nb", "parts")
     units = max(1, members.count() // unit_rows)
     rows = members.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    unit = F.when(F.col("nb") == 1, F.pmod(F.col("key"), F.lit(units))).otherwise(F.xxhash64("key", "i", "j"))
-    cols = ["key", "i", "j", "own", "band", "node", "n", "root", *SHORT]
-    found = rows.select(unit.alias("unit"), *cols).groupBy("unit").applyInArrow(
-        lambda t: bucket_pairs(t, percent), "band int, a long, b long")
-    return found.distinct()
+    unit = F.when(F.col("nb") > 1, F.xxhash64("key", "i", "j")).when(
+        F.col("parts") > 1, F.xxhash64("lo", F.pmod("key", "parts"))).otherwise(F.pmod(F.xxhash64("lo"), F.lit(units)))
+    cols = ["key", "i", "j", "own", "band", "node", "n", "root", *SHORT, *(["more"] if "more" in members.columns else [])]
+
+    def run(t: pa.Table) -> pa.Table:
+        pairs, key, apart_by = bucket_pairs(t, percent)
+        on = leading(pairs, apart_by) if lead else np.ones(len(pairs), dtype=bool)
+        left = np.unique(key[~on])
+        band, a, b = (pa.concat_arrays([pa.array(x, kind), pa.nulls(len(left), kind)])
+                      for x, kind in zip(pairs[on].T, (pa.int32(), pa.int64(), pa.int64()), strict=True))
+        return pa.table({"band": band, "a": a, "b": b, "key": pa.concat_arrays([pa.nulls(int(on.sum()), pa.int64()), pa.array(left)])})
+
+    return rows.select(unit.alias("unit"), *cols).groupBy("unit").applyInArrow(run, "band int, a long, b long, key long").distinct()
+
+
+def cross_candidates(members: DataFrame, percent: int, block: int = BLOCK, unit_rows: int = 2_500) -> DataFrame:
+    """All distinct (band, a, b) that :func:`compared` finds."""
+    return compared(members, percent, False, block, unit_rows).select("band", "a", "b")
+
+
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """(band, a, b) of (key, node, band, hub) rows: each node b of a band with the hubs a of most of its
+    buckets (the smallest, where as many), at most HUBS of them."""
+    hubs = shared.where("node <> hub").groupBy("band", "node", "hub").agg(F.count(F.lit(1)).alias("m"))
+    order = Window.partitionBy("band", "node").orderBy(F.desc("m"), "hub")
+    best = hubs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS)
+    return best.select("band", F.col("hub").alias("a"), F.col("node").alias("b"))
+
+
+def mixed_keys(rooted: DataFrame) -> DataFrame:
+    """Keys of the (key, root, ...) rows that have more than one root."""
+    return rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+
+
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The (node, ...) rows with their roots; a node without one is its own."""
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def joined_roots(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(node, root) of the (node, root) components joined by more (a, b) links."""
+    edges = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stored(components(edges.unionByName(links)), name)
 
 
 def link_roots(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -364,21 +480,24 @@ def link_roots(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     shared = stored(members.groupBy("key", "node", "band").agg(F.min("hub").alias("hub")), "bucket-members")
     texts = texts_of(shared.select("node").distinct(), feats, ids)
     near = stored(parity_sketches(texts, width, percent), "near-sketches")
-    star = shared.where("node <> hub").select("band", F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(star, near, feats, ids, width, percent)
+    links = verified(star_pairs(shared), near, feats, ids, width, percent)
     roots = stored(components(links), "star-roots")
-    rooted = shared.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    # the short sketch folds the whole one: its differing bits are no more
-    def fold(k: int) -> Column:
-        part = F.filter("words", lambda w, i: i % SHORT_WORDS == k)
-        return F.aggregate(part, F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(w)).alias(f"f{k}")
-
-    members = rooted.join(mixed, "key").join(near.select("node", "band", "n", *map(fold, range(SHORT_WORDS))), ["node", "band"])
-    members = stored(members.select("key", "band", "node", "n", "root", *SHORT), "mixed-members")
-    cross = stored(cross_candidates(members, percent), "cross-candidates")
-    more = verified(cross, near, feats, ids, width, percent)
-    roots = stored(components(links.unionByName(more)), "roots")
+    rooted = with_roots(shared.drop("hub"), roots)
+    members = rooted.join(mixed_keys(rooted), "key").join(near.drop("words"), ["node", "band"])
+    short = [F.col("short")[k].alias(c) for k, c in enumerate(SHORT)]
+    path = scratch_path(docs.sparkSession, "mixed-members")
+    members = stored(members.select("key", "band", "node", "n", "root", *short, "more"), "mixed-members", path)
+    found = stored(compared(members, percent, True), "leading-candidates")
+    first = found.where("key is null").drop("key")
+    roots = joined_roots(roots, verified(first, near, feats, ids, width, percent), "leading-roots")
+    # buckets with candidates not handed on, if they still have members of different components
+    left = found.where("key is not null").select("key").distinct()
+    rooted = with_roots(members.drop("root").join(left, "key"), roots)
+    members = stored(rooted.join(mixed_keys(rooted), "key").select(*members.columns), "left-members")
+    removed(docs.sparkSession, path)
+    if not members.isEmpty():
+        cross = stored(cross_candidates(members, percent).join(first, ["band", "a", "b"], "left_anti"), "cross-candidates")
+        roots = joined_roots(roots, verified(cross, near, feats, ids, width, percent), "roots")
     out = feats.select("id", "mark", "n_shingles", "node").join(roots, "node", "left")
     return out.withColumn("root", F.coalesce("root", "node")).drop("node")
 

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +325,59 @@ def test_blocks_find_the_same_candidates(spark):
     assert whole == split == collections.Counter(want) and want
 
 
+def test_candidates_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """A passage that many texts share, short or long ones: few candidates a text reach the joins."""
+    rng = np.random.default_rng(3)
+
+    def fresh(n):
+        return [f"u{x}" for x in rng.integers(0, 10**12, n)]
+
+    short, long = fresh(60), fresh(400)
+    texts = [" ".join(fresh(25) + short + fresh(25)) for _ in range(150)] + [" ".join(fresh(1200) + long + fresh(1200)) for _ in range(50)]
+    texts += [f"{t} end" for t in texts[::40]] + near_copies(4, 30, 200, 2)
+    rows = list(enumerate(texts))
+    seen = []
+
+    def counted(pairs, near, *rest):
+        seen.append((pairs.count(), near.count()))
+        return verified(pairs, near, *rest)
+
+    verified = jac.verified
+    monkeypatch.setattr(jac, "verified", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jac.jaccard_components(df, width=5, percent=80).collect()
+    assert collections.Counter(tuple(r) for r in got) == collections.Counter(brute_components(rows, 5, 80))
+    assert seen[0][0] <= jac.HUBS * seen[0][1]
+    assert sum(pairs for pairs, _ in seen[1:]) < 300
+
+
+def test_leading_candidates_name_the_buckets_of_the_others(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), 5, int(n), 40, int(n) % 7, *[int(x) for x in rng.integers(0, 4, 4)], *[0] * 12) for k in range(3) for n in rng.permutation(60)[:40]]
+    members = spark.createDataFrame(rows, "key long, band int, node long, n long, root long, " + ", ".join(f"{c} long" for c in jac.SHORT))
+    for block, unit in ((512, 10_000), (8, 20)):
+        every = {tuple(r) for r in jac.cross_candidates(members, 90, block=block, unit_rows=unit).collect()}
+        found = jac.compared(members, 90, True, block=block, unit_rows=unit).collect()
+        first, left = {(r["band"], r["a"], r["b"]) for r in found if r["key"] is None}, {r["key"] for r in found if r["key"] is not None}
+        held = {k: {r[2] for r in rows if r[0] == k} for k in left}
+        assert first < every and all(any(a in h and b in h for h in held.values()) for _, a, b in every - first)
+
+
+def test_folds_never_show_more_bits_than_whole_sketches():
+    rng = np.random.default_rng(6)
+    lists = [rng.integers(-2**63, 2**63 - 1, n) for n in (40, 40, 900, 900, 230, 230)]
+    cuts = np.cumsum([0] + [len(x) for x in lists])
+    words = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(lists)))
+    short, more = jac.folds(words)
+    assert [len(x) for x in short] == [16] * 6 and [len(x) for x in more] == [0, 0, 80, 80, 32, 32]
+    x, y = np.array([0, 2, 4]), np.array([1, 3, 5])
+    bits = jac.fold_bits(more, x, y)
+    for k in range(3):
+        whole = int(np.bitwise_count((lists[x[k]] ^ lists[y[k]]).view(np.uint64)).sum())
+        low = sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(short[int(x[k])].as_py(), short[int(y[k])].as_py(), strict=True))
+        assert low <= whole and bits[k] <= whole and (k == 0 or low <= bits[k])
+
+
 def test_band_and_difference_bounds():
     lows = jac.band_table(90, 5000)
     band = np.searchsorted(lows, np.arange(5001), side="right") - 1
