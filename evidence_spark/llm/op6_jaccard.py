@@ -392,18 +392,18 @@ def bucket_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def leading(pairs: np.ndarray, apart_by: np.ndarray) -> np.ndarray:
-    """Which of the distinct (band, a, b) are the one with the smallest a of their b, or differ least of
-    those of their a or b: at most three a node of a band."""
+    """Which of the distinct (band, a, b) have the smallest a of their b, or differ least of those of
+    their b: at most two a node of a band."""
     keep = np.zeros(len(pairs), dtype=bool)
     band, a, b = pairs.T
-    for node, other, rank in ((b, a, a), (b, a, apart_by), (a, b, apart_by)):
-        order = np.lexsort((other, rank, node, band))
-        new = np.r_[True, (np.diff(node[order]) != 0) | (np.diff(band[order]) != 0)] if len(order) else np.zeros(0, bool)
+    for rank in (a, apart_by):
+        order = np.lexsort((a, rank, b, band))
+        new = np.r_[True, (np.diff(b[order]) != 0) | (np.diff(band[order]) != 0)] if len(order) else np.zeros(0, bool)
         keep[order[new]] = True
     return keep
 
 
-def compared(members: DataFrame, percent: int, lead: bool, block: int = BLOCK, unit_rows: int = 2_500) -> DataFrame:
+def compared(members: DataFrame, percent: int, lead: bool, block: int = BLOCK, unit_rows: int = 4_000) -> DataFrame:
     """(band, a, b, key) of members (key, band, node, n, root, f0, f1, ..., and perhaps more) that share
     a key, have different roots, and whose folded sketches allow a link; key is null.
 
@@ -411,20 +411,21 @@ def compared(members: DataFrame, percent: int, lead: bool, block: int = BLOCK, u
     and rows of a key alone name buckets that hold the candidates not handed on.
 
     The members of a key are dealt into blocks by hash of the node, and each pair of blocks
-    is a piece of work of its own, so a frequent word's bucket is split over many tasks.
-    Keys of one block are put together into units of about ``unit_rows`` rows, those with the same
-    smallest root if possible, as the same members meet in them.
+    is a piece of work, so a frequent word's bucket is split over many tasks. Like pieces of
+    keys with the same smallest root are put together into units of about ``unit_rows`` rows, as
+    the same members meet in them, and what remains of keys of one block is put together at random.
     """
     keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"))
     keys = keys.withColumn("nb", F.ceil(F.col("m") / block).cast("int"))
-    parts = keys.where("nb = 1").groupBy("lo").agg(F.ceil(F.sum("m") / unit_rows).alias("parts"))
-    keys = keys.join(parts, "lo", "left").select("key", "lo", "nb", "parts")
+    piece = F.col("m") * F.least("nb", F.lit(2)) / F.col("nb")
+    parts = keys.groupBy("lo", "nb").agg(F.ceil(F.sum(piece) / unit_rows).alias("parts"))
+    keys = keys.join(parts, ["lo", "nb"]).select("key", "lo", "nb", "parts")
     units = max(1, members.count() // unit_rows)
     rows = members.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    unit = F.when(F.col("nb") > 1, F.xxhash64("key", "i", "j")).when(
-        F.col("parts") > 1, F.xxhash64("lo", F.pmod("key", "parts"))).otherwise(F.pmod(F.xxhash64("lo"), F.lit(units)))
+    unit = F.when((F.col("nb") == 1) & (F.col("parts") == 1), F.pmod(F.xxhash64("lo"), F.lit(units))).otherwise(
+        F.xxhash64("lo", "nb", "i", "j", F.pmod("key", "parts")))
     cols = ["key", "i", "j", "own", "band", "node", "n", "root", *SHORT, *(["more"] if "more" in members.columns else [])]
 
     def run(t: pa.Table) -> pa.Table:
@@ -438,7 +439,7 @@ def compared(members: DataFrame, percent: int, lead: bool, block: int = BLOCK, u
     return rows.select(unit.alias("unit"), *cols).groupBy("unit").applyInArrow(run, "band int, a long, b long, key long").distinct()
 
 
-def cross_candidates(members: DataFrame, percent: int, block: int = BLOCK, unit_rows: int = 2_500) -> DataFrame:
+def cross_candidates(members: DataFrame, percent: int, block: int = BLOCK, unit_rows: int = 4_000) -> DataFrame:
     """All distinct (band, a, b) that :func:`compared` finds."""
     return compared(members, percent, False, block, unit_rows).select("band", "a", "b")
 
@@ -471,13 +472,17 @@ def joined_roots(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
 def link_roots(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """(id, mark, n_shingles, root) of every row: mark is a hash of the text; rows linked with each
     other, and no others, share a root; rows without shingles have none."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
+    path = {name: scratch_path(spark, name) for name in ("shingle-sketches", "shared-words", "bucket-members", "mixed-members")}
     ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
-    feats = stored(shingle_sets(ids, width, percent), "shingle-sketches")
+    feats = stored(shingle_sets(ids, width, percent), "shingle-sketches", path["shingle-sketches"])
     # buckets that hold two different nodes, and their smallest node
-    hubs = stored(shared_words(feats, percent), "shared-words")
+    hubs = stored(shared_words(feats, percent), "shared-words", path["shared-words"])
     members = bucket_rows(feats, percent, key_bitmap(hubs)).join(hubs, "key")
-    shared = stored(members.groupBy("key", "node", "band").agg(F.min("hub").alias("hub")), "bucket-members")
+    shared = stored(members.groupBy("key", "node", "band").agg(F.min("hub").alias("hub")), "bucket-members", path["bucket-members"])
+    feats = stored(feats.drop("sketches"), "shingle-nodes")
+    for name in ("shared-words", "shingle-sketches"):
+        removed(spark, path[name])
     texts = texts_of(shared.select("node").distinct(), feats, ids)
     near = stored(parity_sketches(texts, width, percent), "near-sketches")
     links = verified(star_pairs(shared), near, feats, ids, width, percent)
@@ -485,8 +490,8 @@ def link_roots(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     rooted = with_roots(shared.drop("hub"), roots)
     members = rooted.join(mixed_keys(rooted), "key").join(near.drop("words"), ["node", "band"])
     short = [F.col("short")[k].alias(c) for k, c in enumerate(SHORT)]
-    path = scratch_path(docs.sparkSession, "mixed-members")
-    members = stored(members.select("key", "band", "node", "n", "root", *short, "more"), "mixed-members", path)
+    members = stored(members.select("key", "band", "node", "n", "root", *short, "more"), "mixed-members", path["mixed-members"])
+    removed(spark, path["bucket-members"])
     found = stored(compared(members, percent, True), "leading-candidates")
     first = found.where("key is null").drop("key")
     roots = joined_roots(roots, verified(first, near, feats, ids, width, percent), "leading-roots")
@@ -494,7 +499,7 @@ def link_roots(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     left = found.where("key is not null").select("key").distinct()
     rooted = with_roots(members.drop("root").join(left, "key"), roots)
     members = stored(rooted.join(mixed_keys(rooted), "key").select(*members.columns), "left-members")
-    removed(docs.sparkSession, path)
+    removed(spark, path["mixed-members"])
     if not members.isEmpty():
         cross = stored(cross_candidates(members, percent).join(first, ["band", "a", "b"], "left_anti"), "cross-candidates")
         roots = joined_roots(roots, verified(cross, near, feats, ids, width, percent), "roots")
