@@ -59,6 +59,13 @@ def test_a_summary_without_texts_moves_none(spark, tmp_dir):
     assert sorted(map(str, sc.score_samples(samples).collect())) == sorted(map(str, sc.score_samples(plain).collect()))
 
 
+def test_repaired_precision_moves_numbers_only(spark):
+    """Quotes are counted where the texts are read: neither they nor the texts stand above the join of pairs and judgments."""
+    plan = QUERIES["t09_repair_precision"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("n_gold")]
+    assert "n_resp" in plan and not [c for c in ("system_response", "ground_truth", "gold_quotes", "resp_quotes") if c in above]
+
+
 def test_novelty_splits_a_hot_question(spark, tmp_dir):
     spark.range(40_000).selectExpr("if(id % 2 = 0, 'hot', concat('q', id)) AS question", "repeat('c', 200) AS context",
                                    "'train' AS split").repartition(8).write.parquet(f"{tmp_dir}/corpus")
