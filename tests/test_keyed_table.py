@@ -126,3 +126,28 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_dir):
     finally:
         spark.conf.set(key, old)
     assert len(_files(f"{tmp_dir}/t")) > 1 and kt.read_table(spark, f"{tmp_dir}/t", SCHEMA).select("uuid").distinct().count() == 40_000
+
+
+def test_upsert_moves_and_writes_rows_once(spark, tmp_dir, monkeypatch):
+    """One exchange and one write for all rows of the touched buckets, dealt to several tasks by their size; nothing is left beside the table."""
+    path, writes = f"{tmp_dir}/t", []
+    rows = spark.range(0, 20_000, 1, 4).selectExpr("concat('u', id) AS uuid", "'m' AS model", "rand(1) AS recall")
+    kt.write_table(rows, path, buckets=1)
+    save = kt._save
+    monkeypatch.setattr(kt, "_save", lambda laid, *a: (writes.append(laid._jdf.queryExecution().executedPlan().toString()), save(laid, *a)))
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    old = {key: spark.conf.get(key) for key in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        new = spark.createDataFrame([("u7", "m", -1.0), ("fresh", "m", 2.0), ("u8", None, 3.0), (None, "m", 4.0)], SCHEMA)
+        kt.upsert_table(new, path, buckets=1, match=["uuid", "model"])
+        kt.upsert_table(new.where("recall > 2"), path, buckets=1, match=["uuid", "model"])
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert [p.count("Exchange") for p in writes] == [1, 1] and "SortMergeJoin" not in writes[0]
+    assert len(_files(path)) > 1 and os.listdir(tmp_dir) == ["t"]
+    found = kt.read_table(spark, path, SCHEMA)
+    assert found.count() == 20_000 + 1 + 2 + 2  # a null matches nothing, so these are added again
+    assert [r["recall"] for r in found.where("uuid IN ('u7', 'fresh')").orderBy("recall").collect()] == [-1.0, 2.0]
