@@ -210,3 +210,24 @@ def test_attached_answers_are_moved_once(spark, tmp_dir):
     assert sorted(map(tuple, out.collect())) == [("u1", "m", "new"), ("u2", "m", None)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") < plan.index("Join LeftSemi")
+
+
+def test_answers_of_pairs_that_stand_once_are_not_shuffled(spark, tmp_dir):
+    """Only narrow rows, and current answers of models that the files name, go through a shuffle."""
+    rows = [("f", k, f"u{k}", "m", f"t{k}") for k in range(6)] + [("f", 9, "zz", "m", "q"), ("f", 10, None, "m", "q")]
+    spark.createDataFrame(rows, inf.EMPTY_LONG).write.parquet(f"{tmp_dir}/long")
+    spark.createDataFrame([(f"u{k}",) for k in range(5)] + [(None,)], "uuid string").write.parquet(f"{tmp_dir}/testset")
+    old = [("u1", "m", "old"), ("u5", "m", "kept"), ("u1", "x", "other"), ("u9", None, "n"), (None, "m", "nobody"), ("u1", "m", "twice")]
+    spark.createDataFrame(old, "uuid string, model string, quotes string").write.parquet(f"{tmp_dir}/current")
+    read = lambda name: spark.read.parquet(f"{tmp_dir}/{name}")
+    fresh = inf.attach_inferences(read("testset"), None, read("long"))
+    assert "Exchange hashpartitioning" not in fresh._jdf.queryExecution().executedPlan().toString()
+    new = [(f"u{k}", "m", f"t{k}") for k in range(5)]
+    assert sorted(map(tuple, fresh.collect())) == new
+    out = inf.attach_inferences(read("testset"), read("current"), read("long"))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, new + [r for r in old if r[:2] != ("u1", "m")]))
+    # many repeated pairs: the shuffled form gives the same
+    twice = read("long").unionByName(read("long").where("pos < 3").selectExpr("'g' AS file", "pos", "uuid", "model", "'last' AS quotes")).localCheckpoint()
+    counts = inf.pair_counts(twice)
+    some, all_ = (sorted(map(tuple, inf.latest_inferences(twice, read("testset"), counts, rows=n).collect())) for n in (100, 0))
+    assert some == all_ == sorted([(f"u{k}", "m", "last" if k < 3 else f"t{k}") for k in range(5)])
