@@ -189,3 +189,26 @@ def test_answers_of_unknown_documents_are_left_out_without_a_shuffle(spark):
         got = ingest.of_known(rows, testset)
         assert sorted(map(str, got.collect())) == sorted(map(str, answers.where("uuid IN ('u1', 'u2')").collect()))
         assert "hashpartitioning" not in _plan(got)
+
+
+def test_answers_to_be_scored_are_shuffled_once(spark, tmp_dir):
+    """Without broadcasts every table is dealt by uuid alone, so no join deals the texts anew; an answer is found by its place."""
+    tables = {
+        "ready": ([("u1", "m", 1, "f", 0, 1.0, 0.5), ("u1", "n", 2, "g", 3, 0.0, None), ("u2", "m", 1, "f", 9, 0.5, 0.5)],
+                  "uuid string, model string, batch_id bigint, file string, pos bigint, recall double, precision double"),
+        "said": ([("u1", "m", 1, "f", 0, "a"), ("u1", "m", 1, "f", 5, "other place"), ("u1", "n", 2, "g", 3, "b"), ("u1", None, 2, "g", 3, "no model"),
+                  ("u2", "m", 1, "f", 9, "c"), ("u3", "m", 1, "f", 1, "not ready")],
+                 "uuid string, model string, batch_id bigint, file string, pos bigint, system_response string"),
+        "testset": ([("u1", "g1"), ("u3", "g3")], "uuid string, quotes string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_dir}/{name}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = keyed.answered_pairs(*(spark.read.parquet(f"{tmp_dir}/{name}") for name in tables))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(uuid#") == 3
+        assert sorted(map(tuple, out.select("uuid", "model", "system_response", "recall", "precision", "ground_truth").collect())) == [
+            ("u1", "m", "a", 1.0, 0.5, "g1"), ("u1", "n", "b", 0.0, None, "g1")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
